@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op6_line_dedup, op7_exact_dedup
+from . import op6_line_dedup, op7_exact_dedup, op8_substring_dedup
 from .common import table
 
 
@@ -14,9 +14,14 @@ def op7_exact_dedup_documents(spark, sf_dir):
     return op7_exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup_documents(spark, sf_dir):
+    return op8_substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op6_line_dedup": op6_line_dedup_pages,
     "op7_exact_dedup": op7_exact_dedup_documents,
+    "op8_substring_dedup": op8_substring_dedup_documents,
 }
 ORACLES = {
     "op6_line_dedup": op6_line_dedup.ORACLE,
