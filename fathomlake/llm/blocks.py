@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import text_arrays, texts_of, written
 
-BLOCK = "block long, ids array<long>, n_bytes long, lens binary, data binary"
+BLOCK = "block long, ids array<long>, block_bytes long, lens binary, data binary"
 ASK = "shard int, block long, keys binary, counts binary"
 FOUND = "block long, found binary"
 SPACE = np.zeros(256, bool)
@@ -68,7 +68,7 @@ class Block:
 
 
 def as_row(block: int, ids: list, raw: np.ndarray, at: np.ndarray) -> dict:
-    return {"block": block, "ids": ids, "n_bytes": len(raw), "lens": pack(np.diff(at).astype(np.uint64)), "data": squeeze(raw.tobytes())}
+    return {"block": block, "ids": ids, "block_bytes": len(raw), "lens": pack(np.diff(at).astype(np.uint64)), "data": squeeze(raw.tobytes())}
 
 
 def load(row) -> Block:

@@ -58,7 +58,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, block_bytes: int = 4
     spark = docs.sparkSession
     quarter, half = -(-length // 4), -(-length // 2)
     whole = blocks(docs, block_bytes)
-    n_words = (whole.agg(F.sum("n_bytes")).first()[0] or 0) / 6
+    n_words = (whole.agg(F.sum("block_bytes")).first()[0] or 0) / 6
     shards = shards_for(spark, n_words / 8)
 
     # A quarter of the length.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op6_line_dedup, op7_exact_dedup, op8_substring_dedup
+from . import op6_line_dedup, op7_exact_dedup, op8_substring_dedup, op9_suffix_dedup
 from .common import table
 
 
@@ -18,10 +18,15 @@ def op8_substring_dedup_documents(spark, sf_dir):
     return op8_substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup_documents(spark, sf_dir):
+    return op9_suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op6_line_dedup": op6_line_dedup_pages,
     "op7_exact_dedup": op7_exact_dedup_documents,
     "op8_substring_dedup": op8_substring_dedup_documents,
+    "op9_suffix_dedup": op9_suffix_dedup_documents,
 }
 ORACLES = {
     "op6_line_dedup": op6_line_dedup.ORACLE,
