@@ -72,7 +72,7 @@ def as_row(block: int, ids: list, raw: np.ndarray, at: np.ndarray) -> dict:
 
 
 def load(row) -> Block:
-    at = np.concatenate([[0], np.cumsum(unpack(row.lens))]).astype(np.int64)
+    at = np.append(0, np.cumsum(unpack(row.lens).astype(np.int64)))
     return Block(row.block, list(row.ids), np.frombuffer(unsqueeze(row.data), np.uint8), at)
 
 

@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
-from . import op6_line_dedup, op7_exact_dedup, op8_substring_dedup, op9_suffix_dedup
+import public_tokenizers
+
+from . import op1_packing, op3_token_counts, op6_line_dedup, op7_exact_dedup, op8_substring_dedup, op9_suffix_dedup
 from .common import table
 
 
-def op6_line_dedup_pages(spark, sf_dir):
+def packing(spark, sf_dir):
+    return op1_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def token_counts(spark, sf_dir):
+    return op3_token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def line_dedup(spark, sf_dir):
     return op6_line_dedup.line_dedup(table(spark, sf_dir, "pages"))
 
 
-def op7_exact_dedup_documents(spark, sf_dir):
+def exact_dedup(spark, sf_dir):
     return op7_exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-def op8_substring_dedup_documents(spark, sf_dir):
+def substring_dedup(spark, sf_dir):
     return op8_substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
-def op9_suffix_dedup_documents(spark, sf_dir):
+def suffix_dedup(spark, sf_dir):
     return op9_suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
-    "op6_line_dedup": op6_line_dedup_pages,
-    "op7_exact_dedup": op7_exact_dedup_documents,
-    "op8_substring_dedup": op8_substring_dedup_documents,
-    "op9_suffix_dedup": op9_suffix_dedup_documents,
+    "op1_packing": packing,
+    "op3_token_counts": token_counts,
+    "op6_line_dedup": line_dedup,
+    "op7_exact_dedup": exact_dedup,
+    "op8_substring_dedup": substring_dedup,
+    "op9_suffix_dedup": suffix_dedup,
 }
 ORACLES = {
     "op6_line_dedup": op6_line_dedup.ORACLE,
