@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import op1_packing, op3_token_counts, op6_line_dedup, op7_exact_dedup, op8_substring_dedup, op9_suffix_dedup
+from . import op1_packing, op2_decontamination, op3_token_counts, op6_line_dedup, op7_exact_dedup, op8_substring_dedup, op9_suffix_dedup
 from .common import table
 
 
@@ -12,6 +12,10 @@ def packing(spark, sf_dir):
     return op1_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def decontamination(spark, sf_dir):
+    return op2_decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def token_counts(spark, sf_dir):
     return op3_token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -34,6 +38,7 @@ def suffix_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_packing": packing,
+    "op2_decontamination": decontamination,
     "op3_token_counts": token_counts,
     "op6_line_dedup": line_dedup,
     "op7_exact_dedup": exact_dedup,
@@ -41,6 +46,7 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup,
 }
 ORACLES = {
+    "op2_decontamination": op2_decontamination.ORACLE,
     "op6_line_dedup": op6_line_dedup.ORACLE,
     "op7_exact_dedup": op7_exact_dedup.ORACLE,
 }
