@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import op1_packing, op2_decontamination, op3_token_counts, op6_line_dedup, op7_exact_dedup, op8_substring_dedup, op9_suffix_dedup
+from . import op10_minhash_dedup, op1_packing, op2_decontamination, op3_token_counts, op6_line_dedup, op7_exact_dedup, op8_substring_dedup, op9_suffix_dedup
 from .common import table
 
 
@@ -36,6 +36,10 @@ def suffix_dedup(spark, sf_dir):
     return op9_suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def minhash_dedup(spark, sf_dir):
+    return op10_minhash_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": packing,
     "op2_decontamination": decontamination,
@@ -44,6 +48,7 @@ QUERIES = {
     "op7_exact_dedup": exact_dedup,
     "op8_substring_dedup": substring_dedup,
     "op9_suffix_dedup": suffix_dedup,
+    "op10_minhash_dedup": minhash_dedup,
 }
 ORACLES = {
     "op2_decontamination": op2_decontamination.ORACLE,
