@@ -181,21 +181,26 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return powers(_ODD), powers(pow(_ODD, -1, 2**64))
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from prefix sums of byte values times powers."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(max(16, int(len(raw)).bit_length()))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_OF_BYTE[raw] * up[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
-def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words between ASCII white space, and where each text's words start, and the end."""
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, from prefix sums of byte values times powers. Spans come in order and do not
+    overlap; they are taken in stretches that fit in a core's cache."""
+    out = np.empty(len(starts), np.uint64)
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(raw), step)), len(starts)))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        low, high = int(starts[i]), int(ends[j - 1])
+        up, down = _powers(max(18, (high - low).bit_length()))
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_OF_BYTE[raw[low:high]] * up[: high - low], out=sums[1:])
+        first, last = starts[i:j] - low, ends[i:j] - low
+        out[i:j] = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+    return out
+
+
+def word_spans(raw: np.ndarray, at: np.ndarray, space: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words between white space, ASCII if not given, and where each text's words start, and the end."""
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    space = SPACE[raw]
+    space = SPACE[raw] if space is None else space
     edge = np.zeros(len(raw) + 1, bool)
     edge[at] = True
     before, after = edge.copy(), edge.copy()
@@ -206,6 +211,26 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, at)
 
 
+_LEAD = np.zeros(256, bool)
+_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def unicode_spaces(raw: np.ndarray) -> np.ndarray:
+    """Which UTF-8 bytes belong to Unicode white space."""
+    out = SPACE[raw]
+    lead = np.flatnonzero(_LEAD[raw])
+    if len(lead):
+        longer = np.append(raw, np.zeros(2, np.uint8))
+        a, b, c = raw[lead], longer[lead + 1], longer[lead + 2]
+        two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+        three = (a == 0xE2) & (((b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & (c == 0x9F)))
+        three |= ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+        for at, n in ((lead[two], 2), (lead[three], 3)):
+            for k in range(n):
+                out[at + k] = True
+    return out
+
+
 def lowered(raw: np.ndarray) -> np.ndarray:
     """A-Z in lower case."""
     return raw + (((raw >= 65) & (raw <= 90)).astype(np.uint8) << 5)

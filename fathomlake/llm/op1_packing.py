@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts_of, written
+from .common import text_arrays, texts_of, written
 from .tokens import encode_words, tokenizer
 
 LENGTH, END = 2048, 1
@@ -29,25 +29,30 @@ ENCODED = "doc_id long, part int, place long, n_tokens long, ids binary"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, boundary boolean"
 
 
-def _encode(path: str, end: int) -> Callable:
+def _kind(path: str) -> np.dtype:
+    return np.dtype("<u2" if tokenizer(path).get_vocab_size() < 65536 else "<u4")
+
+
+def _encode(path: str, end: int, size: int = 16 << 20) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.dtype("<u2" if tokenizer(path).get_vocab_size() < 65536 else "<u4")
-        part, place, close = TaskContext.get().partitionId(), 0, np.array([end], kind).tobytes()
+        part, place, close = TaskContext.get().partitionId(), 0, np.array([end], _kind(path)).tobytes()
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                some = batch.slice(at, 1000)
-                ids = [x + close for x in encode_words(path, some.column("text").to_pylist(), kind)]
-                n = np.array([len(x) // kind.itemsize for x in ids], np.int64)
+            raw, at = text_arrays(batch.column("text"))
+            cuts = np.unique(np.concatenate([[0], np.searchsorted(at[:-1], np.arange(size, max(int(at[-1]), 1), size)), [len(batch)]]))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                ids, ends = encode_words(path, raw[at[i] : at[j]], at[i : j + 1] - at[i])
+                n = np.diff(ends) + 1
                 places = place + np.cumsum(n) - n
                 place += int(n.sum())
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(places), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "part", "place", "n_tokens", "ids"])
+                each = [ids[a:b].tobytes() + close for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.full(j - i, part, np.int32)), pa.array(places), pa.array(n), pa.array(each, pa.binary())], ["doc_id", "part", "place", "n_tokens", "ids"])
 
     return encode
 
 
 def _cut(path: str, length: int) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.dtype("<u2" if tokenizer(path).get_vocab_size() < 65536 else "<u4")
+        kind = _kind(path)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "boundary")}
             for doc_id, n, at, ids in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "n_tokens", "at", "ids")), strict=True):
@@ -92,7 +97,7 @@ def sequences(docs: DataFrame, path: str, length: int = LENGTH, end: int = END)
     tokens = placed(encoded(docs, path, end))
 
     def pieces(batches):
-        kind = np.dtype("<u2" if tokenizer(path).get_vocab_size() < 65536 else "<u4")
+        kind = _kind(path)
         for batch in batches:
             out = []
             for at, ids in zip(batch.column("at").to_pylist(), batch.column("ids").to_pylist(), strict=True):

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import SPACE, arrow_schema, mapped, pack, span_hashes, squeeze, unpack, unsqueeze
+from .blocks import arrow_schema, mapped, pack, span_hashes, squeeze, unicode_spaces, unpack, unsqueeze
 from .common import shards_for, text_arrays, texts_of, written
 from .tokens import count_pieces
 
@@ -31,24 +31,10 @@ ANSWER = "block long, shard int, pieces binary"
 RESULT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
-def spaces(raw: np.ndarray) -> np.ndarray:
-    """Which UTF-8 bytes belong to Unicode white space."""
-    out = SPACE[raw]
-    if (raw >= 0xC2).any():
-        a, b, c = raw, np.append(raw[1:], 0), np.append(raw[2:], [0, 0])[: len(raw)]
-        two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
-        three = (a == 0xE2) & (((b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & (c == 0x9F)))
-        three |= ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
-        for at, n in ((np.flatnonzero(two), 2), (np.flatnonzero(three), 3)):
-            for k in range(n):
-                out[at + k] = True
-    return out
-
-
 def _frequencies(size: int, shards: int) -> Callable:
     def block_rows(block: int, ids: list, raw: np.ndarray, at: np.ndarray) -> Iterator[dict]:
         if len(raw):
-            space = spaces(raw)
+            space = unicode_spaces(raw)
             begins = np.append(True, space[1:] & ~space[:-1])
             begins[at[:-1][at[:-1] < len(raw)]] = True
             starts = np.flatnonzero(begins)
