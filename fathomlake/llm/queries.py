@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import op10_minhash_dedup, op1_packing, op2_decontamination, op3_token_counts, op5_toxicity, op6_line_dedup, op7_exact_dedup, op8_substring_dedup, op9_suffix_dedup
+from . import op10_minhash_dedup, op1_packing, op2_decontamination, op3_token_counts, op4_lm_scoring, op5_toxicity, op6_line_dedup, op7_exact_dedup, op8_substring_dedup, op9_suffix_dedup
 from .common import table
 
 
@@ -20,6 +20,10 @@ def token_counts(spark, sf_dir):
     return op3_token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def lm_scoring(spark, sf_dir):
+    return op4_lm_scoring.language_model(table(spark, sf_dir, "documents"))
+
+
 def toxicity(spark, sf_dir):
     return op5_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op1_packing": packing,
     "op2_decontamination": decontamination,
     "op3_token_counts": token_counts,
+    "op4_lm_scoring": lm_scoring,
     "op5_toxicity": toxicity,
     "op6_line_dedup": line_dedup,
     "op7_exact_dedup": exact_dedup,
