@@ -119,21 +119,26 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50
     return w
 
 
+def _scorer(model: dict | None) -> Callable[[pa.Array], np.ndarray]:
+    measure = _measure(model) if model else None
+
+    def score(texts: pa.Array) -> np.ndarray:
+        if not measure:
+            return np.zeros(len(texts))
+        x = np.array([[*measure((t or b"").translate(_LOWER)), 1.0] for t in texts.cast(pa.large_binary()).to_pylist()]).reshape(-1, len(model["weights"]))
+        return 1 / (1 + np.exp(-np.clip(x @ model["weights"], -30, 30)))
+
+    return score
+
+
 def _score(model: dict | None) -> Callable:
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = _measure(model) if model else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scorer(model)
         for batch in batches:
-            out = []
-            for text in batch.column("text").cast(pa.large_binary()).to_pylist():
-                s = 0.0
-                if measure:
-                    z = float(np.dot([*measure((text or b"").translate(_LOWER)), 1.0], model["weights"]))
-                    s = 1 / (1 + np.exp(-min(30.0, max(-30.0, z))))
-                out.append(s)
-            s = np.array(out)
+            s = score(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= CUT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return score
+    return run
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> tuple[dict[int, list[str]], dict[int, int]]:
@@ -153,12 +158,30 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_c
     return texts, counts
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """One row per document: doc_id, held_out, score (0 to 1), predicted (score >= 0.3)."""
+def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict | None:
+    """The model of a sample, with the constant moved from the sample's shares of the labels to all training rows'."""
     texts, counts = sample(docs, labels, per_class)
     model = train(texts.get(1, []), texts.get(0, []))
-    if model:  # from the sample's shares of the labels to all training rows'
+    if model:
         shift = np.log(counts[1] / counts[0]) - np.log(len(texts[1]) / len(texts[0]))
         model["weights"] = model["weights"] + np.append(np.zeros(len(model["weights"]) - 1), shift)
+    return model
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """One row per document: doc_id, held_out, score (0 to 1), predicted (score >= 0.3)."""
+    model = fitted(docs, labels, per_class)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(fold(F.col("doc_id")) == HELD, F.lit(False)).alias("held_out"))
     return rows.mapInArrow(_score(model), RESULT)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """The documents that are not predicted to be toxic, with all their columns; each text is scored where it is read."""
+    model = fitted(docs, labels, per_class)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array(score(batch.column("text")) < CUT))
+
+    return docs.mapInArrow(keep, docs.schema)
