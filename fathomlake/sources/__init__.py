@@ -1 +1,95 @@
+"""Sources and sinks: tables, sheets with a fallback, CSV, JSON lines, reports, vector collections."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+# The columns of a crawled record, in order.
+RECORD_COLUMNS = ["ma_thu_tuc", "ten_thu_tuc", "linh_vuc", "cap_thuc_hien", "co_quan", "thanh_phan_ho_so", "thoi_gian_text", "thoi_gian_ngay", "le_phi_text", "le_phi_vnd", "can_cu_phap_ly", "nguon_url", "ngay_crawl"]
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """By the file system that Spark reads it with."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def first_of(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The first Parquet table that is there."""
+    for path in paths:
+        if exists(spark, path):
+            return spark.read.parquet(path)
+    raise FileNotFoundError(paths[0])
+
+
+def numbered_sheet(rows: DataFrame, order: Column, first_cell: str) -> DataFrame:
+    """Rows with something in the first cell, with row_no from 1 and row_id from 0 over all rows in the sheet's order.
+
+    Rows are numbered within ranges of the order, and ranges by their counts, so no task sees the whole sheet.
+    """
+    spark = rows.sparkSession
+    ranged = rows.withColumn("__order", order).repartitionByRange("__order").sortWithinPartitions("__order").withColumn("__part", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+    before = ranged.groupBy("__part").agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(Window.orderBy("__part")) - F.col("c")).drop("c")
+    place = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before")
+    out = ranged.join(F.broadcast(before), "__part").withColumn("row_id", place).withColumn("row_no", place + 1)
+    return out.drop("__part", "__m", "__order", "before").where(F.coalesce(F.trim(F.col(first_cell)), F.lit("")) != "")
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV with a header; a byte-order mark is taken off the first name by Spark's reader, as the schema is given."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def write_report(row: DataFrame, path: str) -> None:
+    """A one-row frame as one JSON document."""
+    row.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_records(records: DataFrame, path: str) -> None:
+    """Crawled records with the columns in their order."""
+    records.select(*RECORD_COLUMNS).write.mode("overwrite").parquet(path)
+
+
+def crawled(pages: DataFrame, max_items: int | None = None) -> DataFrame:
+    """Pages once for each url, the first by page_id; max_items is the crawl's own cap."""
+    once = pages.groupBy("url").agg(F.min_by(F.struct("page_id", "html"), "page_id").alias("p")).select("p.page_id", "url", "p.html")
+    return once.orderBy("page_id").limit(max_items) if max_items else once
+
+
+def with_fallback(first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:
+    """Of two lookups the first one's value, else the second one's."""
+    return first.select(key, F.col(value).alias("__a")).join(second.select(key, F.col(value).alias("__b")), key, "full").select(key, F.coalesce("__a", "__b").alias(value))
+
+
+class Collection:
+    """Vectors as Parquet: reset, add, count, scan."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def reset(self, vectors: DataFrame) -> None:
+        vectors.write.mode("overwrite").parquet(self.path)
+
+    def add(self, vectors: DataFrame) -> None:
+        vectors.write.mode("append").parquet(self.path)
+
+    def scan(self, *columns: str) -> DataFrame:
+        df = self.spark.read.parquet(self.path)
+        return df.select(*columns) if columns else df
+
+    def count(self) -> int:
+        return self.scan().count()
