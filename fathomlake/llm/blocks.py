@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_arrays, texts_of, written
+from .common import release, text_arrays, texts_of, written
 
 BLOCK = "block long, ids array<long>, block_bytes long, lens binary, data binary"
 ASK = "shard int, block long, keys binary, counts binary"
@@ -87,6 +87,7 @@ def _make(size: int) -> Callable:
                 row = as_row(block, ids[i:j], raw[at[i] : at[j]], at[i : j + 1] - at[i])
                 yield pa.RecordBatch.from_pylist([row], arrow_schema(BLOCK))
                 block += 1
+                release()
 
     return make
 
@@ -116,6 +117,7 @@ def merge(lists: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def _repeated(asked: pd.DataFrame) -> pd.DataFrame:
+    release()
     lists = [unpack_sorted(x) for x in asked["keys"]]
     _, totals, places = merge(lists, [unpack(x, np.uint32) for x in asked["counts"]])
     found = [keys[totals[at] > 1] for keys, at in zip(lists, places, strict=True)]
@@ -153,6 +155,8 @@ def mapped(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
                 row = SimpleNamespace(**batch.slice(i, 1).to_pylist()[0])
                 if out := fn(row):
                     yield pa.RecordBatch.from_pylist(out, out_schema)
+                del row, out
+                release()
 
     return df.mapInArrow(run, schema)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -67,3 +69,10 @@ def text_arrays(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and len(data) else np.zeros(0, np.uint8)
     return raw, at - at[0]
+
+
+def release() -> None:
+    """Gives memory that a task no longer uses back to the system: workers live on and hold it beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ASK, arrow_schema, ask, is_in, keys_of, lowered, mapped, mix, repeated, runs_of, span_hashes, squeeze, unsqueeze, word_spans
-from .common import shards_for, text_arrays, texts_of, written
+from .common import release, shards_for, text_arrays, texts_of, written
 from .components import components
 
 N, PERCENT = 4, 80
@@ -97,6 +97,8 @@ def _sign(n: int, size: int) -> Callable:
                 rows.append({"block": block, "values": np.array(values, np.uint32).tobytes(), "texts": texts})
                 yield pa.RecordBatch.from_pylist(rows, schema)
                 block += 1
+                del sets, values, texts, rows
+                release()
 
     return sign
 
@@ -177,6 +179,7 @@ def near_links(candidates: DataFrame, percent: int, n: int, tile: int = TILE) ->
     bins = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def small(part: pd.DataFrame) -> pd.DataFrame:
+        release()
         out = [x for _, some in part.groupby("component") for x in confirm(some, percent, n)]
         return pd.DataFrame(out, columns=["a", "b"])
 
@@ -213,12 +216,13 @@ def near_links(candidates: DataFrame, percent: int, n: int, tile: int = TILE) ->
     jobs = sides.select("job", "component", "side.linked", "side.t").join(tiled, ["component", "linked", "t"]).select("job", "linked", "node", "n_shingles", "values", "text")
 
     def rest(part: pd.DataFrame) -> pd.DataFrame:
+        release()
         return pd.DataFrame(confirm(part, percent, n, ~part["linked"].to_numpy(bool)), columns=["a", "b"])
 
     return found.unionByName(of_hub).unionByName(jobs.groupBy("job").applyInPandas(rest, LINK))
 
 
-def near_dedup(docs: DataFrame, n: int = N, percent: int = PERCENT, tile: int = TILE, block_bytes: int = 4 << 20) -> DataFrame:
+def near_dedup(docs: DataFrame, n: int = N, percent: int = PERCENT, tile: int = TILE, block_bytes: int = 2 << 20) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     stage = written(texts_of(docs).mapInArrow(_sign(n, block_bytes), STAGE), "signatures")

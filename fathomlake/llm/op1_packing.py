@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_arrays, texts_of, written
+from .common import release, text_arrays, texts_of, written
 from .tokens import encode_words, tokenizer
 
 LENGTH, END = 2048, 1
@@ -33,7 +33,7 @@ def _kind(path: str) -> np.dtype:
     return np.dtype("<u2" if tokenizer(path).get_vocab_size() < 65536 else "<u4")
 
 
-def _encode(path: str, end: int, size: int = 16 << 20) -> Callable:
+def _encode(path: str, end: int, size: int = 4 << 20) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place, close = TaskContext.get().partitionId(), 0, np.array([end], _kind(path)).tobytes()
         for batch in batches:
@@ -45,6 +45,7 @@ def _encode(path: str, end: int, size: int = 16 << 20) -> Callable:
                 places = place + np.cumsum(n) - n
                 place += int(n.sum())
                 each = [ids[a:b].tobytes() + close for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                release()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.full(j - i, part, np.int32)), pa.array(places), pa.array(n), pa.array(each, pa.binary())], ["doc_id", "part", "place", "n_tokens", "ids"])
 
     return encode

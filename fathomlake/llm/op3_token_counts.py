@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import arrow_schema, mapped, pack, span_hashes, squeeze, unicode_spaces, unpack, unsqueeze
-from .common import shards_for, text_arrays, texts_of, written
+from .common import release, shards_for, text_arrays, texts_of, written
 from .tokens import count_pieces
 
 LIMIT = 1024
@@ -67,6 +67,7 @@ def _frequencies(size: int, shards: int) -> Callable:
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 yield pa.RecordBatch.from_pylist(list(block_rows(block, ids[i:j], raw[at[i] : at[j]], at[i : j + 1] - at[i])), schema)
                 block += 1
+                release()
 
     return run
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK, ask, blocks, load, lowered, mapped, merge, mix, pack, span_hashes, unpack, unpack_sorted, word_spans
-from .common import shards_for, texts_of, written
+from .common import release, shards_for, texts_of, written
 
 FOLDS, HELD, DELETED = 7, 2, 3
 #: Context buckets: unseen, then one for each bit of the count. Bins of estimates: eighths of octaves down to 2 ** -48.
@@ -91,6 +91,7 @@ def _asks(row, shards: int) -> list[dict]:
 
 def _answer(asked: pd.DataFrame) -> pd.DataFrame:
     """Sums for every block that asked, in the order it asked; and for block -1 the shard's tokens and types."""
+    release()
     lists = [unpack_sorted(x) for x in asked["keys"]]
     merged, totals, places = merge(lists, [unpack(x, np.uint32) for x in asked["counts"]])
     parts, uni = np.zeros(len(merged), np.int64), np.zeros(len(merged), bool)

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, release
 
 #: The bounds of the sample: rows of each label, and characters of text over all rows of a label.
 PER_CLASS, MAX_CHARS = 2000, 12_000_000
@@ -183,5 +183,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
         score = _scorer(model)
         for batch in batches:
             yield batch.filter(pa.array(score(batch.column("text")) < CUT))
+            release()
 
     return docs.mapInArrow(keep, docs.schema)

@@ -11,7 +11,7 @@ import numpy as np
 from .blocks import span_hashes, unicode_spaces, word_spans
 
 #: Words kept in a worker's memory, at some 200 bytes each: those that came up again, and those lately seen once.
-KEPT, LATELY = 500_000, 300_000
+KEPT, LATELY = 200_000, 100_000
 
 
 @cache
