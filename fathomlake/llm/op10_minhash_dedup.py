@@ -163,7 +163,11 @@ def _bucket_links(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     # A bucket that very many classes share is counted with map-side combining; Spark splits such a key in the join.
     buckets = held.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("members")).where("members > 1").withColumnRenamed("bucket", "of")
     shared = written(held.join(buckets, F.col("bucket") == F.col("of")).groupBy("node", "least").agg(F.sum("members").alias("weight")), "buckets")
-    return shared.select(F.col("node").alias("a"), F.col("least").alias("b")), shared.groupBy("node").agg(F.sum("weight").alias("weight"))
+    # A class has as many least ones as bands at most. It keeps a link to the first of them, and that one is linked with
+    # the others: the same components, and in a large cluster, where few classes are least, one link for each member.
+    firsts = shared.groupBy("node").agg(F.min("least").alias("a"), F.collect_set("least").alias("all"))
+    links = firsts.select("a", F.explode(F.array_union("all", F.array("node"))).alias("b")).where("a != b").distinct()
+    return links, shared.groupBy("node").agg(F.sum("weight").alias("weight"))
 
 
 def near_links(candidates: DataFrame, percent: int, n: int, tile: int = TILE) -> DataFrame:
