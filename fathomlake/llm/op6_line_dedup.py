@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_RATIO, MIN_PAGES = 0.3, 5
+#: Parts that a host's pages are spread over to meet its drops.
+SALTS = 64
 #: Fixed patterns, in a form that Java and RE2 read alike.
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)"
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
@@ -36,7 +38,7 @@ def line_dedup(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
 
     A host may hold a third of all pages: its lines are counted with map-side combining on (host, line), each task
     sending one row for each of them, and nothing gathers a host. The lines to drop go back to the pages by a join on
-    the same keys, whose side of drops holds a line once for each host; each page is put together under its own key.
+    the host and a salt: a host's pages are spread over SALTS keys, and its small set of drops is there for each of them.
     """
     rows = pages.select(F.col("page_id").cast("long"), host(F.col("url")).alias("host"), page_lines(F.col("html")).alias("lines")).withColumn("row", F.monotonically_increasing_id())
     # A line is known by its 16-byte digest: lines in full go over the network only once, with their page.
@@ -45,7 +47,9 @@ def line_dedup(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     held = pieces.groupBy("host", "line").agg(F.count("*").alias("holding"))
     drops = held.join(totals, "host").where(F.col("holding") > max_ratio * F.col("pages")).groupBy("host").agg(F.collect_set("line").alias("drops"))
     # At most 1 / max_ratio times the mean number of lines of a host's pages can pass the ratio, so a host's set is small.
-    marked = rows.join(drops, "host", "left").withColumn("kept", F.when(F.col("drops").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("drops"), F.md5(x)))))
+    salted = drops.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    marked = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    marked = marked.withColumn("kept", F.when(F.col("drops").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("drops"), F.md5(x)))))
     return marked.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"))
 
 
