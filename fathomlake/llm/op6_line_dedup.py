@@ -44,7 +44,8 @@ def line_dedup(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     # A line is known by its 16-byte digest: lines in full go over the network only once, with their page.
     pieces = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.md5(x)))).alias("line"))
     totals = rows.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    held = pieces.groupBy("host", "line").agg(F.count("*").alias("holding"))
+    # What fewer pages hold than the least host needs cannot pass: most lines, before anything is joined by host.
+    held = pieces.groupBy("host", "line").agg(F.count("*").alias("holding")).where(F.col("holding") > max_ratio * min_pages)
     drops = held.join(totals, "host").where(F.col("holding") > max_ratio * F.col("pages")).groupBy("host").agg(F.collect_set("line").alias("drops"))
     # At most 1 / max_ratio times the mean number of lines of a host's pages can pass the ratio, so a host's set is small.
     salted = drops.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
