@@ -94,6 +94,9 @@ fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY
   (SELECT pool.*, wd, coalesce(wd / (60 + dr), 0) + coalesce(1.0 / (60 + lr), 0) AS fusion_score FROM pool JOIN (SELECT qid, CASE WHEN {sql_strip_marks("text")} <> text THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS wd FROM qq) USING (qid))) WHERE fused_rank < 3),
 conf AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(confidence, 9) DESC, fused_rank) - 1 AS final_rank FROM (SELECT *, CASE WHEN bm25_norm > 0.05 AND dense_similarity > 0.1 THEN wd / (wd + 1) * dense_similarity + (1 - wd / (wd + 1)) * bm25_norm ELSE greatest(dense_similarity, bm25_norm) END AS confidence FROM fused))"""
 
+#: The same over all documents, also those without a vector: their lexical hits count, and the statistics are the table's.
+HYBRID_ALL = HYBRID.replace(CAT, "cat AS (SELECT doc_id AS row_id, text FROM documents)")
+
 
 # Inputs.
 
@@ -118,6 +121,10 @@ def rows_of(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text").join(known, "row_id", "left_semi")
 
 
+def all_rows_of(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
+
+
 def records(spark) -> DataFrame:
     return spark.createDataFrame(samples.RECORDS, "row_id long, " + ", ".join(f"{c} string" for c in catalogue.FIELDS))
 
@@ -207,45 +214,88 @@ def nearest_centroid(spark, sf_dir):
     return dense.nearest_centroid(views, dense.centroids(views.select("label", "v"))).withColumn("similarity", F.round("similarity", 6))
 
 
-def _hybrid(spark, sf_dir) -> DataFrame:
-    ask, rows = asked(spark, sf_dir), rows_of(spark, sf_dir)
+def _hybrid(spark, sf_dir, rows: DataFrame) -> DataFrame:
+    ask = asked(spark, sf_dir)
     return fusion.hybrid(ask, dense.roll_up(dense.knn(ask, views_of(spark, sf_dir))), lexical.bm25(ask, rows), rows)
 
 
-@query(f"WITH {HYBRID} SELECT qid, row_id, round(fusion_score, 6) AS fusion_score, fused_rank, CASE WHEN dr IS NULL THEN 'bm25' WHEN lr IS NULL THEN 'dense' ELSE 'dense,bm25' END AS sources FROM fused")
+def _fusion(spark, sf_dir, rows: DataFrame) -> DataFrame:
+    return _hybrid(spark, sf_dir, rows).select("qid", "row_id", F.round("fusion_score", 6).alias("fusion_score"), "fused_rank", F.array_join("sources", ",").alias("sources"))
+
+
+def _confidence(spark, sf_dir, rows: DataFrame) -> DataFrame:
+    return _hybrid(spark, sf_dir, rows).select("qid", "row_id", "best_view", F.round("dense_similarity", 6).alias("dense_similarity"), F.round("bm25_norm", 6).alias("bm25_norm"), F.round("confidence", 6).alias("confidence"), "final_rank")
+
+
+def _tiers(spark, sf_dir, rows: DataFrame) -> DataFrame:
+    titles = rows.select("row_id", first_words(F.col("text")).alias("title"))
+    return fusion.decide_tier(asked(spark, sf_dir), _hybrid(spark, sf_dir, rows), titles).withColumn("confidence", F.round("confidence", 6))
+
+
+def _options(spark, sf_dir, rows: DataFrame) -> DataFrame:
+    titles = rows.select("row_id", first_words(F.col("text")).alias("ten"), F.lit("Cấp Xã").alias("cap_thuc_hien"), F.lit("").alias("le_phi"))
+    return answers.options(_hybrid(spark, sf_dir, rows).join(titles, "row_id"))
+
+
+SQL_FUSION = f"WITH {HYBRID} SELECT qid, row_id, round(fusion_score, 6) AS fusion_score, fused_rank, CASE WHEN dr IS NULL THEN 'bm25' WHEN lr IS NULL THEN 'dense' ELSE 'dense,bm25' END AS sources FROM fused"
+
+
+@query(SQL_FUSION)
 def rrf_fusion(spark, sf_dir):
-    return _hybrid(spark, sf_dir).select("qid", "row_id", F.round("fusion_score", 6).alias("fusion_score"), "fused_rank", F.array_join("sources", ",").alias("sources"))
+    return _fusion(spark, sf_dir, rows_of(spark, sf_dir))
+
 
+@query(SQL_FUSION.replace(HYBRID, HYBRID_ALL))
+def rrf_fusion_all(spark, sf_dir):
+    return _fusion(spark, sf_dir, all_rows_of(spark, sf_dir))
 
-@query(f"WITH {HYBRID} SELECT qid, row_id, best_view, round(dense_similarity, 6) AS dense_similarity, round(bm25_norm, 6) AS bm25_norm, round(confidence, 6) AS confidence, final_rank FROM conf")
+
+SQL_CONFIDENCE = f"WITH {HYBRID} SELECT qid, row_id, best_view, round(dense_similarity, 6) AS dense_similarity, round(bm25_norm, 6) AS bm25_norm, round(confidence, 6) AS confidence, final_rank FROM conf"
+
+
+@query(SQL_CONFIDENCE)
 def hybrid_confidence(spark, sf_dir):
-    return _hybrid(spark, sf_dir).select("qid", "row_id", "best_view", F.round("dense_similarity", 6).alias("dense_similarity"), F.round("bm25_norm", 6).alias("bm25_norm"), F.round("confidence", 6).alias("confidence"), "final_rank")
+    return _confidence(spark, sf_dir, rows_of(spark, sf_dir))
+
+
+@query(SQL_CONFIDENCE.replace(HYBRID, HYBRID_ALL))
+def hybrid_confidence_all(spark, sf_dir):
+    return _confidence(spark, sf_dir, all_rows_of(spark, sf_dir))
 
 
 SQL_TITLE = rf"array_to_string((string_split_regex({sql_strip('text')}, '\s+'))[1:6], ' ')"
 SQL_TOPIC = "(" + " OR ".join(f"({contains_any('lower(title)', w)} AND {contains_any('lower(next_title)', w)})" for w in fusion.TOPICS) + ")"
 
 
-@query(
-    f"""WITH {HYBRID}, t AS (SELECT conf.*, {SQL_TITLE} AS title FROM conf JOIN cat USING (row_id)),
+SQL_TIERS = f"""WITH {HYBRID}, t AS (SELECT conf.*, {SQL_TITLE} AS title FROM conf JOIN cat USING (row_id)),
 n AS (SELECT *, lead(confidence) OVER w AS nc, lead(title) OVER w AS next_title FROM t WINDOW w AS (PARTITION BY qid ORDER BY final_rank)),
 o AS (SELECT qid, round(confidence, 6) AS confidence, CASE WHEN round(dense_similarity, 9) < 0.35 OR round(confidence, 9) < 0.35 THEN 'C' WHEN round(confidence, 9) >= 0.40 AND round(dense_similarity, 9) >= 0.38
   THEN CASE WHEN nc IS NOT NULL AND round(confidence - nc, 9) < 0.03 AND title <> next_title AND NOT {SQL_TOPIC} THEN 'B' ELSE 'A' END ELSE 'B' END AS tier FROM n WHERE final_rank = 0)
 SELECT qid, coalesce(tier, 'C') AS tier, coalesce(confidence, 0) AS confidence FROM qq LEFT JOIN o USING (qid)"""
-)
+
+
+@query(SQL_TIERS)
 def tier_decision(spark, sf_dir):
-    ask, rows = asked(spark, sf_dir), rows_of(spark, sf_dir)
-    ranked = fusion.hybrid(ask, dense.roll_up(dense.knn(ask, views_of(spark, sf_dir))), lexical.bm25(ask, rows), rows)
-    return fusion.decide_tier(ask, ranked, rows.select("row_id", first_words(F.col("text")).alias("title"))).withColumn("confidence", F.round("confidence", 6))
+    return _tiers(spark, sf_dir, rows_of(spark, sf_dir))
 
 
-@query(
-    f"""WITH {HYBRID}, t AS (SELECT qid, final_rank, {SQL_TITLE} AS title FROM conf JOIN cat USING (row_id))
+@query(SQL_TIERS.replace(HYBRID, HYBRID_ALL))
+def tier_decision_all(spark, sf_dir):
+    return _tiers(spark, sf_dir, all_rows_of(spark, sf_dir))
+
+
+SQL_OPTIONS = f"""WITH {HYBRID}, t AS (SELECT qid, final_rank, {SQL_TITLE} AS title FROM conf JOIN cat USING (row_id))
 SELECT qid, {q(answers.OPTIONS_HEAD)} || chr(10) || string_agg((final_rank + 1) || '. **' || title || '** (Cấp Xã)', chr(10) ORDER BY final_rank) || chr(10) || {q(answers.OPTIONS_TAIL)} AS answer FROM t GROUP BY 1"""
-)
+
+
+@query(SQL_OPTIONS)
 def tier_b_options(spark, sf_dir):
-    titles = rows_of(spark, sf_dir).select("row_id", first_words(F.col("text")).alias("ten"), F.lit("Cấp Xã").alias("cap_thuc_hien"), F.lit("").alias("le_phi"))
-    return answers.options(_hybrid(spark, sf_dir).join(titles, "row_id"))
+    return _options(spark, sf_dir, rows_of(spark, sf_dir))
+
+
+@query(SQL_OPTIONS.replace(HYBRID, HYBRID_ALL))
+def tier_b_options_all(spark, sf_dir):
+    return _options(spark, sf_dir, all_rows_of(spark, sf_dir))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(CASE WHEN x BETWEEN 0 AND 1 THEN x ELSE 1 / (1 + exp(-greatest(-30, least(30, x)))) END, 6) AS s FROM (SELECT l_orderkey, l_linenumber, l_quantity - 25 + l_discount AS x FROM lineitem)")
