@@ -31,16 +31,23 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return marked.join(kept, same, "left_semi").withColumn("__n", once).where("__n = 1").select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """With a written number for each row: ids may be null or repeated, and a decision is about one row."""
+    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    gone = written(near_dedup(docs, SHINGLE, PERCENT).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct(), "near")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    rows = numbered(docs)
+    gone = written(near_dedup(rows, SHINGLE, PERCENT, key="__row").where("NOT kept").select(F.col("key").alias("__row")), "near")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    gone = written(contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    rows = numbered(docs)
+    gone = written(contaminated(rows, table(spark, sf_dir, "benchmark"), key="__row").select(F.col("key").alias("__row")).distinct(), "contaminated")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

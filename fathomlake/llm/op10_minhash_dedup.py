@@ -14,6 +14,7 @@
 
 Cases: null and empty texts have an empty set and are linked with nothing; texts shorter than n words have one shingle;
 repeated rows are one class; a null doc_id is a document like others, last in order; an empty table gives an empty one.
+Of each component one row is kept, the least by doc_id and then by row key, also where ids are null or repeated.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ _TIMES = _rng.integers(0, 2**63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.ui
 _BANDS = np.concatenate([_rng.permutation(2 * PERMUTATIONS) for _ in range(BANDS * ROWS // (2 * PERMUTATIONS) + 1)])[: BANDS * ROWS].reshape(BANDS, ROWS)
 _SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
-STAGE = "block long, doc_id long, place int, n_shingles long, node long, values binary, texts array<binary>"
+STAGE = "block long, doc_id long, key long, place int, n_shingles long, node long, values binary, texts array<binary>"
 CANDIDATE = "node long, n_shingles long, values binary, text binary, buckets array<long>"
 LINK = "a long, b long"
 
@@ -82,7 +83,7 @@ def _sign(n: int, size: int) -> Callable:
         block, schema = TaskContext.get().partitionId() << 33, arrow_schema(STAGE)
         for batch in batches:
             raw, at = text_arrays(batch.column("text"))
-            ids = batch.column("doc_id").to_pylist()
+            ids, row_keys = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
             cuts = np.unique(np.concatenate([[0], np.searchsorted(at[:-1], np.arange(size, max(int(at[-1]), 1), size)), [len(ids)]]))
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 sets = shingle_sets(raw[at[i] : at[j]], at[i : j + 1] - at[i], n)
@@ -90,7 +91,7 @@ def _sign(n: int, size: int) -> Callable:
                 for k, s in enumerate(sets):
                     # A set is known by two sums over its mixed hashes, in 63 bits.
                     node = int(mix(np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))[None] + np.uint64(len(s)) * s[:1])[0] >> np.uint64(1)) if len(s) else None
-                    rows.append({"block": block, "doc_id": ids[i + k], "place": len(values) if len(s) else None, "n_shingles": len(s), "node": node})
+                    rows.append({"block": block, "doc_id": ids[i + k], "key": row_keys[i + k], "place": len(values) if len(s) else None, "n_shingles": len(s), "node": node})
                     if len(s):
                         values.append(signature(s).astype(np.uint32))
                         texts.append(squeeze(raw[at[i + k] : at[i + k + 1]].tobytes()))
@@ -226,11 +227,12 @@ def near_links(candidates: DataFrame, percent: int, n: int, tile: int = TILE) ->
     return found.unionByName(of_hub).unionByName(jobs.groupBy("job").applyInPandas(rest, LINK))
 
 
-def near_dedup(docs: DataFrame, n: int = N, percent: int = PERCENT, tile: int = TILE, block_bytes: int = 2 << 20) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def near_dedup(docs: DataFrame, n: int = N, percent: int = PERCENT, tile: int = TILE, block_bytes: int = 2 << 20, key: str | None = None) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept; and key, where a column of distinct row numbers is given."""
     spark = docs.sparkSession
-    stage = written(texts_of(docs).mapInArrow(_sign(n, block_bytes), STAGE), "signatures")
-    rows, signed = stage.where("values IS NULL").select("block", "doc_id", "place", "n_shingles", "node"), stage.where("values IS NOT NULL").select("block", "values", "texts")
+    texts = texts_of(docs, key=F.col(key).cast("long") if key else F.monotonically_increasing_id())
+    stage = written(texts.mapInArrow(_sign(n, block_bytes), STAGE), "signatures")
+    rows, signed = stage.where("values IS NULL").select("block", "doc_id", "key", "place", "n_shingles", "node"), stage.where("values IS NOT NULL").select("block", "values", "texts")
     shards = shards_for(spark, 0)
 
     def bands(row) -> list[dict]:
@@ -239,7 +241,7 @@ def near_dedup(docs: DataFrame, n: int = N, percent: int = PERCENT, tile: int =
 
     found = repeated(mapped(signed.select("block", "values"), bands, ASK))
     # One document of each class goes on: the one in the first place.
-    classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "block", "place", "n_shingles")).alias("w"))
+    classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "key", "block", "place", "n_shingles")).alias("w"))
     classes = written(classes.select("node", "w.*"), "classes")
     mine = classes.groupBy("block").agg(F.collect_list(F.struct("place", "node", "n_shingles")).alias("mine"))
 
@@ -253,8 +255,8 @@ def near_dedup(docs: DataFrame, n: int = N, percent: int = PERCENT, tile: int =
 
     chosen = written(mapped(signed.join(found, "block").join(mine, "block"), candidates, CANDIDATE), "candidates")
     joined = components(written(near_links(chosen, percent, n, tile), "confirmed"))
-    # From a class to the least id of its component; classes that are alone need no row.
-    least = classes.join(joined, "node").groupBy("component").agg(F.min("id").alias("component_id"))
-    of_class = classes.join(joined.join(least, "component").select("node", "component_id"), "node", "left").select(F.col("node").alias("of"), F.coalesce("component_id", "id").alias("component_id"))
-    out = rows.join(of_class, F.col("node") == F.col("of"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id", F.lit(LAST)).alias("component_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("component_id") < LAST, F.col("component_id")).alias("component_id"), (F.coalesce("doc_id", F.lit(LAST)) == F.col("component_id")).alias("kept"))
+    # From a class to the least row of its component; classes that are alone are their own.
+    least = classes.join(joined, "node").groupBy("component").agg(F.min(F.struct("id", "key")).alias("least"))
+    of_class = classes.join(joined.join(least, "component").select("node", "least"), "node", "left").select(F.col("node").alias("of"), F.coalesce("least", F.struct("id", "key")).alias("least"))
+    out = rows.join(of_class, F.col("node") == F.col("of"), "left").select("doc_id", "key", "n_shingles", F.coalesce("least.id", "doc_id", F.lit(LAST)).alias("component_id"), F.coalesce(F.col("least.key") == F.col("key"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("component_id") < LAST, F.col("component_id")).alias("component_id"), "kept", *(["key"] if key else []))

@@ -45,13 +45,14 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, n: int = N, bands: int = BANDS) -> DataFrame:
-    """One row per document row and item that it holds: doc_id, item_id, n_shared, n_item, containment."""
+def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, n: int = N, bands: int = BANDS, key: str | None = None) -> DataFrame:
+    """One row per document row and item that it holds: doc_id, item_id, n_shared, n_item, containment; and key, where a
+    column of distinct row numbers is given."""
     items = items.select(F.col("item_id").cast("long"), words(ascii_lower(F.col("text"))).alias("w")).select("item_id", F.monotonically_increasing_id().alias("item"), shingles(F.col("w"), n).alias("of_item")).where(F.size("of_item") > 0)
     items = written(items.withColumn("m", F.size("of_item")), "items")
     n_items, n_shingles = items.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0))).first()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), words(ascii_lower(F.col("text"))).alias("w"))
+    rows = docs.select(F.col("doc_id").cast("long"), (F.col(key).cast("long") if key else F.monotonically_increasing_id()).alias("row"), words(ascii_lower(F.col("text"))).alias("w"))
     rows = rows.select("doc_id", "row", F.explode(shingles(F.col("w"), n)).alias("h"))
     known = items.select(F.explode("of_item").alias("h")).distinct()
     reduced = rows.join(_sized(known, n_shingles), "h", "left_semi").groupBy("doc_id", "row").agg(F.collect_set("h").alias("held"))
@@ -82,7 +83,7 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
     return (
         pairs.join(_sized(items, n_shingles), "item").join(reduced, "row")
         .where(shared * 1000 >= F.round(F.lit(containment * 1000)) * F.col("m"))
-        .select("doc_id", "item_id", shared.cast("long").alias("n_shared"), F.col("m").cast("long").alias("n_item"), F.round(shared / F.col("m"), 6).alias("containment"))
+        .select("doc_id", "item_id", shared.cast("long").alias("n_shared"), F.col("m").cast("long").alias("n_item"), F.round(shared / F.col("m"), 6).alias("containment"), *([F.col("row").alias("key")] if key else []))
     )
 
 
