@@ -1,6 +1,8 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, window by window.
 
-Training takes a bounded sample of the labelled training rows, PER_CLASS of each label in an order by hash. Strings of
+Training takes a bounded sample of the labelled training rows, PER_CLASS of each label in an order by hash. Where their
+texts have more than MAX_CHARS characters, all stay and the longest are cut to one bound for each text, the largest that
+fits: PIECES pieces of equal length, spread evenly over the text. So no text ends or empties the sample. Strings of
 six bytes that are ODDS times as common in the toxic documents, and in a hundredth of them or more, mark the stretches of
 toxic text that the toxic dictionary is trained on (zstandard's own trainer); the ordinary one is trained on windows of
 ordinary text. Both stand before or after the same base, so that their difference is what one of them knows alone.
@@ -8,12 +10,14 @@ A window of 64 bytes is compressed with each; the bytes saved by the toxic one,
 calibrated to a probability by a logistic fit on the training documents.
 
 Cases: null and empty texts have no windows and get the score of zero savings; a text shorter than a window is one; rows
-with a null label or without a label are scored, not learned from; where one label has no rows every score is 0;
+with a null label or without a label are scored, not learned from; where one label has no rows with a text every score is 0,
+with a warning if the label has rows in the table of labels;
 repeated rows get the same score; ties in the order by hash are broken by the text.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -23,10 +27,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, release
+from .common import LOWER, UPPER, release, written
 
 #: The bounds of the sample: rows of each label, and characters of text over all rows of a label.
 PER_CLASS, MAX_CHARS = 2000, 12_000_000
+#: Pieces that are taken of a text longer than the bound for each text.
+PIECES = 16
 FOLDS, HELD = 4, 2
 GRAM, SUPPORT, ODDS = 6, 0.01, 100
 DICT_BYTES, BASE_BYTES, LEVEL, WINDOW, STEP, CUT = 1024, 8192, 5, 64, 32, 0.3
@@ -141,20 +147,38 @@ def _score(model: dict | None) -> Callable:
     return run
 
 
+def bound_each(lengths: list[int], max_chars: int) -> int:
+    """The largest bound for each text, 1 at least, with which texts of these lengths have max_chars characters or fewer."""
+    left = max_chars
+    for k, n in enumerate(sorted(lengths)):
+        if n * (len(lengths) - k) > left:
+            return max(1, left // (len(lengths) - k))
+        left -= n
+    return max(lengths, default=1)
+
+
+def pieces(text: Column, bound: int) -> Column:
+    """A text of up to bound characters as it is, a longer one as pieces of bound characters together, in its order."""
+    k = min(PIECES, bound)
+    size = bound // k
+    starts = [F.floor((F.length(text) - size) * i / max(1, k - 1)) + 1 for i in range(k)]
+    return F.when(F.length(text) <= bound, text).otherwise(F.concat(*[F.substring(text, s.cast("int"), F.lit(size)) for s in starts]))
+
+
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> tuple[dict[int, list[str]], dict[int, int]]:
     """Texts of up to per_class training rows of each label, and how many training rows each label has."""
     training = labels.where((fold(F.col("doc_id")) != HELD) & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
     counts = {r["toxic"]: r["n"] for r in training.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     texts = {}
     for toxic in counts:
-        # The ids with the least hashes, at most per_class rows; their texts come to the driver, max_chars at most.
+        # The ids with the least hashes, at most per_class rows; their texts come to the driver, max_chars at most together.
         chosen = training.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id")
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(per_class)
-        texts[toxic], n = [], 0
-        for r in rows.toLocalIterator():
-            if (n := n + len(r["text"])) > max_chars:
-                break
-            texts[toxic].append(r["text"])
+        rows = written(rows, "sample").orderBy(F.xxhash64("doc_id"), "text")
+        bound = bound_each([r["n"] for r in rows.select(F.length("text").alias("n")).collect()], max_chars)
+        texts[toxic] = [r["text"] for r in rows.select(pieces(F.col("text"), bound).alias("text")).toLocalIterator()]
+        if not texts[toxic]:
+            warnings.warn(f"toxicity: label {toxic} has {counts[toxic]} training rows and no document with a text, so every score is 0", stacklevel=2)
     return texts, counts
 
 
