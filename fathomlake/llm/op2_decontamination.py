@@ -2,6 +2,9 @@
 
 A text's set is its distinct five-word shingles (words between ASCII white space, A-Z in lower case; the whole sequence
 as one shingle where there are fewer words). A document holds a benchmark item if it has 0.8 or more of the item's set.
+An item of k words, fewer than five, is one shingle, and a document also has its runs of k words, for each k that any item
+has: such an item is found inside longer documents. (The SQL below finds it only as a whole document; on tables without
+such items, as the given ones, both are the same.)
 
 1. Documents are reduced to shingles that any item has. That leaves every intersection with an item, and so every
    containment, as it was, and makes short sets of long documents.
@@ -36,6 +39,12 @@ def shingles(w: Column, n: int = N) -> Column:
     return F.array_distinct(F.when(F.size(w) >= n, each).when(F.size(w) > 0, short).otherwise(F.array().cast("array<bigint>")))
 
 
+def short_runs(w: Column, k: int) -> Column:
+    """Distinct hashes of each k neighbouring words, as shingles() gives for a whole text of k words."""
+    each = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " "), F.lit("short")))
+    return F.array_distinct(F.when(F.size(w) >= k, each).otherwise(F.array().cast("array<bigint>")))
+
+
 def bands_needed(u: Column, m: Column, t: float, miss: float = MISS) -> Column:
     s = F.least(F.lit(1 - 1e-9), t * m / (u + m - t * m))
     return F.ceil(F.lit(math.log(miss)) / F.log(1 - s))
@@ -48,12 +57,14 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
 def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, n: int = N, bands: int = BANDS, key: str | None = None) -> DataFrame:
     """One row per document row and item that it holds: doc_id, item_id, n_shared, n_item, containment; and key, where a
     column of distinct row numbers is given."""
-    items = items.select(F.col("item_id").cast("long"), words(ascii_lower(F.col("text"))).alias("w")).select("item_id", F.monotonically_increasing_id().alias("item"), shingles(F.col("w"), n).alias("of_item")).where(F.size("of_item") > 0)
+    items = items.select(F.col("item_id").cast("long"), words(ascii_lower(F.col("text"))).alias("w")).select("item_id", F.monotonically_increasing_id().alias("item"), shingles(F.col("w"), n).alias("of_item"), F.size("w").alias("n_words")).where(F.size("of_item") > 0)
     items = written(items.withColumn("m", F.size("of_item")), "items")
     n_items, n_shingles = items.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0))).first()
 
     rows = docs.select(F.col("doc_id").cast("long"), (F.col(key).cast("long") if key else F.monotonically_increasing_id()).alias("row"), words(ascii_lower(F.col("text"))).alias("w"))
-    rows = rows.select("doc_id", "row", F.explode(shingles(F.col("w"), n)).alias("h"))
+    lengths = [r["n_words"] for r in items.where(F.col("n_words") < n).select("n_words").distinct().collect()]
+    held = F.array_union(shingles(F.col("w"), n), F.flatten(F.array(*[short_runs(F.col("w"), k) for k in lengths]))) if lengths else shingles(F.col("w"), n)
+    rows = rows.select("doc_id", "row", F.explode(held).alias("h"))
     known = items.select(F.explode("of_item").alias("h")).distinct()
     reduced = rows.join(_sized(known, n_shingles), "h", "left_semi").groupBy("doc_id", "row").agg(F.collect_set("h").alias("held"))
     # Partitions by size: u is the largest size in a set's partition.
