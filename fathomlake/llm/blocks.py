@@ -76,7 +76,7 @@ def load(row) -> Block:
     return Block(row.block, list(row.ids), np.frombuffer(unsqueeze(row.data), np.uint8), at)
 
 
-def _make(size: int) -> Callable:
+def _make(size: int, schema: str, more: Callable[[Block], tuple[dict, list[dict]]] | None) -> Callable:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -84,17 +84,19 @@ def _make(size: int) -> Callable:
             ids = batch.column("doc_id").to_pylist()
             cuts = np.unique(np.concatenate([[0], np.searchsorted(at[:-1], np.arange(size, max(int(at[-1]), 1), size)), [len(ids)]]))
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                row = as_row(block, ids[i:j], raw[at[i] : at[j]], at[i : j + 1] - at[i])
-                yield pa.RecordBatch.from_pylist([row], arrow_schema(BLOCK))
+                b = Block(block, ids[i:j], raw[at[i] : at[j]], at[i : j + 1] - at[i])
+                fields, rows = more(b) if more else ({}, [])
+                yield pa.RecordBatch.from_pylist([as_row(b.block, b.ids, b.raw, b.at) | fields, *rows], arrow_schema(schema))
                 block += 1
                 release()
 
     return make
 
 
-def blocks(docs: DataFrame, size: int = 4 << 20) -> DataFrame:
-    """The documents in blocks of about so many bytes, written once: block numbers stay as they are."""
-    return written(texts_of(docs).mapInArrow(_make(size), BLOCK), "blocks")
+def blocks(docs: DataFrame, size: int = 4 << 20, schema: str = BLOCK, more: Callable[[Block], tuple[dict, list[dict]]] | None = None) -> DataFrame:
+    """The documents in blocks of about so many bytes, written once: block numbers stay as they are. more: from a block
+    to further fields of its row, and to rows of other columns that are written with it."""
+    return written(texts_of(docs).mapInArrow(_make(size, schema, more), schema), "blocks")
 
 
 def ask(shards: int, block: int, keys: np.ndarray, counts: np.ndarray) -> list[dict]:

@@ -1,15 +1,20 @@
 """Suffix-array dedup: bytes covered by a string of a given length that starts anywhere else go.
 
-1. Every window of `length` bytes is held against all documents by its chosen string of 64 bytes (chosen by content, the
-   least hash; see blocks.anchors). Only windows whose chosen string is repeated go on: elsewhere their equals have it too.
-2. Neighbouring windows with one choice form a passage. Passages that are repeated as a whole need no more than that; one
-   of each kind, and those that occur once, go into suffix arrays, if the choice has passages of more than one kind.
-3. Each shard, a block of documents, sorts the suffixes of these passages (Larsson-Sadakane), counts common prefixes
-   (Kasai), and so has its distinct windows; the shards' sorted lists of them are merged by binary search.
+1. Strings of SHORT bytes, chosen by content (in every string of SPAN bytes the one of least hash; see blocks.anchors),
+   are held against all documents. A window of `length` bytes goes on only if all chosen strings in it are repeated.
+2. A shard is a block of the documents left. It sorts the suffixes of all its windows (Larsson-Sadakane) and counts
+   common prefixes (Kasai): neighbours with `length` common bytes or more are equal windows, and a window that has an
+   equal one in its own shard is settled. Neighbouring windows with one choice form a passage; two passages are equal if
+   their first windows and their last windows are.
+3. Shards are merged by binary search in their sorted lists of distinct passages, and then of distinct windows: those of
+   passages that differ under one choice (one specimen of a passage that is repeated as a whole), by suffix arrays again.
+
+Besides what is removed, n_repeated counts bytes that a repeated chosen string or a removed string covers: a passage that
+is repeated, but too short to be removed, is seen there if it has SPAN bytes.
 
 Cases: a null or empty text has no bytes; texts shorter than a window stay whole; repeated rows are texts of their own,
-so every window of theirs is repeated; a text that repeats itself counts, overlaps too; a removal may split a character.
-Across shards strings are compared by 64-bit hashes.
+so every window of theirs is repeated; a null doc_id is a document like others; a text that repeats itself counts,
+overlaps too; a removal may split a character. In a shard strings are compared as they are, across shards by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -18,21 +23,22 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ASK, BLOCK, Block, anchors, as_row, ask, blocks, covered, gathered, inside, is_in, keys_of, load, mapped, merge, mix, pack, pack_sorted, repeated, squeeze, unpack, unpack_sorted, unsqueeze
-from .common import shards_for, written
+from .common import release, shards_for, texts_of, written
 from .suffix_array import common_prefixes, suffix_array
 
-LENGTH, SHORT = 400, 64
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-PASSAGES, ANSWER = "shard int, block long, kind int, keys binary, counts binary, first binary, last binary", "block long, kind int, found binary"
+LENGTH, SHORT, SPAN = 400, 160, 256
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long"
+PLACED = f"{BLOCK}, first binary, last binary, places binary, shard int, keys binary, counts binary"
+LEFT = f"{BLOCK}, first binary, last binary, choices binary, kinds binary, settled binary, short binary"
+PASSAGES, ANSWER = "shard int, block long, kind int, keys binary, counts binary, least binary, most binary", "block long, kind int, found binary"
 
 
 def byte_runs(raw: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of n bytes; n: 8 times a power of two, or more than 8."""
+    """A hash of each run of n bytes; n: 8 or more."""
     if len(raw) < n:
         return np.zeros(0, np.uint64)
     eight = mix(np.ndarray((len(raw) - 7,), "<u8", np.ascontiguousarray(raw), strides=(1,)).astype(np.uint64))
@@ -48,70 +54,63 @@ def byte_runs(raw: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-class _Passages:
-    """Windows that are left in a block, in passages: neighbours that share a chosen string."""
-
-    def __init__(self, b: Block, length: int, short: int, marks: np.ndarray | None = None):
-        self.b, self.length = b, length
-        ok = inside(b.at, length)[: max(0, len(b.raw) - length + 1)]
-        if marks is not None:
-            ok &= marks[: len(ok)]
-        windows = np.flatnonzero(ok)
-        if len(windows):
-            hashes = byte_runs(b.raw, short)
-            chosen = anchors(hashes, length - short + 1)[windows]
-            new = (np.diff(chosen, prepend=-1) != 0) | (np.diff(windows, prepend=-1) != 1)
-            self.first = windows[new]
-            self.last = windows[np.append(np.flatnonzero(new)[1:] - 1, len(windows) - 1)]
-            self.keys = hashes[chosen[new]]
-            self.places = chosen[new]
-        else:
-            self.first = self.last = self.places = windows
-            self.keys = np.zeros(0, np.uint64)
+def _ups(x: np.ndarray) -> bytes:
+    """Packed places, in order."""
+    return pack(np.diff(x, prepend=0).astype(np.uint64))
 
-    def kinds(self) -> np.ndarray:
-        """A hash of each passage's choice and whole text."""
-        raw = self.b.raw.tobytes()
-        view = memoryview(raw)
-        return mix(self.keys ^ np.fromiter((xxhash.xxh3_64_intdigest(view[i : j + self.length]) for i, j in zip(self.first, self.last, strict=True)), np.uint64, len(self.first)))
 
-    def starts(self, which: np.ndarray) -> np.ndarray:
-        """The windows of some passages."""
-        n = (self.last - self.first + 1)[which]
-        return np.repeat(self.first[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+def _places(x: bytes) -> np.ndarray:
+    return np.cumsum(unpack(x).astype(np.int64))
+
+
+def _bits(x: np.ndarray) -> bytes:
+    return squeeze(np.packbits(x).tobytes())
 
 
-def _marks(row, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(unsqueeze(row.marks), np.uint8), count=n).astype(bool)
+def _flags(x: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(unsqueeze(x), np.uint8), count=n).astype(bool)
 
 
-def _left(row, length: int, short: int) -> _Passages:
-    b = load(row)
-    return _Passages(b, length, short, _marks(row, len(b.raw)))
+def passages_of(windows: np.ndarray, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows in passages, neighbours that share a choice among so many hashes: where each one's first and last window
+    start, and the place of its choice."""
+    chosen = anchors(hashes, width)[windows] if len(windows) else windows
+    new = (np.diff(chosen, prepend=-1) != 0) | (np.diff(windows, prepend=-1) != 1)
+    ends = np.append(np.flatnonzero(new)[1:] - 1, len(windows) - 1)[: int(new.sum())]
+    return windows[new], windows[ends], chosen[new]
 
 
-def local_windows(p: _Passages, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct windows of some passages by the suffix array of their texts: hashes, sorted, and how often each is there."""
-    starts = p.starts(which)
+def window_groups(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For windows at some starts the number of their group of equal ones, by the suffix array of what they cover; and
+    how many are in each group."""
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keep = covered(starts, p.length, len(p.b.raw))
-    text, there = p.b.raw[keep], np.cumsum(keep)[starts] - 1
-    order = suffix_array(text)
-    new = common_prefixes(text, order) < p.length
-    is_window = np.zeros(len(text), bool)
-    is_window[there] = True
-    group = np.cumsum(new)[is_window[order]]  # a window's bytes are neighbours in the text, as they all are kept
-    _, first, n = np.unique(group, return_index=True, return_counts=True)
-    hashes = byte_runs(text, p.length)[order[is_window[order]][first]]
-    by = np.argsort(hashes)
-    hashes, n = hashes[by], n[by]
-    new = np.append(True, np.diff(hashes) != 0)
-    return hashes[new], np.add.reduceat(n, np.flatnonzero(new))
+        return starts, starts
+    keep = covered(starts, length, len(raw))
+    text, there = raw[keep], np.cumsum(keep)[starts] - 1  # a window's bytes are neighbours here too, as they all are kept
+    order = suffix_array(text, length)
+    group = np.empty(len(text), np.int64)
+    group[order] = np.cumsum(common_prefixes(text, order, length) < length)
+    _, of, n = np.unique(group[there], return_inverse=True, return_counts=True)
+    return of, n
+
+
+class _Passages:
+    """The windows left in a block, in passages: neighbours that share a chosen string."""
+
+    def __init__(self, row):
+        self.b = load(row)
+        self.first, self.last = _places(row.first), _places(row.last)
+        self.choices, self.kinds = unpack(row.choices), unpack(row.kinds)
+
+    def starts(self, which: np.ndarray) -> np.ndarray:
+        """The windows of some passages."""
+        n = (self.last - self.first + 1)[which]
+        return np.repeat(self.first[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 def _answer(asked: pd.DataFrame) -> pd.DataFrame:
     """kind 0, of passages: 0 repeated, 1 to be looked at by this block though repeated; kind 1, of choices: 2 if they have several passages."""
+    release()
     out = []
     for kind, part in asked.groupby("kind"):
         lists = [unpack_sorted(x) for x in part["keys"]]
@@ -125,94 +124,118 @@ def _answer(asked: pd.DataFrame) -> pd.DataFrame:
         else:
             merged, _, places = merge(lists, [0] * len(lists))
             least, most = np.full(len(merged), 2**64 - 1, np.uint64), np.zeros(len(merged), np.uint64)
-            for at, a, b in zip(places, part["first"], part["last"], strict=True):
+            for at, a, b in zip(places, part["least"], part["most"], strict=True):
                 least[at], most[at] = np.minimum(least[at], unpack(a)), np.maximum(most[at], unpack(b))
             out += [(block, 2, keys[least[at] < most[at]]) for block, keys, at in zip(part["block"], lists, places, strict=True)]
     return pd.DataFrame([(b, k, pack_sorted(x)) for b, k, x in out if len(x)], columns=["block", "kind", "found"])
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, short: int = SHORT, block_bytes: int = 2 << 20) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal runs of removed bytes), kept_sha256."""
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, short: int = SHORT, span: int = SPAN, block_bytes: int = 2 << 20) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal runs of removed bytes), kept_sha256, n_repeated.
+
+    8 <= short <= span <= length."""
     spark = docs.sparkSession
-    whole = blocks(docs, block_bytes)
-    n_bytes = whole.agg(F.sum("block_bytes")).first()[0] or 0
+    n_bytes = texts_of(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = shards_for(spark, n_bytes / 40)
 
-    def choices(row) -> list[dict]:
-        p = _Passages(load(row), length, short)
-        new = np.diff(p.places, prepend=-1) != 0
-        keys, n = np.unique(p.keys[new], return_counts=True)
-        return ask(shards, p.b.block, keys, n)
+    def choices(b: Block) -> tuple[dict, list[dict]]:
+        hashes = byte_runs(b.raw, short)
+        first, last, places = passages_of(np.flatnonzero(inside(b.at, span)[: max(0, len(b.raw) - span + 1)]), hashes, span - short + 1)
+        # The least hashes are small numbers: mixed again they spread over all shards.
+        keys, n = np.unique(mix(hashes[places[np.diff(places, prepend=-1) != 0]]), return_counts=True)
+        return {"first": _ups(first), "last": _ups(last), "places": _ups(places)}, ask(shards, b.block, keys, n)
 
-    shards = shards_for(spark, n_bytes / 100)
-    found = repeated(mapped(whole, choices, ASK))
+    stage = blocks(docs, block_bytes, PLACED, choices)
+    names = [x.split()[0] for x in BLOCK.split(", ")]
+    found = repeated(stage.where("shard IS NOT NULL").select("shard", "block", "keys", "counts"))
 
     def narrow(row) -> list[dict]:
-        """Documents without a window left are done; the others go on as a smaller block with marked windows."""
-        p = _Passages(load(row), length, short)
-        b, marks = p.b, np.zeros(len(p.b.raw) + 1, bool)
-        marks[p.starts(is_in(p.keys, keys_of(row.found)))] = True
-        n = np.diff(b.at)
-        some = (np.add.reduceat(marks, b.at[:-1]) > 0) & (n > 0)
-        done = [{"doc_id": b.ids[i], "n_bytes": int(n[i]), "n_removed": 0, "n_spans": 0, "kept_sha256": hashlib.sha256(b.raw[b.at[i] : b.at[i + 1]].tobytes()).hexdigest()} for i in np.flatnonzero(~some)]
+        """Documents without a window left are done; the others go on as a smaller block with its windows in passages."""
+        b = load(row)
+        first, last, places = (_places(x) for x in (row.first, row.last, row.places))
+        n, hashes = len(b.raw), byte_runs(b.raw, short)
+        hit = is_in(mix(hashes[places]), keys_of(row.found))
+        seen, step = covered(places[hit], short, n), np.zeros(n + 1, np.int64)
+        # Windows that hold a string of `span` bytes whose choice is not repeated.
+        np.add.at(step, np.maximum(first[~hit] - length + span, 0), 1)
+        np.add.at(step, last[~hit] + 1, -1)
+        marks = inside(b.at, length) & (np.cumsum(step)[:-1] == 0)
+        sizes = np.diff(b.at)
+        some = (np.add.reduceat(np.append(marks, False), b.at[:-1]) > 0) & (sizes > 0)
+        done = []
+        for i in np.flatnonzero(~some):
+            here = slice(b.at[i], b.at[i + 1])
+            done.append({"doc_id": b.ids[i], "n_bytes": int(sizes[i]), "n_removed": 0, "n_spans": 0, "kept_sha256": hashlib.sha256(b.raw[here].tobytes()).hexdigest(), "n_repeated": int(seen[here].sum())})
         if not some.any():
             return done
-        keep = np.repeat(some, n)
-        out = as_row(b.block, [b.ids[i] for i in np.flatnonzero(some)], b.raw[keep], np.concatenate([[0], np.cumsum(n[some])]))
-        return [*done, out | {"marks": squeeze(np.packbits(marks[:-1][keep]).tobytes())}]
-
-    stage = written(mapped(whole.join(found, "block", "left"), narrow, f"{RESULT}, {BLOCK}, marks binary"), "narrowed")
-    names = [x.split()[0] for x in f"{BLOCK}, marks binary".split(", ")]
-    done, left = stage.where("block IS NULL").select(*[x.split()[0] for x in RESULT.split(", ")]), stage.where("block IS NOT NULL").select(*names)
+        keep = np.repeat(some, sizes)
+        raw, windows, at = b.raw[keep], np.flatnonzero(marks[keep]), np.concatenate([[0], np.cumsum(sizes[some])])
+        hashes = byte_runs(raw, short)
+        first, last, places = passages_of(windows, hashes, length - short + 1)
+        group, times = window_groups(raw, windows, length)
+        # Equal passages have equal first and last windows and as many of them: their key is that of any of the group's.
+        runs, place = byte_runs(raw, length), np.searchsorted(windows, [first, last])
+        _, one, kind = np.unique(np.column_stack([*group[place], last - first]), axis=0, return_index=True, return_inverse=True)
+        keys = mix(mix(runs[first[one]]) * np.uint64(0x9E3779B97F4A7C15) + runs[last[one]] + (last - first)[one].astype(np.uint64))
+        settled = np.zeros(len(raw), bool)
+        settled[windows[times[group] > 1]] = True
+        fields = {"first": _ups(first), "last": _ups(last), "choices": pack(mix(hashes[places])), "kinds": pack(keys[kind.ravel()]), "settled": _bits(settled), "short": _bits(seen[keep])}
+        return [*done, as_row(b.block, [b.ids[i] for i in np.flatnonzero(some)], raw, at) | fields]
+
+    stage = written(mapped(stage.where("shard IS NULL").select(*names, "first", "last", "places").join(found, "block", "left"), narrow, f"{RESULT}, {LEFT}"), "narrowed")
+    done, left = stage.where("block IS NULL").select(*[x.split()[0] for x in RESULT.split(", ")]), stage.where("block IS NOT NULL").select(*[x.split()[0] for x in LEFT.split(", ")])
 
     def passages(row) -> list[dict]:
-        p = _left(row, length, short)
-        kinds = p.kinds()
-        keys, n = np.unique(kinds, return_counts=True)
-        out = [x | {"kind": 0} for x in ask(shards, p.b.block, keys, n)]
-        if len(kinds):
-            order = np.lexsort((kinds, p.keys))
-            at = np.flatnonzero(np.append(True, np.diff(p.keys[order]) != 0))
-            keys, least, most = p.keys[order][at], kinds[order][at], kinds[order][np.append(at[1:], len(order)) - 1]
-            done = 0
-            for x in ask(shards, p.b.block, keys, np.zeros(len(keys))):
-                here = slice(done, done := done + len(unpack(x["counts"], np.uint32)))
-                out.append(x | {"kind": 1, "first": pack(least[here]), "last": pack(most[here])})
+        kinds, choices = unpack(row.kinds), unpack(row.choices)
+        out = [x | {"kind": 0} for x in ask(shards, row.block, *np.unique(kinds, return_counts=True))]
+        order = np.lexsort((kinds, choices))
+        at = np.flatnonzero(np.append(True, np.diff(choices[order]) != 0))
+        keys, least, most = choices[order][at], kinds[order][at], kinds[order][np.append(at[1:], len(order)) - 1]
+        done = 0
+        for x in ask(shards, row.block, keys, np.zeros(len(keys))):
+            here = slice(done, done := done + len(unpack(x["counts"], np.uint32)))
+            out.append(x | {"kind": 1, "least": pack(least[here]), "most": pack(most[here])})
         return out
 
-    asked = mapped(left, passages, PASSAGES)
-    answers = written(asked.groupBy("shard").applyInPandas(_answer, ANSWER), "passages").groupBy("block").agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("found"))).alias(f"found{k}") for k in range(3)])
-    # The two lists that later steps need, with the documents, once.
-    left = written(left.join(answers, "block", "left"), "passages")
+    asked = mapped(left.select("block", "choices", "kinds"), passages, PASSAGES)
+    answers = written(asked.groupBy("shard").applyInPandas(_answer, ANSWER), "passages")
+    of_block = answers.groupBy("block").agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("found"))).alias(f"found{k}") for k in range(3)])
+    left = left.join(of_block, "block", "left")
 
     def looked_at(row, p: _Passages) -> tuple[np.ndarray, np.ndarray]:
-        """Passages that are repeated as a whole, and those that go into the suffix array."""
-        kinds = p.kinds()
-        whole = is_in(kinds, keys_of(row.found0))
-        mine = is_in(kinds, keys_of(row.found1))
+        """Passages that are repeated as a whole, and those whose windows are merged one by one."""
+        whole, mine = is_in(p.kinds, keys_of(row.found0)), is_in(p.kinds, keys_of(row.found1))
         if mine.any():  # one of each kind
             at = np.flatnonzero(mine)
-            mine = np.zeros(len(kinds), bool)
-            mine[at[np.unique(kinds[at], return_index=True)[1]]] = True
-        return whole, is_in(p.keys, keys_of(row.found2)) & (mine | ~whole)
+            mine = np.zeros(len(p.kinds), bool)
+            mine[at[np.unique(p.kinds[at], return_index=True)[1]]] = True
+        return whole, is_in(p.choices, keys_of(row.found2)) & (mine | ~whole)
 
     def sorted_windows(row) -> list[dict]:
-        p = _left(row, length, short)
-        return ask(shards, p.b.block, *local_windows(p, looked_at(row, p)[1]))
+        p = _Passages(row)
+        starts = p.starts(looked_at(row, p)[1])
+        group, times = window_groups(p.b.raw, starts, length)
+        if not len(starts):
+            return []
+        keys = byte_runs(p.b.raw, length)[starts[np.unique(group, return_index=True)[1]]]
+        by = np.argsort(keys)
+        new = np.append(True, np.diff(keys[by]) != 0)
+        return ask(shards, p.b.block, keys[by][new], np.add.reduceat(times[by], np.flatnonzero(new)))
 
     found = repeated(mapped(left, sorted_windows, ASK))
 
     def finish(row) -> list[dict]:
-        p = _left(row, length, short)
+        p = _Passages(row)
+        b, n, out = p.b, len(p.b.raw), []
         whole, looked = looked_at(row, p)
         starts = p.starts(looked)
-        hit = starts[is_in(byte_runs(p.b.raw, length)[starts], keys_of(row.found))] if len(starts) else starts
-        b, out = p.b, []
-        gone = covered(np.concatenate([p.starts(whole), hit]), length, len(b.raw))
+        hit = starts[is_in(byte_runs(b.raw, length)[starts], keys_of(row.found))] if len(starts) else starts
+        gone = covered(np.concatenate([np.flatnonzero(_flags(row.settled, n)), p.starts(whole), hit]), length, n)
+        seen = _flags(row.short, n) | gone
         for i, doc_id in enumerate(b.ids):
             here, text = gone[b.at[i] : b.at[i + 1]], b.raw[b.at[i] : b.at[i + 1]]
             spans = int(here[0]) + int((here[1:] & ~here[:-1]).sum()) if len(here) else 0
-            out.append({"doc_id": doc_id, "n_bytes": len(text), "n_removed": int(here.sum()), "n_spans": spans, "kept_sha256": hashlib.sha256(text[~here].tobytes()).hexdigest()})
+            out.append({"doc_id": doc_id, "n_bytes": len(text), "n_removed": int(here.sum()), "n_spans": spans, "kept_sha256": hashlib.sha256(text[~here].tobytes()).hexdigest(), "n_repeated": int(seen[b.at[i] : b.at[i + 1]].sum())})
         return out
 
     return done.unionByName(mapped(left.join(found, "block", "left"), finish, RESULT))
-

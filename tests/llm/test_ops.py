@@ -10,12 +10,15 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fathomlake.llm import op2_decontamination, op4_lm_scoring, op6_line_dedup
+from fathomlake.llm.blocks import pack as pack_numbers
+from fathomlake.llm.blocks import pack_sorted, unpack
 from fathomlake.llm.op1_packing import pack, sequences
 from fathomlake.llm.op3_token_counts import token_counts
 from fathomlake.llm.op5_toxicity import toxicity, without_toxic
@@ -85,30 +88,78 @@ def test_token_counts(docs, plain, nothing):
     assert token_counts(nothing, BYTES).count() == 0
 
 
-def test_lm_scores(docs, plain, nothing, monkeypatch):
-    found, learn = {}, op4_lm_scoring.learn
-    monkeypatch.setattr(op4_lm_scoring, "learn", lambda t, v: found.setdefault("w", learn(t, v)))
+def plain_em(rows, v, buckets=40, rounds=100, prior=1000):
+    """Weights of three estimates for each bucket from (bucket, tokens, e2, e1), step by step; a bucket borrows a thousand
+    tokens' worth of the weights of all."""
+    def step(w, some):
+        sums = [0.0, 0.0, 0.0]
+        for _, n, e2, e1 in some:
+            p = [w[0] * e2, w[1] * e1, w[2] / (v + 1)]
+            for k in range(3):
+                sums[k] += n * p[k] / sum(p)
+        return sums
+
+    every = [1 / 3] * 3
+    for _ in range(rounds):
+        sums = step(every, rows)
+        every = [x / sum(sums) for x in sums]
+    every = [max(x, 1e-6) for x in every]
+    every = [x / sum(every) for x in every]
+    out = []
+    for b in range(buckets):
+        w, some = every, [r for r in rows if r[0] == b]
+        for _ in range(rounds):
+            sums = [x + prior * y for x, y in zip(step(w, some), every, strict=True)]
+            w = [x / sum(sums) for x in sums]
+        out.append([0, w[1] / (w[1] + w[2]), w[2] / (w[1] + w[2])] if b == 0 else w)
+    return np.array(out)
+
+
+def test_lm_weights():
+    r = np.random.default_rng(2)
+    rows = [(int(r.integers(0, 6)), int(r.integers(1, 5000)), float(r.random() * r.integers(0, 2)), float(r.random() / 100)) for _ in range(300)]
+    table = pd.DataFrame([(b, n, n * e2, n * e1) for b, n, e2, e1 in rows], columns=["bucket", "n", "e2", "e1"])
+    assert np.allclose(op4_lm_scoring.learn(table, 5000), plain_em(rows, 5000), atol=1e-6)
+
+
+def test_lm_counts_over_32_bits():
+    keys, most = np.array([5, 2**40, 2**63 + 7], np.uint64), 2**32 - 1
+    row = {"shard": 3, "keys": pack_sorted(keys), "counts": pack_numbers(np.array([most, 1, 0], np.uint32)), "parts": pack_numbers(np.array([most, 0, 0], np.uint32)), "uni": np.packbits([True, True, False]).tobytes()}
+    out = op4_lm_scoring._answer(pd.DataFrame([row | {"block": b} for b in range(3)]))
+    assert [list(unpack(x)) for x in out["totals"][:3]] == [[3 * most, 3, 0]] * 3 and [list(unpack(x)) for x in out["parts"][:3]] == [[3 * most, 0, 0]] * 3
+    assert out[["n_tokens", "n_parts", "n_types"]].iloc[3].tolist() == [3 * most + 3, 3 * most, 2]
+
+
+def test_lm_scores(docs, plain, nothing):
+    """Counts, weights and scores from scratch; the operator bins the held-out estimates, so its weights differ a little."""
     tokens = {i: [*lower_words(x), None] for i, x in plain.items()}
     fold = {i: zlib.crc32(str(i).encode()) % 7 for i in plain}
-    one, two, before = Counter(), Counter(), Counter()
-    for i, w in tokens.items():
-        if fold[i] != 2:
-            one.update(w)
-            for h, x in zip(["<s>", *w], w):
-                two[h, x] += 1
-                before[h] += 1
-    n, v = sum(one.values()), len(one)
+
+    def counted(skip):
+        one, two, before = Counter(), Counter(), Counter()
+        for i, w in tokens.items():
+            if fold[i] not in skip:
+                one.update(w)
+                for h, x in zip(["<s>", *w], w):
+                    two[h, x] += 1
+                    before[h] += 1
+        return one, two, before, sum(one.values())
+
+    one, two, before, n = counted({2})
+    some = counted({2, 3})
+    v, bucket = len(one), lambda c: int(math.log2(c)) + 1 if c else 0
+    held = [(bucket(some[2][h]), 1, some[1][h, x] / max(1, some[2][h]), some[0][x] / some[3]) for i, w in tokens.items() if fold[i] == 3 for h, x in zip(["<s>", *w], w)]
+    weights = plain_em(held, v, rounds=30)
     rows = op4_lm_scoring.language_model(docs, block_bytes=3000).collect()
-    assert len(rows) == len(plain)
+    assert len(rows) == len(plain) and held
     for r in rows:
         w = tokens[r.doc_id]
         score = 0.0
         for h, x in zip(["<s>", *w], w):
-            l = found["w"][int(math.log2(before[h])) + 1 if before[h] else 0]  # noqa: E741
+            l = weights[bucket(before[h])]  # noqa: E741
             score += math.log10(l[0] * two[h, x] / max(1, before[h]) + l[1] * one[x] / n + l[2] / (v + 1))
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (fold[r.doc_id] == 2, len(w), sum(x in one for x in w), n)
-        assert r.base_score == pytest.approx(sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w)) and r.score == pytest.approx(score)
-    assert np.allclose(found["w"].sum(axis=1), 1)
+        assert r.base_score == pytest.approx(sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w)) and r.score == pytest.approx(score, rel=0.01)
     assert op4_lm_scoring.language_model(nothing).count() == 0
 
 
@@ -181,16 +232,47 @@ def test_substring_dedup(docs, plain, nothing, length):
     assert substring_dedup(nothing).count() == 0
 
 
-def test_suffix_dedup(docs, plain, nothing):
-    b = {i: t.encode() for i, t in plain.items() if len(t) < 20000}
-    gone = covered(b, 120)
-    for r in suffix_dedup(docs.where(F.length(F.coalesce("text", F.lit(""))) < 20000), 120, 16, block_bytes=3000).collect():
-        g, x = gone[r.doc_id], b[r.doc_id]
-        spans = sum(g[k] and (k == 0 or not g[k - 1]) for k in range(len(g)))
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(x), sum(g), spans, hashlib.sha256(bytes(y for y, z in zip(x, g, strict=True) if not z)).hexdigest())
+def suffix_want(units, length):
+    """n_removed, n_spans and digest of what is left, by counting every window."""
+    key = lambda u, k: hashlib.blake2b(u[k : k + length], digest_size=16).digest()
+    seen, out = Counter(key(u, k) for u in units for k in range(len(u) - length + 1)), []
+    for u in units:
+        gone = np.zeros(len(u) + 1, int)
+        for k in range(len(u) - length + 1):
+            if seen[key(u, k)] > 1:
+                gone[k] += 1
+                gone[k + length] -= 1
+        gone = np.cumsum(gone)[:-1] > 0
+        spans = int((gone & ~np.append(False, gone[:-1])).sum())
+        out.append((len(u), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(u, np.uint8)[~gone].tobytes()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize(("length", "short", "span"), [(120, 16, 16), (120, 48, 72), (400, 160, 256)])
+def test_suffix_dedup(spark, docs, plain, nothing, length, short, span):
+    texts = [t.encode() for t in plain.values()]
+    want = dict(zip(plain, suffix_want(texts, length), strict=True))
+    rows = suffix_dedup(docs, length, short, span, block_bytes=3000).collect()
+    assert len(rows) == len(plain)
+    for r in rows:
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] and r.n_removed <= r.n_repeated <= r.n_bytes
+    # A string of `span` bytes that starts elsewhere too is seen, and what is seen is covered by repeated short strings.
+    repeats, shorts = suffix_want(texts, span), suffix_want(texts, short)
+    for r, a, b in zip(sorted(rows, key=lambda r: r.doc_id), repeats, shorts, strict=True):
+        assert (r.n_repeated > 0 or a[1] == 0) and r.n_repeated <= b[1]
     assert suffix_dedup(nothing).count() == 0
 
 
+def test_suffix_dedup_of_long_and_repeated_rows(spark):
+    r = np.random.default_rng(3)
+    long = " ".join("".join(chr(97 + c) for c in r.integers(0, 20, 6)) for _ in range(160_000))
+    texts = [long, f"start {long[500_000:500_900]} end", f"{long[77:476]} other", "ab" * 700, long[:3000], long[:3000], None, ""]
+    rows = [(1 if i in (4, 5) else None if i == 2 else i, t) for i, t in enumerate(texts)]
+    want = Counter((i, *w) for (i, _), w in zip(rows, suffix_want([(t or "").encode() for _, t in rows], 400), strict=True))
+    got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want and len(long) > 1_000_000
+
+
 def test_suffix_array():
     r = np.random.default_rng(1)
     for trial in range(200):
@@ -202,6 +284,11 @@ def test_suffix_array():
         if want:
             common = lambda i, j: next((k for k in range(len(b)) if max(i, j) + k == len(b) or b[i + k] != b[j + k]), 0)
             assert list(common_prefixes(text, order)) == [0] + [common(want[k - 1], want[k]) for k in range(1, len(b))]
+            for depth in (1, 3, 9, 20):  # the same groups of strings of so many bytes
+                some = suffix_array(text, depth)
+                assert [b[i : i + depth] for i in some] == [b[i : i + depth] for i in want]
+                n = [min(x, depth) for x in common_prefixes(text, some, depth)]
+                assert n == [0] + [min(common(some[k - 1], some[k]), depth) for k in range(1, len(b))]
 
 
 @pytest.mark.parametrize(("n", "tile"), [(4, 1000), (4, 3), (5, 1000)])
