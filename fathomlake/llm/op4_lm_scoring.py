@@ -6,8 +6,9 @@ documents, N their tokens, V their distinct ones, and weights l for each bucket
 documents (those whose remainder is DELETED), against the counts of the others; scores use the counts of all of them.
 
 A block of documents asks once about each of its distinct words and bigrams, with its own counts; shards add up and
-answer every block (see blocks). The held-out tokens are summed up by bucket and by eighths of octaves of their two
-estimates, a table with a fixed bound, for the expectation-maximisation.
+answer every block (see blocks). A block's own counts are below 2 ** 32, sums have 64 bits. The held-out tokens are
+summed up by bucket and by eighths of octaves of their two estimates, for the expectation-maximisation on the driver: at
+most 40 x 385 x 385 rows, or 280 MB, however large the input; on the given tables some tens of thousands.
 
 Cases: null and empty texts have the end token alone; repeated rows count and are scored each; a null doc_id is not
 trained on and not held out; with no training documents N and V are 0 and only the uniform part is left.
@@ -71,7 +72,7 @@ class _Tokens:
 
     def estimates(self, found: list, which: str, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each token: the bucket of its context, the bigram's and the unigram's estimate, and the word's count."""
-        counts = np.concatenate([unpack(x[which], np.uint32) for x in found]).astype(np.float64)
+        counts = np.concatenate([unpack(x[which]) for x in found]).astype(np.float64)
         word, context, pair = counts[self.word], counts[self.context], counts[self.pair]
         bucket = np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))) + 1, 0).astype(np.int64)
         return np.minimum(bucket, BUCKETS - 1), pair / np.maximum(context, 1), word / max(total, 1), word
@@ -98,7 +99,7 @@ def _answer(asked: pd.DataFrame) -> pd.DataFrame:
     for at, b, c in zip(places, asked["parts"], asked["uni"], strict=True):
         parts[at] += unpack(b, np.uint32)
         uni[at] |= np.unpackbits(np.frombuffer(c, np.uint8), count=len(at)).astype(bool)
-    rows = [(block, shard, pack(totals[at].astype(np.uint32)), pack(parts[at].astype(np.uint32)), 0, 0, 0) for block, shard, at in zip(asked["block"], asked["shard"], places, strict=True)]
+    rows = [(block, shard, pack(totals[at].astype(np.uint64)), pack(parts[at].astype(np.uint64)), 0, 0, 0) for block, shard, at in zip(asked["block"], asked["shard"], places, strict=True)]
     rows.append((-1, int(asked["shard"].iloc[0]), None, None, int(totals[uni].sum()), int(parts[uni].sum()), int((totals[uni] > 0).sum())))
     return pd.DataFrame(rows, columns=[x.split()[0] for x in ANSWER.split(", ")])
 
