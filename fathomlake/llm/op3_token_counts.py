@@ -7,7 +7,8 @@ block's list of distinct ones) and the list itself, dealt into shards by hash. A
 of each distinct pre-token once and answers every block; with the answers a block's frequencies are summed. No ids are
 kept, and a pre-token that all documents hold is one entry for each block.
 
-Cases: null and empty texts have 0 tokens; texts without white space are one pre-token; repeated rows count each.
+Cases: null and empty texts have 0 tokens; texts without white space are one pre-token; repeated rows count each; a null
+doc_id is a document like others; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .common import release, shards_for, text_arrays, texts_of, written
 from .tokens import count_pieces
 
 LIMIT = 1024
+#: Strings that a shard gets, about: it holds them in memory, at some 150 bytes each.
+KEYS_EACH = 1_000_000
 ROW = "block long, shard int, n_keys int, lens binary, strings binary, ids array<long>, sizes binary, held binary, numbers binary, times binary"
 ANSWER = "block long, shard int, pieces binary"
 RESULT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -88,10 +91,12 @@ def _count(path: str) -> Callable:
     return count
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, block_bytes: int = 4 << 20) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, block_bytes: int = 4 << 20, keys_each: int = KEYS_EACH) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit."""
     spark = docs.sparkSession
-    shards = shards_for(spark, 0)
+    # A shard keeps its strings in memory: their number follows the bytes of all texts.
+    n_bytes = texts_of(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = shards_for(spark, n_bytes / 12, keys_each)
     rows = written(texts_of(docs).mapInArrow(_frequencies(block_bytes, shards), ROW), "frequencies")
     asked = rows.where("shard IS NOT NULL").select("block", "shard", "lens", "strings")
     answers = asked.groupBy("shard").applyInPandas(_count(path), ANSWER)
