@@ -6,7 +6,8 @@ short windows, chosen by content (the least hash); a window that occurs elsewher
 repeat is lost, and about one position in ten is sent. At the full length every window left is.
 
 Cases: a null or empty text has no words and its kept text is empty; texts shorter than a window stay whole; repeated
-rows are texts of their own, so all their windows are repeated; a text that repeats itself counts, overlaps too.
+rows are texts of their own, so all their windows are repeated; a null doc_id is a document like others; a text that
+repeats itself counts, overlaps too; an empty table gives an empty one.
 Sequences are compared by 64-bit hashes of three lengths, all of which must be repeated.
 """
 
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ASK, BLOCK, anchors, as_row, ask, blocks, covered, inside, is_in, keys_of, load, mapped, repeated, runs_of, span_hashes, squeeze, unsqueeze, word_spans
+from .blocks import ASK, BLOCK, anchors, as_row, ask, blocks, covered, inside, is_in, keys_of, load, mapped, mix, repeated, runs_of, span_hashes, squeeze, unsqueeze, word_spans
 from .common import shards_for, written
 
 LENGTH = 35
@@ -44,7 +45,7 @@ class _Level:
         self.windows = np.flatnonzero(self.ok)
         short_hashes = runs_of(self.hashes, short)
         self.chosen = anchors(short_hashes, length - short + 1)[self.windows] if len(self.windows) else self.windows
-        self.keys = short_hashes[self.chosen]
+        self.keys = mix(short_hashes[self.chosen])  # least hashes are small numbers: mixed again they spread over all shards
 
     def ask(self, shards: int) -> list[dict]:
         """Each chosen short window, at each of its places, once."""
