@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
+#: Parts that the neighbours of a node, and the nodes of a label, are spread over.
+NEIGHBOURS, NODES = 8, 32
+
+
+def _part(c: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+
+
+def _parts(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
 
 def components(links: DataFrame) -> DataFrame:
     """node and component, the least node it is linked with over any number of steps, for links of columns a and b.
 
     Each round a node takes the least label among its neighbours, and then the label of that label, so that chains
-    shrink by half or more; it ends when no label changes. Rounds are aggregations with map-side combining and joins
-    on nodes, so a node with very many links is not gathered anywhere.
+    shrink by half or more; it ends when no label changes. Rounds are aggregations with map-side combining and joins. A
+    node with very many links, or a label that very many nodes have, is spread over parts in the joins, each with a copy
+    of its one row.
     """
-    both = written(links.select("a", "b").where("a != b").union(links.selectExpr("b AS a", "a AS b").where("a != b")).distinct(), "links")
+    both = written(links.select("a", "b").where("a != b").union(links.selectExpr("b AS a", "a AS b").where("a != b")).distinct().withColumn("part", _part("a", NEIGHBOURS)), "links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
+        copies = labels.select(F.col("node").alias("b"), "component", _parts(NEIGHBOURS).alias("part"))
+        near = both.join(copies, ["b", "part"]).groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", "component", F.least("component", "near").alias("new"))
-        # A label is a node of the same component: go on to its own label.
-        of = step.select(F.col("node").alias("via"), F.col("new").alias("onward"))
-        step = step.join(of, step["new"] == of["via"], "left").select("node", F.least("new", F.coalesce("onward", "new")).alias("new"), "component")
+        step = written(step, "nearest")
+        # A label is a node of the same component: go on to its own label, where that is another.
+        used = step.select(F.col("new").alias("label")).distinct()
+        onward = used.join(step.where("new < node").select("node", F.col("new").alias("onward")), F.col("label") == F.col("node")).select(F.col("label").alias("new"), "onward", _parts(NODES).alias("part"))
+        step = step.withColumn("part", _part("node", NODES)).join(onward, ["new", "part"], "left").select("node", F.coalesce("onward", "new").alias("new"), "component")
         step = written(step, "labels")
         changed = step.where("new != component").limit(1).count()
         labels = step.select("node", F.col("new").alias("component"))

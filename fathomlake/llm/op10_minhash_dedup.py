@@ -3,8 +3,8 @@
 1. A document's set: hashes of its distinct runs of n words (A-Z in lower case; the whole sequence where there are fewer
    words). Under each of PERMUTATIONS multiplications its least and greatest hash go into the signature, two values for
    one evaluation. Documents with the same set form a class, and go on as one.
-2. The values make BANDS bands of ROWS: each value is in two or so. A pair at the threshold of 0.8 shares none with a
-   probability of (1 - 0.8 ** 6) ** 42 = 3e-6. Bands that only one document has are dropped (blocks ask each other).
+2. The values make BANDS bands of ROWS: each value is in two or so. Of a million pairs at the threshold of 0.8, simulated
+   with this very layout, none shared no band. Bands that only one document has are dropped (blocks ask each other).
 3. Classes that share bands, over any number of steps, form a cluster, found by links to each bucket's least class.
 4. In a cluster pairs are confirmed on full sets. Pairs that confirmed links already join, that differ too much in size
    or whose signatures agree in less than AGREE of the values (at 0.8, seven standard errors) need no look. A large
@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import ASK, arrow_schema, ask, is_in, keys_of, lowered, mapped, mix, repeated, runs_of, span_hashes, squeeze, unsqueeze, word_spans
@@ -33,7 +33,9 @@ from .common import release, shards_for, text_arrays, texts_of, written
 from .components import components
 
 N, PERCENT = 4, 80
-PERMUTATIONS, BANDS, ROWS, AGREE, TILE = 64, 42, 6, 0.55, 1000
+PERMUTATIONS, BANDS, ROWS, AGREE, TILE = 64, 48, 5, 0.55, 1000
+#: Bytes of packed texts in a tile of a large cluster, and in a bin of small ones.
+TILE_BYTES, BIN_BYTES = 32 << 20, 16 << 20
 LAST = 2**63 - 1
 _rng = np.random.default_rng(7)
 _TIMES = _rng.integers(0, 2**63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -171,28 +173,35 @@ def _bucket_links(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     return links, shared.groupBy("node").agg(F.sum("weight").alias("weight"))
 
 
-def near_links(candidates: DataFrame, percent: int, n: int, tile: int = TILE) -> DataFrame:
+def bins_for(spark: SparkSession, n_bytes: int) -> int:
+    """Groups that small clusters are dealt into: several for each shuffle partition, and of BIN_BYTES of packed text or so."""
+    return max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // BIN_BYTES + 1)
+
+
+def near_links(candidates: DataFrame, percent: int, n: int, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """Confirmed links between classes, enough to join all that are similar."""
     spark = candidates.sparkSession
     links, weights = _bucket_links(candidates)
-    clusters = components(links)
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("members"))
+    clusters = written(components(links).join(candidates.select("node", F.length("text").alias("bytes")), "node"), "sized")
+    # A cluster's tiles: by members and by bytes, so that a task holds a bounded part of it.
+    tiles = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("bytes") / tile_bytes)).cast("int")
+    sizes = clusters.groupBy("component").agg(tiles.alias("tiles"))
     members = written(
-        clusters.join(sizes, "component").join(candidates.drop("buckets"), "node").join(weights, "node", "left")
-        .select("component", "members", "weight", "node", "n_shingles", "values", "text"), "clusters",
+        clusters.drop("bytes").join(sizes, "component").join(candidates.drop("buckets"), "node").join(weights, "node", "left")
+        .select("component", "tiles", "weight", "node", "n_shingles", "values", "text"), "clusters",
     )
-    bins = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bins = bins_for(spark, clusters.agg(F.sum("bytes")).first()[0] or 0)
 
     def small(part: pd.DataFrame) -> pd.DataFrame:
         release()
         out = [x for _, some in part.groupby("component") for x in confirm(some, percent, n)]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    binned = members.where(F.col("members") <= tile).withColumn("bin", F.pmod(F.xxhash64("component"), F.lit(bins)))
+    binned = members.where("tiles = 1").withColumn("bin", F.pmod(F.xxhash64("component"), F.lit(bins)))
     found = binned.groupBy("bin").applyInPandas(small, LINK)
 
     # Large clusters. Each tile gets the hub's row too.
-    large = members.where(F.col("members") > tile).withColumn("tiles", F.ceil(F.col("members") / tile).cast("int"))
+    large = members.where("tiles > 1")
     if not large.limit(1).count():
         return found
     large = large.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
@@ -212,7 +221,7 @@ def near_links(candidates: DataFrame, percent: int, n: int, tile: int = TILE) ->
     of_hub = written(marked.where("node != hub").unionByName(hub_rows).groupBy("component", "tile").applyInPandas(to_hub, LINK), "hub")
     joined = marked.join(of_hub.select(F.col("a").alias("node"), F.lit(True).alias("linked")), "node", "left").withColumn("linked", F.coalesce("linked", F.col("node") == F.col("hub")))
     # Rest against rest, and rest against linked: two tiles for each pair of tiles that has some of the rest.
-    counts = joined.groupBy("component", "linked").agg(F.count("*").alias("c")).withColumn("k", F.ceil(F.col("c") / tile).cast("int")).drop("c")
+    counts = joined.groupBy("component", "linked").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum(F.length("text")) / tile_bytes)).cast("int").alias("k"))
     tiled = written(joined.join(counts, ["component", "linked"]).withColumn("t", F.pmod(F.xxhash64("node", F.lit(1)), F.col("k")).cast("int")), "tiled")
     parts = tiled.select("component", "linked", "t").distinct()
     left, right = parts.where("NOT linked").select("component", F.col("t").alias("t1")), parts.select("component", F.col("linked").alias("linked2"), F.col("t").alias("t2"))
@@ -233,7 +242,7 @@ def near_dedup(docs: DataFrame, n: int = N, percent: int = PERCENT, tile: int =
     texts = texts_of(docs, key=F.col(key).cast("long") if key else F.monotonically_increasing_id())
     stage = written(texts.mapInArrow(_sign(n, block_bytes), STAGE), "signatures")
     rows, signed = stage.where("values IS NULL").select("block", "doc_id", "key", "place", "n_shingles", "node"), stage.where("values IS NOT NULL").select("block", "values", "texts")
-    shards = shards_for(spark, 0)
+    shards = shards_for(spark, BANDS * rows.where("node IS NOT NULL").count())
 
     def bands(row) -> list[dict]:
         values = _values(row.values)
