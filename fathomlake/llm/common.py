@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Java pattern of a run of the six ASCII white-space characters, and of a word.
 SPACES, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
+#: Paths of the tables written in the open `cleared` blocks, the innermost last.
+_written: list[list[str]] = []
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,13 +49,47 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes the rows once as Parquet to the shared folder and reads them again."""
+    """Cuts the lineage: writes the rows once as Parquet to the shared folder and reads them again. The table stays, as
+    results that read it are lazy, unless it is written in a `cleared` block."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name like the given one that none of the columns has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, written, with a number each, and the name of its column: ids may be null or repeated, and a decision is
+    about one row."""
+    name = fresh("row_number", docs.columns)
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+@contextlib.contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Of the tables written inside only the last stays; the others are deleted when it ends, so nothing lazy that reads
+    them may come out of it. Blocks can be nested: the last table of an inner one counts as written in the outer one."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        *gone, last = _written.pop() or [None]
+        for path in gone:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        if last and _written:
+            _written[-1].append(last)
+
+
 def shards_for(spark: SparkSession, n_keys: float, keys_each: int = 2_000_000) -> int:
     """Groups to deal keys into: of at most about keys_each, and several for each shuffle partition."""
     return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_keys / keys_each) + 1)

@@ -7,8 +7,8 @@ at the first level where it meets no other) whose slots hold the full digest and
 doc_id with its row. Arriving digests, one row for each distinct one, go to the shard's hash: a slot whose 32 bytes are
 the same makes them repeats of that winner; the others are grouped among themselves.
 
-Cases: a null text is the empty text, and so equal to it; of rows with the same doc_id and equal texts one stays; a null
-doc_id comes after all others; an empty table gives an empty one.
+Cases: a null text is the empty text, and so equal to it; of rows with the same doc_id and equal texts one stays, the
+one with the least row number; a null doc_id comes after all others; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -118,19 +118,21 @@ def groups(digests: DataFrame, keys_each: int = KEYS_EACH) -> DataFrame:
     return history.groupBy("shard").cogroup(arrived.groupBy("shard")).applyInPandas(_look, LOOKED)
 
 
-def exact_dedup(docs: DataFrame, keys_each: int = KEYS_EACH) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, known (the winner is in the history).
+def exact_dedup(docs: DataFrame, keys_each: int = KEYS_EACH, key: str | None = None) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, known (the winner is in the history); and
+    key, where a column of distinct row numbers is given.
 
     Only groups of two or more go back to the documents, by a join on the digest; of a digest that a third of all rows
     share, Spark splits the documents' side.
     """
-    digests = written(texts_of(docs).select("doc_id", digest(F.col("text")).alias("digest"), F.monotonically_increasing_id().alias("row")), "documents")
+    number = F.col(key).cast("long") if key else F.monotonically_increasing_id()
+    digests = written(texts_of(docs, key=number).select("doc_id", digest(F.col("text")).alias("digest"), F.col("key").alias("row")), "documents")
     many = groups(digests, keys_each).where("copies > 1").withColumnRenamed("digest", "of")
     joined = digests.join(many, F.col("digest") == F.col("of"), "left")
     keep = F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.when(F.col("ids") < LAST, F.col("ids")))
     return joined.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("of").isNull() | (F.col("rows") == F.col("row"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.coalesce("known", F.lit(False)).alias("known"),
+        (F.col("of").isNull() | (F.col("rows") == F.col("row"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.coalesce("known", F.lit(False)).alias("known"), *([F.col("row").alias("key")] if key else []),
     )
 
 
