@@ -2,17 +2,20 @@
 
 Training takes a bounded sample of the labelled training rows, PER_CLASS of each label in an order by hash. Where their
 texts have more than MAX_CHARS characters, all stay and the longest are cut to one bound for each text, the largest that
-fits: PIECES pieces of equal length, spread evenly over the text. So no text ends or empties the sample. Strings of
-six bytes that are ODDS times as common in the toxic documents, and in a hundredth of them or more, mark the stretches of
-toxic text that the toxic dictionary is trained on (zstandard's own trainer); the ordinary one is trained on windows of
-ordinary text. Both stand before or after the same base, so that their difference is what one of them knows alone.
+fits: PIECES pieces of equal length, spread evenly over the text. So no text ends or empties the sample.
+Three of four sampled documents train the dictionaries, with zstandard's own trainer; every fourth is kept for the
+calibration. The ordinary dictionary is trained on windows of ordinary text, BASE_WINDOWS of them at most (every n-th,
+over all sampled texts): all of them for the base that both dictionaries share, and every ORDINARY-th for its own part.
+The toxic one is trained on stretches of toxic text: those covered by strings of six bytes that are ODDS times as common
+in the toxic documents, and in a hundredth of them or more. Trained on whole windows instead it holds the syllables that
+all text has, and tells the labels apart far worse (figures in the README).
 A window of 64 bytes is compressed with each; the bytes saved by the toxic one, over a document's windows, are
-calibrated to a probability by a logistic fit on the training documents.
+calibrated to a probability by a logistic fit on the documents kept for that.
 
 Cases: null and empty texts have no windows and get the score of zero savings; a text shorter than a window is one; rows
-with a null label or without a label are scored, not learned from; where one label has no rows with a text every score is 0,
-with a warning if the label has rows in the table of labels;
-repeated rows get the same score; ties in the order by hash are broken by the text.
+with a null label or without a label are scored, not learned from; where a label has fewer than LEAST sampled texts every
+score is 0 and nothing is predicted toxic, with a warning if the label has rows in the table of labels; a null doc_id is
+not held out and has no label; repeated rows get the same score; ties in the order by hash are broken by the text.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ from .common import LOWER, UPPER, release, written
 PER_CLASS, MAX_CHARS = 2000, 12_000_000
 #: Pieces that are taken of a text longer than the bound for each text.
 PIECES = 16
+#: Sampled texts of each label that a model needs, and windows of ordinary text that dictionaries are trained on.
+LEAST, BASE_WINDOWS, ORDINARY = 8, 20_000, 3
+#: Every so many-th sampled text is kept for the calibration.
+KEPT = 4
 FOLDS, HELD = 4, 2
 GRAM, SUPPORT, ODDS = 6, 0.01, 100
 DICT_BYTES, BASE_BYTES, LEVEL, WINDOW, STEP, CUT = 1024, 8192, 5, 64, 32, 0.3
@@ -74,10 +81,12 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
 
 
 def train(toxic: list[str], ordinary: list[str]) -> dict | None:
-    """The two dictionaries and the calibration."""
-    if not toxic or not ordinary:
+    """The two dictionaries and the calibration, or None if a label has too few texts."""
+    if min(len(toxic), len(ordinary)) < LEAST:
         return None
-    toxic_b, ordinary_b = ([x.encode().translate(_LOWER) for x in texts] for texts in (toxic, ordinary))
+    every = [[x.encode().translate(_LOWER) for x in texts] for texts in (toxic, ordinary)]
+    toxic_b, ordinary_b = ([x for i, x in enumerate(texts) if i % KEPT] for texts in every)
+    kept = [x[::KEPT] for x in every]
     held: list[Counter] = []
     for texts in (toxic_b, ordinary_b):
         held.append(Counter())
@@ -86,12 +95,12 @@ def train(toxic: list[str], ordinary: list[str]) -> dict | None:
     n, m = len(toxic_b), len(ordinary_b)
     marked = {g for g, c in held[0].items() if c >= max(3, SUPPORT * n) and (c + 0.5) / (n + 1) > ODDS * (held[1].get(g, 0) + 0.5) / (m + 1)}
     common = [w for b in ordinary_b for w in _windows(b)]
-    common = common[:: max(1, len(common) // 20_000)]
+    common = common[:: max(1, len(common) // BASE_WINDOWS)]
     base = _dictionary(common, BASE_BYTES)
-    model = {"toxic": base + _dictionary([x for b in toxic_b for x in _stretches(b, marked)], DICT_BYTES), "ordinary": base + _dictionary(common[::3], DICT_BYTES)}
+    model = {"toxic": base + _dictionary([x for b in toxic_b for x in _stretches(b, marked)], DICT_BYTES), "ordinary": base + _dictionary(common[::ORDINARY], DICT_BYTES)}
     measure = _measure(model)
-    x = np.array([measure(b) for b in toxic_b + ordinary_b])
-    return model | {"weights": _logistic(x, np.repeat([1.0, 0.0], [n, m]))}
+    x = np.array([measure(b) for b in kept[0] + kept[1]])
+    return model | {"weights": _logistic(x, np.repeat([1.0, 0.0], [len(kept[0]), len(kept[1])]))}
 
 
 def _measure(model: dict) -> Callable[[bytes], list[float]]:
@@ -177,8 +186,8 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_c
         rows = written(rows, "sample").orderBy(F.xxhash64("doc_id"), "text")
         bound = bound_each([r["n"] for r in rows.select(F.length("text").alias("n")).collect()], max_chars)
         texts[toxic] = [r["text"] for r in rows.select(pieces(F.col("text"), bound).alias("text")).toLocalIterator()]
-        if not texts[toxic]:
-            warnings.warn(f"toxicity: label {toxic} has {counts[toxic]} training rows and no document with a text, so every score is 0", stacklevel=2)
+        if len(texts[toxic]) < LEAST:
+            warnings.warn(f"toxicity: label {toxic} has {counts[toxic]} training rows and {len(texts[toxic])} documents with a text, under {LEAST}, so every score is 0", stacklevel=2)
     return texts, counts
 
 
