@@ -1,16 +1,21 @@
-"""A corpus pipeline of five stages: toxicity, exact dedup, near dedup, decontamination, packing."""
+"""A corpus pipeline of five stages: toxicity, exact dedup, near dedup, decontamination, packing.
+
+Every stage takes rows with doc_id and text and any other columns, of any names, and all but the last return the same
+columns. A decision is about one row: rows with a null doc_id, or with one doc_id on different texts, are told apart by a
+written row number. A null text is the empty text; empty tables give empty tables; texts may be of any length.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomlake.llm.common import table, written
+from fathomlake.llm.common import cleared, numbered, table, written
 from fathomlake.llm.op1_packing import pack
 from fathomlake.llm.op2_decontamination import contaminated
 from fathomlake.llm.op5_toxicity import without_toxic
-from fathomlake.llm.op7_exact_dedup import digest, exact_dedup
+from fathomlake.llm.op7_exact_dedup import exact_dedup
 from fathomlake.llm.op10_minhash_dedup import near_dedup
 
 #: Words of a shingle and per cent of similarity of the near-dedup stage.
@@ -18,40 +23,39 @@ SHINGLE, PERCENT = 5, 80
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted to be toxic go."""
+    """Documents predicted to be toxic go. Empty and null texts have the score of no savings; repeated rows go or stay
+    together; with too few labelled documents none goes."""
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays, one row also where a row is there twice."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__of"))
-    marked = docs.withColumn("__digest", F.lower(F.hex(digest(F.col("text")))))
-    same = marked["doc_id"].eqNullSafe(F.col("__id")) & (marked["__digest"] == F.col("__of"))
-    once = F.row_number().over(Window.partitionBy("doc_id", "__digest").orderBy(F.lit(1)))
-    return marked.join(kept, same, "left_semi").withColumn("__n", once).where("__n = 1").select(*docs.columns)
+def _without(rows: DataFrame, name: str, gone: DataFrame, stage: str) -> DataFrame:
+    """The rows but for those of some numbers (key)."""
+    return rows.join(written(gone.select(F.col("key").alias(name)), stage), name, "left_anti").drop(name)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """With a written number for each row: ids may be null or repeated, and a decision is about one row."""
-    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest doc_id stays, of several with that id or with null ids the first by row
+    number. Null and empty texts are equal. Only row numbers meet the documents again: texts are not shuffled for that."""
+    rows, name = numbered(docs)
+    return _without(rows, name, exact_dedup(rows, key=name).where("NOT kept"), "copies")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    rows = numbered(docs)
-    gone = written(near_dedup(rows, SHINGLE, PERCENT, key="__row").where("NOT kept").select(F.col("key").alias("__row")), "near")
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    """One row of each group of near copies stays, the one of the smallest doc_id, then of the least row number; ties are
+    told apart by it, and a null doc_id comes last. Texts without words are near copies of nothing and stay."""
+    rows, name = numbered(docs)
+    return _without(rows, name, near_dedup(rows, SHINGLE, PERCENT, key=name).where("NOT kept"), "near_copies")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    rows = numbered(docs)
-    gone = written(contaminated(rows, table(spark, sf_dir, "benchmark"), key="__row").select(F.col("key").alias("__row")).distinct(), "contaminated")
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    """Rows that hold a benchmark item go, each repeated row by itself; empty texts and items hold and match nothing."""
+    rows, name = numbered(docs)
+    return _without(rows, name, contaminated(rows, table(spark, sf_dir, "benchmark"), key=name).select("key").distinct(), "contaminated")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents left, in sequences of 2048 tokens."""
+    """Pieces of the documents left, in sequences of 2048 tokens; a null or empty text is its end token, a long one is
+    cut, and repeated rows are packed as often as they are there."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -61,7 +65,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that all stages leave. The tables that a stage writes are deleted once its result is written, and the
+    results in the end, but for the last."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+    with cleared(spark):
+        for name, stage in STAGES:
+            with cleared(spark):
+                docs = written(stage(spark, docs, sf_dir), name)
     return docs
