@@ -28,8 +28,11 @@ class Settings:
     context_chars: int = 6300
     recent_messages: int = 4
     retention_days: int = 30
-    #: Queries that may be broadcast to a scan of vectors or texts.
+    session_days: int = 30
+    #: Rows of small columns that may be broadcast after a count.
     broadcast_rows: int = 200_000
+    #: Query vectors that are broadcast at a time: of 768 dimensions, 120 MB.
+    broadcast_queries: int = 20_000
 
 
 SETTINGS = Settings()

@@ -1,17 +1,24 @@
-"""Vector search, roll-up of views to rows, centroids."""
+"""Vector search, roll-up of views to rows, centroids.
+
+Exact search is a product of matrices: vectors and queries go into blocks of some thousands, normalised once, and a block
+of vectors meets every block of the stated query set where it is read. Queries are broadcast in groups of a bounded size;
+a pair of blocks leaves at most k hits of each query.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS, Settings
-from .ranking import small, top_k
-
+from .ranking import top_k
 
 def doubles(c: Column) -> Column:
     return F.transform(c, lambda x: x.cast("double"))
@@ -27,19 +34,76 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(length > 0, dot(a, b) / length).otherwise(0.0)
 
 
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (id, other, name, v) of up to `size` as one: in order of id, vectors end to end and of length one, or zero
+    for a vector of no length. Rows without a vector are left out."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), size):
+                part = batch.slice(at, size)
+                ids = part.column("id").to_numpy(zero_copy_only=False)
+                order = np.argsort(ids, kind="stable")
+                v = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)[order]
+                length = np.sqrt((v * v).sum(axis=1, keepdims=True))
+                v = np.divide(v, length, out=np.zeros_like(v), where=length > 0)
+                part = part.take(pa.array(order))
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(c).to_pylist()]) for c in ("id", "other", "name")] + [pa.array([v.tobytes()])], ["ids", "others", "names", "vectors"])
+
+    kind = {"ids": "array<long>", "others": "array<long>", "names": "array<string>", "vectors": "binary"}
+    return rows.where(F.col("v").isNotNull() & (F.size("v") > 0)).mapInArrow(pack, ", ".join(f"{n} {k}" for n, k in kind.items()))
+
+
+def _pairs(queries: DataFrame, rows: DataFrame, each: int) -> list[DataFrame]:
+    """Blocks of rows with blocks of queries (id, v), one frame for each group of `each` queries or so: a group is broadcast."""
+    groups = -(-max(1, queries.count()) // each)
+    # A group has a bounded size: one task packs it into few blocks.
+    of = F.pmod(F.xxhash64("id"), F.lit(groups))
+    blocks = _blocks(rows.select("id", "other", "name", "v"), 4096)
+    asked = queries.select("id", F.lit(None).cast("long").alias("other"), F.lit(None).cast("string").alias("name"), "v")
+    return [blocks.crossJoin(F.broadcast(_blocks(asked.where(of == g).coalesce(1), 1024).select(F.col("ids").alias("qids"), F.col("vectors").alias("qs")))) for g in range(groups)]
+
+
+def _products(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """ids, others, names, ids of queries, and similarities (a row for each vector, a column for each query) of each pair of blocks."""
+    for i in range(len(batch)):
+        x = {c: batch.column(c)[i] for c in batch.schema.names}
+        ids, qids = np.array(x["ids"].as_py(), np.int64), np.array(x["qids"].as_py(), np.int64)
+        v, q = (np.frombuffer(x[c].as_py()).reshape(n, -1) for c, n in (("vectors", len(ids)), ("qs", len(qids))))
+        yield ids, x["others"].as_py(), x["names"].as_py(), qids, v @ q.T
+
+
+def nearest(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each column's k greatest values, the first rows among equal ones."""
+    k = min(k, len(s))
+    least = np.partition(s, len(s) - k, axis=0)[len(s) - k]
+    over, same = s > least, s == least
+    same &= np.cumsum(same, axis=0) <= k - over.sum(axis=0)
+    return np.nonzero(over | same)
+
+
 def knn(queries: DataFrame, views: DataFrame, s: Settings = SETTINGS, k: int | None = None) -> DataFrame:
-    """qid, row_id, view, vec_id, similarity, pos of each query's nearest views, itself left out; exact.
+    """qid, row_id, view, vec_id, similarity, pos of each query's nearest views, itself left out; exact, with similarities
+    compared to nine places and ties in order of vec_id. Vectors must have one number of dimensions."""
+    k = k or s.dense_k
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, others, names, qids, x in _products(batch):
+                x = np.maximum(x, 0.0)
+                x[ids[:, None] == qids] = -1.0
+                row, col = nearest(np.round(x, 9), k)
+                row, col = row[x[row, col] >= 0], col[x[row, col] >= 0]
+                yield pa.RecordBatch.from_arrays([pa.array(qids[col]), pa.array([others[i] for i in row], pa.int64()), pa.array([names[i] for i in row], pa.string()), pa.array(ids[row]), pa.array(x[row, col])], ["qid", "row_id", "view", "vec_id", "similarity"])
 
-    Queries (qid, q) are a stated set, broadcast after a count; every view is read once, and a task keeps k hits of a
-    query before the shuffle.
-    """
-    pairs = views.join(small(queries), F.col("vec_id") != F.col("qid"))
-    near = pairs.select("qid", "row_id", "view", "vec_id", F.greatest(F.lit(0.0), cosine(F.col("q"), F.col("v"))).alias("similarity"))
-    return top_k(near, "qid", [F.round("similarity", 9).desc(), F.col("vec_id")], k or s.dense_k, "pos")
+    rows = views.select(F.col("vec_id").alias("id"), F.col("row_id").alias("other"), F.col("view").alias("name"), "v")
+    asked = queries.select(F.col("qid").alias("id"), F.col("q").alias("v"))
+    hits = reduce(DataFrame.union, [p.mapInArrow(find, "qid long, row_id long, view string, vec_id long, similarity double") for p in _pairs(asked, rows, s.broadcast_queries)])
+    return top_k(hits, "qid", [F.round("similarity", 9).desc(), F.col("vec_id")], k, "pos")
 
 
 def knn_lsh(queries: DataFrame, views: DataFrame, k: int = 20, tables: int = 16, bucket: float = 0.6, reach: float = 1.3, seed: int = 7) -> DataFrame:
-    """An extension: nearest views by random projections, for unit vectors; only pairs that share a bucket are looked at."""
+    """An extension: nearest views by random projections, for unit vectors; only pairs that share a bucket are looked at.
+    With few dimensions that is most pairs: narrower buckets and fewer tables look at less, at the cost of recall."""
     model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", numHashTables=tables, bucketLength=bucket, seed=seed)
     a = queries.select("qid", array_to_vector("q").alias("x"))
     b = views.select("vec_id", array_to_vector("v").alias("x"))
@@ -63,12 +127,23 @@ def centroids(vectors: DataFrame) -> DataFrame:
     return mean.select("label", F.when(length > 0, F.transform("m", lambda x: x / length)).otherwise(F.col("m")).alias("centroid"))
 
 
-def nearest_centroid(vectors: DataFrame, centers: DataFrame, default: int = -1) -> DataFrame:
-    """vec_id, nearest, similarity; the default label for a vector of no length. Centroids are as many as labels."""
-    pairs = vectors.crossJoin(F.broadcast(centers.select(F.col("label").alias("to"), "centroid")))
-    scored = pairs.select("vec_id", "to", cosine(F.col("v"), F.col("centroid")).alias("similarity"), (dot(F.col("v"), F.col("v")) == 0).alias("none"))
-    best = scored.groupBy("vec_id").agg(F.max(F.struct(F.round("similarity", 9).alias("s"), (-F.col("to")).alias("t"))).alias("b"), F.max("none").alias("none"))
-    return best.select("vec_id", F.when(F.col("none"), F.lit(default)).otherwise(-F.col("b.t")).alias("nearest"), F.col("b.s").alias("similarity"))
+def nearest_centroid(vectors: DataFrame, centers: DataFrame, default: int = -1, s: Settings = SETTINGS) -> DataFrame:
+    """vec_id, nearest, similarity (to nine places; ties: the least label); the default label and 0 for a vector of no length."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, _, names, labels, x in _products(batch):
+                x, none = np.round(x, 9), np.array([n == "none" for n in names])
+                best = x.argmax(axis=1)  # the first of equal ones; labels are in order
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.where(none, default, labels[best])), pa.array(np.where(none, 0.0, x[np.arange(len(x)), best]))], ["vec_id", "nearest", "similarity"])
+
+    none = F.when(~F.exists("v", lambda x: x != 0), "none")
+    rows = vectors.select(F.col("vec_id").alias("id"), F.lit(None).cast("long").alias("other"), none.alias("name"), "v")
+    pairs = _pairs(centers.select(F.col("label").cast("long").alias("id"), F.col("centroid").alias("v")), rows, s.broadcast_queries)
+    found = reduce(DataFrame.union, [p.mapInArrow(find, "vec_id long, nearest long, similarity double") for p in pairs])
+    if centers.count() <= 1024:  # one block, so one row for a vector
+        return found
+    best = found.groupBy("vec_id").agg(F.max(F.struct("similarity", (-F.col("nearest")).alias("back"))).alias("b"))
+    return best.select("vec_id", (-F.col("b.back")).alias("nearest"), F.col("b.similarity").alias("similarity"))
 
 
 def embed(docs: DataFrame, encode: Callable, dimensions: int = 64) -> DataFrame:
