@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import any_in, let, strip
+from .text import any_in, blank_as_null, let, strip
 
 # Words of the levels, of same-day service, of free service, and what is no fee.
 LEVELS = [("Trung ương", ["trung ương", "tại cục", "bộ công an"]), ("Tỉnh", ["cấp tỉnh", "công an tỉnh", "công an thành phố"]), ("Huyện", ["cấp huyện", "công an huyện", "công an quận"]), ("Xã", ["cấp xã", "công an xã", "công an phường", "thị trấn"])]
 SAME_DAY = ["trong ngày", "tiếp nhận ngay", "giải quyết ngay", "ngay khi"]
 FREE = ["miễn phí", "không thu"]
 JUNK_FEE = r"(?iu)^\s*(trực tiếp|trực tuyến|dịch vụ bưu chính)\s*$|^\s*trực tiếp\s+trực tuyến\s*$|\d+\s*ngày làm việc|giờ hành chính|thời gian tiếp nhận|^\s*không\s*$|^\s*không có\s*$|^\s*$"
+DURATION_TAIL, DURATION = r"(?iu)[,:\-\s]+cụ thể(\s+như\s+sau)?.*$", r"(?iu)(\d+)\s*(ngày làm việc|ngày|tháng|giờ)"
+TODAY_PATTERN, CHECKED = r"(?iu)(?:ngay\s+)?trong ngày làm việc|(?:giải quyết|tiếp nhận)\s+ngay|ngay\s+khi", r"(?iu)trong thời hạn\s+(\d+)\s*ngày làm việc"
+NO_DURATION, CHECKS, CELL_HEADS = ["giờ hành chính", "thời gian tiếp nhận"], "xác minh", ["tên giấy tờ", "mẫu đơn, tờ khai", "số lượng"]
 DOSSIER_HEADS = ["thành phần hồ sơ", "+ thành phần hồ sơ", "số lượng hồ sơ", "+ số lượng hồ sơ", "tên giấy tờ", "mẫu đơn", "số lượng", "bản chính:", "bản sao:"]
 NO_TIME, TODAY = "Theo quy định hiện hành", "Giải quyết ngay trong ngày làm việc"
 NO_LAW, NO_DOSSIER = "Theo quy định pháp luật chuyên ngành hiện hành", "Theo quy định hướng dẫn tại cơ quan tiếp nhận"
@@ -37,20 +40,21 @@ def fee_vnd(c: Column) -> Column:
 
 def duration_info(c: Column) -> Column:
     """struct(n, unit) of a line, null where it has none; n = 0 stands for the same day."""
-    t = F.regexp_replace(strip(F.regexp_replace(c, r"(?iu)[,:\-\s]+cụ thể(\s+như\s+sau)?.*$", "")), r"[:,;.\- \t\n]+$", "")
-    low = F.lower(t)
-    span = F.lower(F.regexp_extract(t, r"(?iu)(\d+)\s*(ngày làm việc|ngày|tháng|giờ)", 2))
-    days = F.regexp_extract(t, r"(?iu)trong thời hạn\s+(\d+)\s*ngày làm việc", 1)
+    return let(F.regexp_replace(strip(F.regexp_replace(c, DURATION_TAIL, "")), r"[:,;.\- \t\n]+$", ""), _duration)
+
+
+def _duration(t: Column) -> Column:
+    low, unit, days = F.lower(t), F.lower(F.regexp_extract(t, DURATION, 2)), F.regexp_extract(t, CHECKED, 1)
 
     def pair(n: Column, unit: Column) -> Column:
         return F.struct(n.cast("int").alias("n"), unit.alias("unit"))
 
     none = F.lit(None).cast("struct<n:int,unit:string>")
     return (
-        F.when(any_in(low, ["giờ hành chính", "thời gian tiếp nhận"]), none)
-        .when(t.rlike(r"(?iu)(?:ngay\s+)?trong ngày làm việc|(?:giải quyết|tiếp nhận)\s+ngay|ngay\s+khi"), pair(F.lit(0), F.lit("trong ngày làm việc")))
-        .when(F.contains(low, F.lit("xác minh")), F.when(days != "", pair(days.try_cast("int"), F.lit("ngày làm việc"))))
-        .when(span != "", pair(F.regexp_extract(t, r"(?iu)(\d+)\s*(ngày làm việc|ngày|tháng|giờ)", 1).try_cast("int"), span))
+        F.when(any_in(low, NO_DURATION), none)
+        .when(t.rlike(TODAY_PATTERN), pair(F.lit(0), F.lit("trong ngày làm việc")))
+        .when(F.contains(low, F.lit(CHECKS)), F.when(days != "", pair(days.try_cast("int"), F.lit("ngày làm việc"))))
+        .when(unit != "", pair(F.regexp_extract(t, DURATION, 1).try_cast("int"), unit))
     )
 
 
@@ -77,14 +81,10 @@ def lines(c: Column) -> Column:
 
 def once(items: Column) -> Column:
     """Without repeats that differ only in case; the first of each stays, in order."""
-    empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("kept"), empty.alias("low"))
-
-    def add(state: Column, x: Column) -> Column:
-        more = F.struct(F.array_append(state["kept"], x).alias("kept"), F.array_append(state["low"], F.lower(x)).alias("low"))
-        return F.when(F.array_contains(state["low"], F.lower(x)), state).otherwise(more)
+    def firsts(both: Column) -> Column:
+        return F.filter(both["items"], lambda x, i: F.array_position(both["low"], F.lower(x)) == i + 1)
 
-    return F.aggregate(items, start, add, lambda state: state["kept"])
+    return let(items, lambda x: let(F.struct(x.alias("items"), F.transform(x, F.lower).alias("low")), firsts))
 
 
 def resolution_time(html: Column) -> Column:
@@ -120,7 +120,7 @@ def legal_basis(html: Column) -> Column:
 def dossier(html: Column) -> Column:
     """First cells of table rows, or else the lines, as one list."""
     cells = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>\s*<td\b[^>]*>(.*?)</td>")), lambda x: F.regexp_replace(bullets_off(F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", ""), r"\s+", " ")), r"[;.,]+$", ""))
-    cells = F.filter(F.transform(cells, strip), lambda x: (x != "") & ~F.lower(x).isin("tên giấy tờ", "mẫu đơn, tờ khai", "số lượng"))
+    cells = F.filter(F.transform(cells, strip), lambda x: (x != "") & ~F.lower(x).isin(CELL_HEADS))
     rows = F.filter(lines(plain_text(html)), lambda x: ~_starts(x, DOSSIER_HEADS))
     rows = F.filter(F.transform(rows, item), lambda x: F.length(x) > 8)
     items = let(cells, lambda x: F.when(F.size(x) > 0, x).otherwise(rows))
@@ -162,6 +162,60 @@ def clean_fee(fee: Column, charge: Column) -> Column:
     return let(F.concat(valid(fee), valid(charge)), text)
 
 
+# Words that are no part of an item's title, and what stands for a field that a page does not have.
+TITLE_NOISE = ["Mở rộng", "Thu gọn"]
+NO_FIELD, NO_OFFICE, NO_CODE = "Quản lý hành chính", "Bộ phận Một cửa - Cơ quan Công an / UBND có thẩm quyền", "CHUA_CAP_MA"
+CODE_TITLES, DOSSIER_TITLES, TIME_TITLES, LAW_TITLES = ["mã thủ tục", "mã tthc"], ["thành phần", "hồ sơ"], ["thời hạn", "thời gian"], ["pháp lý", "căn cứ"]
+STAY, BY_RULE = "lưu trú", "theo quy định"
+
+
+def page_items(html: Column) -> Column:
+    """array of struct(title, low, inner, text) of a detail page's list items: those with a title and a detail element.
+    An item ends where the next one begins, the last one with the page's body."""
+    body = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)</(body|main)>.*$", "")
+    parts = F.slice(F.split(body, r"(?i)<div\b[^>]*\bclass=\"[^\"]*tthc-list-item(?!-detail)[^\"]*\"[^>]*>"), 2, 100_000)
+
+    def read(part: Column) -> Column:
+        title = F.regexp_replace(F.regexp_extract(part, r"(?is)<(\w+)\b[^>]*class=\"[^\"]*item-title[^\"]*\"[^>]*>(.*?)</\1>", 2), r"<[^>]*>", "")
+        for noise in TITLE_NOISE:
+            title = F.replace(title, F.lit(noise), F.lit(""))
+        inner = F.regexp_extract(part, r"(?is)<\w+\b[^>]*class=\"[^\"]*tthc-list-item-detail[^\"]*\"[^>]*>(.*)$", 1)
+        return F.struct(strip(F.regexp_replace(title, r"\s+", " ")).alias("title"), inner.alias("inner"), part.rlike(r"(?i)class=\"[^\"]*item-title").alias("titled"), part.rlike(r"(?i)class=\"[^\"]*tthc-list-item-detail").alias("detailed"))
+
+    found = F.filter(F.transform(parts, read), lambda x: x["titled"] & x["detailed"])
+    return F.transform(found, lambda x: F.struct(x["title"].alias("title"), F.lower(x["title"]).alias("low"), x["inner"].alias("inner"), F.array_join(lines(F.regexp_replace(x["inner"], r"<[^>]*>", "")), "\n").alias("text")))
+
+
+def _field(items: Column, title: str) -> Column:
+    """The text of the item of that very title, the last of several; blank without one."""
+    return F.coalesce(F.try_element_at(F.filter(items, lambda x: x["title"] == title), F.lit(-1))["text"], F.lit(""))
+
+
+def _first(items: Column, words: list[str]) -> Column:
+    """The first item with one of the words in its title, or null."""
+    return F.try_element_at(F.filter(items, lambda x: any_in(x["low"], words)), F.lit(1))
+
+
+def page_record(pages: DataFrame, day: Column) -> DataFrame:
+    """The 13 columns of a crawled record from detail pages (title, url, html), and page_id."""
+    rows = pages.select("page_id", "title", "url", page_items(F.col("html")).alias("items"))
+    items = F.col("items")
+    code = F.coalesce(*[blank_as_null(strip(_first(items, [w])["text"])) for w in CODE_TITLES], F.when(url_parameter(F.col("url"), "matt") != "", F.concat(F.lit("BCA-"), url_parameter(F.col("url"), "matt"))), F.lit(NO_CODE))
+    rows = rows.select(
+        "page_id", "url", "title", code.alias("ma_thu_tuc"), F.coalesce(blank_as_null(_field(items, "Lĩnh vực")), F.lit(NO_FIELD)).alias("linh_vuc"), F.coalesce(blank_as_null(_field(items, "Cơ quan thực hiện")), F.lit(NO_OFFICE)).alias("co_quan"),
+        clean_fee(_field(items, "Phí"), _field(items, "Lệ Phí")).alias("le_phi_text"), _first(items, DOSSIER_TITLES)["inner"].alias("docs"), _field(items, "Thành phần hồ sơ").alias("docs_text"), _first(items, TIME_TITLES)["inner"].alias("time"), _first(items, LAW_TITLES)["inner"].alias("law"),
+    )
+    docs = F.when(F.col("docs").isNotNull(), dossier(F.col("docs"))).otherwise(F.coalesce(blank_as_null(comma_list(F.col("docs_text"))), F.lit(NO_DOSSIER)))
+    time = F.when(F.col("time").isNotNull(), resolution_time(F.col("time"))).otherwise(NO_TIME)
+    rows = rows.withColumns({"thanh_phan_ho_so": docs, "thoi_gian_text": time, "can_cu_phap_ly": F.when(F.col("law").isNotNull(), legal_basis(F.col("law"))).otherwise(NO_LAW)})
+    stay = F.contains(F.lower("title"), F.lit(STAY)) & (F.contains(F.lower("thoi_gian_text"), F.lit(BY_RULE)) | (F.col("thoi_gian_text") == ""))
+    rows = rows.withColumn("thoi_gian_text", F.when(stay, TODAY).otherwise(F.col("thoi_gian_text")))
+    return rows.select(
+        "page_id", "ma_thu_tuc", F.col("title").alias("ten_thu_tuc"), "linh_vuc", admin_level(F.col("title"), F.col("co_quan")).alias("cap_thuc_hien"), "co_quan", "thanh_phan_ho_so", "thoi_gian_text", duration_days(F.col("thoi_gian_text")).alias("thoi_gian_ngay"),
+        "le_phi_text", fee_vnd(F.col("le_phi_text")).alias("le_phi_vnd"), "can_cu_phap_ly", F.col("url").alias("nguon_url"), F.date_format(day, "yyyy-MM-dd").alias("ngay_crawl"),
+    )
+
+
 def url_parameter(url: Column, key: str) -> Column:
     return F.coalesce(F.try_parse_url(url, F.lit("QUERY"), F.lit(key)), F.lit(""))
 

@@ -54,17 +54,21 @@ def is_situational(c: Column) -> Column:
     return any_in(s, SITUATION) | (F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")) >= 4)
 
 
+def _special(c: Column, what: int) -> Column:
+    q, out = F.lower(c), F
+    for rule in SPECIAL_RULES:
+        out = out.when(reduce(lambda a, b: a & b, [any_in(q, g) for g in rule[2]]), F.lit(rule[what]))
+    return out
+
+
 def special(c: Column) -> Column:
     """The first special rule whose groups of keywords all match, or null."""
-    q = F.lower(c)
-    out = F
-    for rule, _, groups in SPECIAL_RULES:
-        out = out.when(reduce(lambda a, b: a & b, [any_in(q, g) for g in groups]), F.lit(rule))
-    return out
+    return _special(c, 0)
 
 
-def special_tier(rule: Column) -> Column:
-    return F.create_map(*[F.lit(x) for name, tier, _ in SPECIAL_RULES for x in (name, tier)])[rule]
+def special_tier(c: Column) -> Column:
+    """The tier of the first special rule that matches, or null."""
+    return _special(c, 1)
 
 
 def utility(c: Column) -> Column:
@@ -95,4 +99,4 @@ def first_rule(questions: DataFrame, rules: DataFrame, max_rules: int = 10_000)
 
 def route(c: Column) -> Column:
     """The first gate that takes a question: SMALLTALK, a special rule's tier, TRAFFIC, or RETRIEVE."""
-    return F.when(small_talk(c).isNotNull(), "SMALLTALK").when(special(c).isNotNull(), special_tier(special(c))).when(is_traffic(c), "TRAFFIC").otherwise("RETRIEVE")
+    return F.when(small_talk(c).isNotNull(), "SMALLTALK").otherwise(F.coalesce(special_tier(c), F.when(is_traffic(c), "TRAFFIC"), F.lit("RETRIEVE")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 from functools import cache, reduce
@@ -76,8 +77,8 @@ def first_words(c: Column, n: int = 6, default: str = "Cuộc trò chuyện mớ
 
 
 def any_in(c: Column, words: list[str]) -> Column:
-    """Whether the text contains any of some strings."""
-    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
+    """Whether the text contains any of some strings: one pattern of them all, so that the text is made once."""
+    return c.rlike("|".join(re.escape(w) for w in words)) if len(words) > 1 else F.contains(c, F.lit(words[0]))
 
 
 def blank_as_null(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,9 +11,24 @@ def gold_of_titles(catalogue: DataFrame) -> DataFrame:
     return catalogue.groupBy(F.lower(F.trim("title")).alias("title")).agg(F.array_sort(F.collect_set("id")).alias("gold"))
 
 
-def relevant(hits: DataFrame, gold: DataFrame) -> DataFrame:
-    """Hits whose ids share one with the question's gold ids (both arrays)."""
-    return hits.join(gold, "qid").where(F.arrays_overlap("ids", "gold"))
+def gold_links(items: DataFrame, questions: DataFrame) -> DataFrame:
+    """id, gold of items (id, title): the gold ids of the questions in scope that name the item's title; none if none
+    does. questions: gold_title and gold_chroma_id as lists in text."""
+    named = questions.where("in_scope = 1").select(F.explode(F.split("gold_title", r"\|")).alias("title"), _ids("gold_chroma_id").alias("ids")).select(F.lower(F.trim("title")).alias("title"), F.explode("ids").alias("gold"))
+    gold = named.distinct().groupBy("title").agg(F.array_sort(F.collect_list("gold")).alias("gold"))
+    return items.select("id", F.lower(F.trim("title")).alias("title")).join(gold, "title", "left").select("id", F.coalesce("gold", F.array().cast("array<string>")).alias("gold"))
+
+
+def _ids(c: str) -> Column:
+    return F.filter(F.split(c, ";"), lambda x: x != "")
+
+
+def relevant(hits: DataFrame, items: DataFrame, questions: DataFrame) -> DataFrame:
+    """Hits (qid, id and others) with `relevant`: the item is one of the question's gold ids, or its own gold ids, by
+    title, share one with them."""
+    own = questions.select("qid", _ids("gold_chroma_id").alias("own"))
+    joined = hits.join(gold_links(items, questions), "id", "left").join(own, "qid")
+    return joined.withColumn("relevant", F.array_contains("own", F.col("id")) | F.coalesce(F.arrays_overlap("gold", "own"), F.lit(False))).drop("gold", "own")
 
 
 def score(questions: DataFrame, hits: DataFrame) -> DataFrame:
@@ -40,14 +55,15 @@ def slices(results: DataFrame, keys: list[str]) -> DataFrame:
     return results.where("in_scope = 1").select("hit_1", "hit_5", "rr", pairs).groupBy("s.slice", "s.value").agg(F.count("*").alias("n"), *_measures(F.count("*")))
 
 
-def threshold_report(results: DataFrame) -> DataFrame:
+def threshold_report(results: DataFrame, width: float = 1 / 1024) -> DataFrame:
     """group, n, least, p25, median, p75, most of top-1 distances: order statistics n // 4 and 3 n // 4 of hits, misses and
-    questions out of scope. Ranks come from a count of distances before; a group is never gathered into an array."""
+    questions out of scope. Distances are counted in bins of a width; bins are summed up in order, and a distance's rank
+    is that of its bin and its place there: no task sees a group's distances, only its bins or one bin."""
     group = F.when(F.col("in_scope") == 0, "out_of_scope").when(F.col("hit_1") == 1, "hit").otherwise("miss")
-    at = results.where("top1_distance IS NOT NULL").select(group.alias("group"), F.round("top1_distance", 9).alias("d")).groupBy("group", "d").agg(F.count("*").alias("c"))
-    from pyspark.sql import Window
-
-    up = at.withColumn("upto", F.sum("c").over(Window.partitionBy("group").orderBy("d"))).withColumn("n", F.sum("c").over(Window.partitionBy("group")))
+    at = results.where("top1_distance IS NOT NULL").select(group.alias("group"), F.round("top1_distance", 9).alias("d")).groupBy("group", "d").agg(F.count("*").alias("c")).withColumn("bin", F.floor(F.col("d") / width))
+    bins, all_bins = at.groupBy("group", "bin").agg(F.sum("c").alias("in_bin")), Window.partitionBy("group")
+    bins = bins.select("group", "bin", (F.sum("in_bin").over(all_bins.orderBy("bin")) - F.col("in_bin")).alias("before"), F.sum("in_bin").over(all_bins).alias("n"))
+    up = at.join(bins, ["group", "bin"]).withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("group", "bin").orderBy("d")))
 
     def nth(k: Column) -> Column:
         return F.min(F.when(F.col("upto") > k, F.col("d")))

@@ -68,6 +68,11 @@ def hybrid(questions: DataFrame, dense: DataFrame, lexical: DataFrame, catalogue
     return confidence(fuse(questions, dense, lexical, catalogue, s), s)
 
 
+def passage(ten: Column, situational: Column, summary: Column) -> Column:
+    """What a reranker reads of a record: the title, and the heads of two views."""
+    return F.concat(F.lit("Thủ tục: "), ten, F.lit(". "), F.substring(situational, 1, 120), F.lit(". "), F.substring(summary, 1, 80))
+
+
 def with_rerank(ranked: DataFrame, texts: DataFrame, score) -> DataFrame:
     """Adds rerank_score by a pandas UDF over (question, passage); null for questions without marks. It is for display:
     the order stays that of the confidence."""

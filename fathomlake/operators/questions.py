@@ -43,13 +43,56 @@ def generate(topics: DataFrame, per_topic: int = 15) -> DataFrame:
     return topics.select("topic_key", "field", F.posexplode(F.slice(made, 1, per_topic)).alias("place", "q")).select("topic_key", "place", "field", "q.question", "q.variant", "q.difficulty", F.lit(1).alias("in_scope"), F.lit("").alias("oos_kind"))
 
 
-def numbered(questions: DataFrame, per_topic: int = 15) -> DataFrame:
-    """Ids Q0001, Q0002, ... in the order of topics and places. Topics are numbered by a window over their counts in
-    groups of a thousand keys, not over all questions."""
-    counts = questions.groupBy("topic_key").agg(F.count("*").alias("c")).withColumn("bunch", F.floor(F.col("topic_key") / 1000))
-    bunches = counts.groupBy("bunch").agg(F.sum("c").alias("s")).withColumn("b", F.sum("s").over(Window.orderBy("bunch")) - F.col("s"))
-    before = counts.withColumn("a", F.sum("c").over(Window.partitionBy("bunch").orderBy("topic_key")) - F.col("c")).join(bunches, "bunch")
-    return questions.join(before.select("topic_key", (F.col("a") + F.col("b")).alias("before")), "topic_key").withColumn("qid", F.format_string("Q%04d", F.col("before") + F.col("place") + 1)).drop("before")
+def _before(counts: DataFrame, levels: int = 2, each: int = 1000) -> DataFrame:
+    """at, before: what the keys below a key (at, c) count together. Sums run within groups of a thousand keys, over the
+    groups in groups of a thousand, and then over those: a task sees a thousand rows, the last one a millionth of all."""
+    if not levels:
+        return counts.select("at", (F.sum("c").over(Window.orderBy("at")) - F.col("c")).alias("before"))
+    grouped = counts.withColumn("bunch", F.floor(F.col("at") / each))
+    outer = _before(grouped.groupBy(F.col("bunch").alias("at")).agg(F.sum("c").alias("c")), levels - 1, each).withColumnsRenamed({"at": "bunch", "before": "outer"})
+    inner = F.sum("c").over(Window.partitionBy("bunch").orderBy("at")) - F.col("c")
+    return grouped.withColumn("inner", inner).join(outer, "bunch").select("at", (F.col("inner") + F.col("outer")).alias("before"))
+
+
+def in_order(questions: DataFrame) -> DataFrame:
+    """Adds `number`, from 1, in the order of topic_key and place (from 0 without gaps in a topic)."""
+    before = _before(questions.groupBy(F.col("topic_key").alias("at")).agg(F.count("*").alias("c")))
+    return questions.join(before.withColumnRenamed("at", "topic_key"), "topic_key").withColumn("number", F.col("before") + F.col("place") + 1).drop("before")
+
+
+def _qid(number: Column) -> Column:
+    return F.format_string("Q%04d", number)
+
+
+def numbered(questions: DataFrame) -> DataFrame:
+    """Ids Q0001, Q0002, ... in the order of topics and places."""
+    return in_order(questions).withColumn("qid", _qid(F.col("number"))).drop("number")
+
+
+def gold_of_topics(topics: DataFrame, rows: DataFrame) -> DataFrame:
+    """topic_key, gold_row_no, gold_chroma_id, gold_title as lists in text, and linh_vuc, of topics (topic_key, rows) over a
+    sheet (row_no, id, title, field). A row that is absent has a number, but no id and title; the first one has the field."""
+    named = topics.select("topic_key", F.posexplode("rows").alias("at", "row_no")).join(rows.select("row_no", "id", "title", "field"), "row_no", "left")
+    g = named.groupBy("topic_key").agg(F.array_sort(F.collect_list(F.struct("at", "row_no", "id", "title", "field"))).alias("g"))
+    there = F.filter("g", lambda x: x["id"].isNotNull())
+    return g.select(
+        "topic_key", F.array_join(F.transform("g", lambda x: x["row_no"].cast("string")), ";").alias("gold_row_no"), F.array_join(F.transform(there, lambda x: x["id"].cast("string")), ";").alias("gold_chroma_id"),
+        F.array_join(F.transform(there, lambda x: F.trim(x["title"])), " | ").alias("gold_title"), F.coalesce(F.trim(F.element_at("g", 1)["field"]), F.lit("")).alias("linh_vuc"),
+    )
+
+
+SET = ["qid", "question", "topic_key", "topic", "gold_row_no", "gold_chroma_id", "gold_title", "linh_vuc", "variant", "difficulty", "in_scope", "oos_kind"]
+
+
+def question_set(topics: DataFrame, rows: DataFrame, outside: DataFrame, per_topic: int = 15) -> DataFrame:
+    """The whole set: questions of topics (topic_key long, topic, rows) with their gold rows, and then those that no row
+    answers (place long, question, kind), numbered on; they are a table of the caller's."""
+    made = in_order(generate(topics.withColumn("field", F.lit("")), per_topic)).join(topics.select("topic_key", "topic"), "topic_key").join(gold_of_topics(topics, rows), "topic_key")
+    total = made.agg(F.count("*").alias("total"))
+    none = {c: F.lit("") for c in ("topic", "gold_row_no", "gold_chroma_id", "gold_title", "linh_vuc")} | {"topic_key": F.lit("none"), "variant": F.lit("out_of_scope"), "difficulty": F.lit("hard"), "in_scope": F.lit(0), "oos_kind": F.col("kind")}
+    after = in_order(outside.select(F.col("place").alias("topic_key"), F.lit(0).alias("place"), F.trim("question").alias("question"), "kind")).crossJoin(F.broadcast(total))
+    after = after.withColumn("qid", _qid(F.col("number") + F.col("total"))).withColumns(none).select(*SET)
+    return made.withColumn("qid", _qid(F.col("number"))).withColumn("topic_key", F.col("topic_key").cast("string")).select(*SET).unionByName(after)
 
 
 def coverage(rows: DataFrame, topics: DataFrame) -> DataFrame:

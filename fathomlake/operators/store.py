@@ -25,6 +25,29 @@ def users_of_tokens(sessions: DataFrame, users: DataFrame, as_of: dt.datetime) -
     return sessions.where(F.col("expires_at") > F.lit(as_of)).join(users, "user_id")
 
 
+def register(users: DataFrame, new: DataFrame) -> DataFrame:
+    """The users (user_id, email, password_hash, full_name, created_at) with the new accounts: an address that is taken,
+    or comes twice, gives none but the first. Hashes are made by the caller."""
+    tidy = new.withColumns({"email": email(F.col("email")), "full_name": F.coalesce(blank_as_null(F.trim("full_name")), F.lit("Công dân"))})
+    first = tidy.groupBy("email").agg(F.min_by(F.struct(*[c for c in users.columns if c != "email"]), F.struct("created_at", "user_id")).alias("u")).select("email", "u.*")
+    return users.unionByName(first.join(users.select("email"), "email", "left_anti").select(*users.columns))
+
+
+def authenticate(users: DataFrame, tries: DataFrame) -> DataFrame:
+    """The account of each try (email, password_hash) that is right; hashes are compared, not made."""
+    right = tries.select(email(F.col("email")).alias("email"), "password_hash")
+    return users.join(right, ["email", "password_hash"]).select("user_id", "email", "full_name", "created_at")
+
+
+def open_sessions(sessions: DataFrame, new: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+    """Sessions with the new ones (token, user_id, created_at), which last so many days."""
+    return sessions.unionByName(new.select("token", "user_id", (F.col("created_at") + F.make_dt_interval(F.lit(s.session_days))).alias("expires_at"), "created_at"))
+
+
+def close_sessions(sessions: DataFrame, tokens: DataFrame) -> DataFrame:
+    return sessions.join(tokens.select("token"), "token", "left_anti")
+
+
 def list_conversations(conversations: DataFrame, user_id: int | None) -> DataFrame:
     mine = F.col("user_id").isNull() if user_id is None else F.col("user_id") == user_id
     return conversations.where(mine).orderBy(F.col("updated_at").desc(), "id")
@@ -82,6 +105,24 @@ def emptied(table: DataFrame) -> DataFrame:
     return table.limit(0)
 
 
+def deleted(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: n, how many rows a change took out. Both counts are sums over the tables' parts."""
+    a, b = before.agg(F.count("*").alias("a")), after.agg(F.count("*").alias("b"))
+    return a.crossJoin(F.broadcast(b)).select((F.col("a") - F.col("b")).alias("n"))
+
+
+def reset(tables: dict[str, DataFrame], scope: str, user_id: int | None = None) -> dict[str, DataFrame]:
+    """The tables messages, conversations, sessions and users after a reset: `mine` (conversations of a user, or of
+    guests for None, with their messages), `all` conversations and messages, or `everything`."""
+    if scope == "everything":
+        return {name: emptied(t) for name, t in tables.items()}
+    if scope == "all":
+        return tables | {name: emptied(tables[name]) for name in ("messages", "conversations")}
+    conversations, messages = tables["conversations"], tables["messages"]
+    mine = conversations.where(F.col("user_id").eqNullSafe(F.lit(user_id).cast("long"))).select(F.col("id").alias("conversation_id"))
+    return tables | {"conversations": conversations.join(mine, F.col("id") == F.col("conversation_id"), "left_anti"), "messages": messages.join(mine, "conversation_id", "left_anti")}
+
+
 def context_windows(messages: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """conversation_id, n, chars, dialogue: of conversations that have grown too long all but the last few messages.
 
@@ -94,9 +135,15 @@ def context_windows(messages: DataFrame, s: Settings = SETTINGS) -> DataFrame:
 
 
 def queue_positions(jobs: DataFrame, service_seconds: int = 60) -> DataFrame:
-    """job_id, position: jobs of a queue (queue, job_id, arrived) that arrived less than a service time before, and one."""
-    at = F.col("arrived").cast("timestamp").cast("long")
-    w = Window.partitionBy("queue").orderBy(at).rangeBetween(-service_seconds + 1, 0)
-    same = Window.partitionBy("queue", at).orderBy("job_id")
+    """job_id, position: jobs of a queue (queue, job_id, arrived) that arrived less than a service time before, and one.
+
+    Jobs are counted by second first. Seconds are summed up in slices of the service time, each with the slice before it,
+    so a queue that holds most jobs is many windows of at most twice as many rows as a service time has seconds."""
+    jobs = jobs.select("queue", "job_id", F.col("arrived").cast("timestamp").cast("long").alias("at"))
+    seconds = jobs.groupBy("queue", "at").agg(F.count("*").alias("c")).withColumn("own", F.floor(F.col("at") / service_seconds))
+    sliced = seconds.withColumn("slice", F.explode(F.array("own", F.col("own") + 1)))
+    w = Window.partitionBy("queue", "slice").orderBy("at").rangeBetween(-service_seconds + 1, 0)
+    upto = sliced.withColumn("all", F.sum("c").over(w)).where("slice = own").select("queue", "at", "all", "c")
     # Jobs of the same second wait in the order of their ids.
-    return jobs.withColumn("all", F.count("*").over(w)).withColumn("later", F.count("*").over(Window.partitionBy("queue", at)) - F.row_number().over(same)).select("job_id", "queue", (F.col("all") - F.col("later")).alias("position"))
+    same = jobs.withColumn("n", F.row_number().over(Window.partitionBy("queue", "at").orderBy("job_id")))
+    return same.join(upto, ["queue", "at"]).select("job_id", "queue", (F.col("all") - F.col("c") + F.col("n")).alias("position"))

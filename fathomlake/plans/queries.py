@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, rules
 from ..functions.text import ABBREVIATIONS, STOP_WORDS, abbreviate, clipped_sigmoid, content_tokens, first_words, fold, has_marks, outside_parentheses, strip_marks
 from ..operators import answers, catalogue, dense, evaluation, fusion, lexical, questions, store
-from ..sources import crawled, table
+from ..sources import crawled, fetched, listed, spread, table, with_fallback
 from ..streaming import routed, sessions
 from . import samples
 
@@ -74,7 +75,7 @@ V = f"v AS (SELECT vec_id, vec_id // 4 AS row_id, (['{VIEWS[0]}', '{VIEWS[1]}',
 Q = "qq AS (SELECT item_id AS qid, text, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id)"
 KNN = "knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(similarity, 9) DESC, vec_id) - 1 AS pos FROM (SELECT qid, row_id, view, vec_id, greatest(0, list_cosine_similarity(q, v)) AS similarity FROM qq JOIN v ON vec_id <> qid)) WHERE pos < 20)"
 ROLL = "roll AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY f) - 1 AS rank FROM (SELECT qid, row_id, max(similarity) AS dense_similarity, min_by(view, pos) AS best_view, min(pos) AS f FROM knn GROUP BY 1, 2))"
-CAT = "cat AS (SELECT doc_id AS row_id, text FROM documents WHERE doc_id IN (SELECT row_id FROM v))"
+CAT = "cat AS (SELECT doc_id AS row_id, text FROM documents)"
 
 
 def sql_bm25(docs: str, asked: str) -> str:
@@ -94,10 +95,6 @@ fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY
   (SELECT pool.*, wd, coalesce(wd / (60 + dr), 0) + coalesce(1.0 / (60 + lr), 0) AS fusion_score FROM pool JOIN (SELECT qid, CASE WHEN {sql_strip_marks("text")} <> text THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS wd FROM qq) USING (qid))) WHERE fused_rank < 3),
 conf AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(confidence, 9) DESC, fused_rank) - 1 AS final_rank FROM (SELECT *, CASE WHEN bm25_norm > 0.05 AND dense_similarity > 0.1 THEN wd / (wd + 1) * dense_similarity + (1 - wd / (wd + 1)) * bm25_norm ELSE greatest(dense_similarity, bm25_norm) END AS confidence FROM fused))"""
 
-#: The same over all documents, also those without a vector: their lexical hits count, and the statistics are the table's.
-HYBRID_ALL = HYBRID.replace(CAT, "cat AS (SELECT doc_id AS row_id, text FROM documents)")
-
-
 # Inputs.
 
 
@@ -117,23 +114,39 @@ def asked(spark, sf_dir) -> DataFrame:
 
 
 def rows_of(spark, sf_dir) -> DataFrame:
-    known = views_of(spark, sf_dir).select("row_id").distinct()
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text").join(known, "row_id", "left_semi")
+    """All documents, also those without a vector: they can be lexical hits, and count in the statistics."""
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text"))
+
+
+def _after(c: str, tail) -> Column:
+    return F.when(F.col(c) == "", "").otherwise(F.concat(c, F.lit(" "), tail))
 
 
-def all_rows_of(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
+def records(spark, sf_dir) -> DataFrame:
+    """A record for each part: one of a few, in turn, with the part's own name, brand and size in it."""
+    some = spark.createDataFrame(samples.RECORDS, "kind long, " + ", ".join(f"{c} string" for c in catalogue.FIELDS))
+    part = table(spark, sf_dir, "part").withColumn("kind", F.col("p_partkey") % len(samples.RECORDS))
+    own = {"ten": _after("ten", F.col("p_name")), "ho_so": _after("ho_so", F.col("p_brand")), "thoi_gian": _after("thoi_gian", F.col("p_size").cast("string"))}
+    return part.join(F.broadcast(some), "kind").withColumns(own).select(F.col("p_partkey").alias("row_id"), *catalogue.FIELDS)
 
 
-def records(spark) -> DataFrame:
-    return spark.createDataFrame(samples.RECORDS, "row_id long, " + ", ".join(f"{c} string" for c in catalogue.FIELDS))
+def in_turn(spark, sf_dir, lines: list[str], tail: Column) -> DataFrame:
+    """id, line: a line for each part, one of a list in turn, with a tail of the part's own."""
+    some = spark.createDataFrame(list(enumerate(lines)), "kind long, line string")
+    part = table(spark, sf_dir, "part").withColumn("kind", F.col("p_partkey") % len(lines))
+    return part.join(F.broadcast(some), "kind").select(F.col("p_partkey").alias("id"), F.concat("line", tail).alias("line"))
 
 
-def lines(spark) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(samples.LINES)), "id long, line string")
+def sql_in_turn(lines: list[str], tail: str) -> str:
+    return f"(SELECT p_partkey AS id, line || {tail} AS line FROM part JOIN {values(list(enumerate(lines)), 'kind, line')} ON p_partkey % {len(lines)} = kind)"
 
 
-LINES = values(list(enumerate(samples.LINES)), "id, line")
+def lines(spark, sf_dir) -> DataFrame:
+    days = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" ("), F.col("p_size").cast("string"), F.lit(" ngày)"))).otherwise("")
+    return in_turn(spark, sf_dir, samples.LINES, days)
+
+
+LINES = sql_in_turn(samples.LINES, "CASE WHEN p_partkey % 3 = 0 THEN ' (' || p_size || ' ngày)' ELSE '' END")
 
 
 # Text.
@@ -141,12 +154,12 @@ LINES = values(list(enumerate(samples.LINES)), "id, line")
 
 @query(f"SELECT doc_id, {sql_fold('text')} AS folded FROM documents")
 def fold_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", fold(F.col("text")).alias("folded"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", fold(F.col("text")).alias("folded"))
 
 
 @query(f"SELECT doc_id, {sql_strip_marks('text')} <> text AS marked FROM documents")
 def has_diacritics(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", has_marks(F.col("text")).alias("marked"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", has_marks(F.col("text")).alias("marked"))
 
 
 @query(f"SELECT qid, {sql_strip_marks('text')} AS bare FROM {SAID}")
@@ -173,7 +186,7 @@ def tokenize_stopwords(spark, sf_dir):
 
 @query(f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({sql_tokens('text')})) AS term FROM documents) GROUP BY 1")
 def term_stats(spark, sf_dir):
-    return lexical.term_stats(lexical.tokenised(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")))
+    return lexical.term_stats(lexical.tokenised(rows_of(spark, sf_dir)))
 
 
 # Retrieval.
@@ -181,7 +194,7 @@ def term_stats(spark, sf_dir):
 
 @query(f"WITH d AS (SELECT doc_id AS row_id, text FROM documents), qq AS (SELECT item_id AS qid, text FROM benchmark), {sql_bm25('d', 'qq')} SELECT qid, row_id, round(score, 6) AS score, round(bm25_norm, 6) AS bm25_norm, rank FROM lex")
 def bm25_topk(spark, sf_dir):
-    hits = lexical.bm25(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text"))
+    hits = lexical.bm25(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), rows_of(spark, sf_dir))
     return hits.withColumns({"score": F.round("score", 6), "bm25_norm": F.round("bm25_norm", 6)})
 
 
@@ -245,9 +258,9 @@ def rrf_fusion(spark, sf_dir):
     return _fusion(spark, sf_dir, rows_of(spark, sf_dir))
 
 
-@query(SQL_FUSION.replace(HYBRID, HYBRID_ALL))
+@query(SQL_FUSION)
 def rrf_fusion_all(spark, sf_dir):
-    return _fusion(spark, sf_dir, all_rows_of(spark, sf_dir))
+    return rrf_fusion(spark, sf_dir)
 
 
 SQL_CONFIDENCE = f"WITH {HYBRID} SELECT qid, row_id, best_view, round(dense_similarity, 6) AS dense_similarity, round(bm25_norm, 6) AS bm25_norm, round(confidence, 6) AS confidence, final_rank FROM conf"
@@ -258,9 +271,9 @@ def hybrid_confidence(spark, sf_dir):
     return _confidence(spark, sf_dir, rows_of(spark, sf_dir))
 
 
-@query(SQL_CONFIDENCE.replace(HYBRID, HYBRID_ALL))
+@query(SQL_CONFIDENCE)
 def hybrid_confidence_all(spark, sf_dir):
-    return _confidence(spark, sf_dir, all_rows_of(spark, sf_dir))
+    return hybrid_confidence(spark, sf_dir)
 
 
 SQL_TITLE = rf"array_to_string((string_split_regex({sql_strip('text')}, '\s+'))[1:6], ' ')"
@@ -279,9 +292,9 @@ def tier_decision(spark, sf_dir):
     return _tiers(spark, sf_dir, rows_of(spark, sf_dir))
 
 
-@query(SQL_TIERS.replace(HYBRID, HYBRID_ALL))
+@query(SQL_TIERS)
 def tier_decision_all(spark, sf_dir):
-    return _tiers(spark, sf_dir, all_rows_of(spark, sf_dir))
+    return tier_decision(spark, sf_dir)
 
 
 SQL_OPTIONS = f"""WITH {HYBRID}, t AS (SELECT qid, final_rank, {SQL_TITLE} AS title FROM conf JOIN cat USING (row_id))
@@ -293,9 +306,9 @@ def tier_b_options(spark, sf_dir):
     return _options(spark, sf_dir, rows_of(spark, sf_dir))
 
 
-@query(SQL_OPTIONS.replace(HYBRID, HYBRID_ALL))
+@query(SQL_OPTIONS)
 def tier_b_options_all(spark, sf_dir):
-    return _options(spark, sf_dir, all_rows_of(spark, sf_dir))
+    return tier_b_options(spark, sf_dir)
 
 
 @query("SELECT l_orderkey, l_linenumber, round(CASE WHEN x BETWEEN 0 AND 1 THEN x ELSE 1 / (1 + exp(-greatest(-30, least(30, x)))) END, 6) AS s FROM (SELECT l_orderkey, l_linenumber, l_quantity - 25 + l_discount AS x FROM lineitem)")
@@ -349,7 +362,12 @@ def route_cascade(spark, sf_dir):
 
 # Catalogue.
 
-REC = values(samples.RECORDS, "row_id, " + ", ".join(catalogue.FIELDS))
+def _sql_after(c: str, tail: str) -> str:
+    return f"CASE WHEN {c} = '' THEN '' ELSE {c} || ' ' || {tail} END AS {c}"
+
+
+_own = {"ten": _sql_after("ten", "p_name"), "ho_so": _sql_after("ho_so", "p_brand"), "thoi_gian": _sql_after("thoi_gian", "p_size")}
+REC = f"(SELECT p_partkey AS row_id, {', '.join(_own.get(c, c) for c in catalogue.FIELDS)} FROM part JOIN {values(samples.RECORDS, 'kind, ' + ', '.join(catalogue.FIELDS))} ON p_partkey % {len(samples.RECORDS)} = kind)"
 
 
 def _sql_scrub(c: str) -> str:
@@ -366,15 +384,15 @@ FROM (SELECT *, coalesce(nullif(dia_diem, ''), {q(catalogue.ANY_DESK)}) AS dia_d
 
 @query(f"SELECT * FROM {SQL_CATALOGUE}")
 def column_defaults(spark, sf_dir):
-    return catalogue.normalise(records(spark).withColumnRenamed("ten", "ten_thu_tuc")).select("row_id", *catalogue.FIELDS)
+    return catalogue.normalise(records(spark, sf_dir).withColumnRenamed("ten", "ten_thu_tuc")).select("row_id", *catalogue.FIELDS)
 
 
 SCRUBBED = ["Nộp tại phường Tăng Nhơn Phú", "TTPVHCC PHƯỜNG TĂNG NHƠN PHÚ", "Số 29 Lê Văn Việt", "Trung tâm Phục vụ Hành chính công Phường Tăng Nhơn Phú, Địa chỉ: số 29 Lê Văn Việt", "Khám ở Bệnh viện Tâm thần. Địa chỉ: 766 Võ Văn Kiệt, TP.HCM)", " không đổi "]
 
 
-@query(f"SELECT id, {_sql_scrub('line')} AS scrubbed FROM {values(list(enumerate(SCRUBBED)), 'id, line')}")
+@query(f"SELECT id, {_sql_scrub('line')} AS scrubbed FROM {sql_in_turn(SCRUBBED, 'chr(32) || p_name')}")
 def scrub_refs(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(SCRUBBED)), "id long, line string").select("id", catalogue.scrub(F.col("line")).alias("scrubbed"))
+    return in_turn(spark, sf_dir, SCRUBBED, F.concat(F.lit(" "), F.col("p_name"))).select("id", catalogue.scrub(F.col("line")).alias("scrubbed"))
 
 
 SQL_SITUATION = sql_strip("'Thủ tục: ' || ten || '. Tình huống thực tế đời thường của người dân: ' || concat_ws(' ', " + ", ".join(f"CASE WHEN {contains_any('lower(ten || chr(32) || linh_vuc)', w)} THEN {q(t)} END" for w, t in catalogue.SITUATIONS) + ")")
@@ -394,7 +412,7 @@ SQL_VIEWS = {
 
 @query(" UNION ALL ".join(f"SELECT row_id || '::{v}' AS id, row_id, '{v}' AS view, {s} AS document FROM {SQL_CATALOGUE}" for v, s in SQL_VIEWS.items()))
 def multi_view(spark, sf_dir):
-    return catalogue.build_views(catalogue.normalise(records(spark)))
+    return catalogue.build_views(catalogue.normalise(records(spark, sf_dir)))
 
 
 SQL_PARTS = "(SELECT p_partkey AS row_id, p_name || CASE p_partkey % 5 WHEN 0 THEN ' khai sinh' WHEN 1 THEN ' cư trú, đất đai' WHEN 2 THEN ' CCCD' ELSE '' END AS ten, p_type AS linh_vuc FROM part)"
@@ -418,14 +436,41 @@ def lexical_doc(spark, sf_dir):
 
 @query()
 def tier_a_card(spark, sf_dir):
-    asks = spark.createDataFrame([(q_, r) for r in (0, 1, 3, 4) for q_ in ("kết hôn cần gì", "làm cccd", "x y", "thủ tục này nộp ở đâu", "")], "question string, row_id long")
-    return asks.join(catalogue.normalise(records(spark)), "row_id").select("row_id", "question", answers.card(F.col("question")).alias("answer"))
+    asks = F.element_at(F.array(*map(F.lit, ["kết hôn cần gì", "làm cccd", "x y", "thủ tục này nộp ở đâu", ""])), (F.floor(F.col("row_id") / 5) % 5 + 1).cast("int"))
+    return catalogue.normalise(records(spark, sf_dir)).withColumn("question", asks).select("row_id", "question", answers.card(F.col("question")).alias("answer"))
 
 
-@query("SELECT * FROM (VALUES (0, 'a, b (c, d), e', 'a|b (c, d)|e'), (1, 'x', 'x'), (2, '', ''), (3, 'm (n, o (p), q', 'm (n|o (p)|q')) AS t(id, line, pieces)")
+@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_brand || '|' || p_name || ' (' || p_type || ', ' || p_size || ')|e' WHEN 1 THEN p_brand WHEN 2 THEN '' ELSE p_name || ' (' || p_brand || '|o (' || p_size || ')|q' END AS pieces FROM part")
 def dossier_split(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "a, b (c, d), e"), (1, "x"), (2, ""), (3, "m (n, o (p), q")], "id int, line string")
-    return rows.select("id", "line", F.array_join(outside_parentheses(F.col("line")), "|").alias("pieces"))
+    k, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    line = F.when(k == 0, F.concat("p_brand", F.lit(", "), "p_name", F.lit(" ("), "p_type", F.lit(", "), size, F.lit(") ,e"))).when(k == 1, F.col("p_brand")).when(k == 2, "").otherwise(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(", o ("), size, F.lit("), q")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(outside_parentheses(line), "|").alias("pieces"))
+
+
+@query(f"SELECT qid, {' '.join(['CASE'] + [f"WHEN upper(tier) = {q(t)} THEN {q(x)}" for t, x in answers.TIER_LABELS.items()])} WHEN coalesce(tier, '') = '' THEN '' ELSE 'Tầng ' || tier END AS label FROM (SELECT qid, (['A', 'tier_b', 'C', 'Traffic', 'ngoai', 'XAGIAO', 'X', '', NULL])[CAST(qid % 9 AS INT) + 1] AS tier FROM {SAID})")
+def tier_labels(spark, sf_dir):
+    tier = F.element_at(F.array(*map(F.lit, ["A", "tier_b", "C", "Traffic", "ngoai", "XAGIAO", "X", "", None])), (F.col("qid") % 9 + 1).cast("int"))
+    return said(spark, sf_dir).select("qid", answers.tier_label(tier).alias("label"))
+
+
+@query(f"SELECT qid, {q(answers.TRAFFIC_SYSTEM)} AS system, text AS user FROM {SAID} WHERE {SQL_TRAFFIC}")
+def traffic_prompts(spark, sf_dir):
+    m = said(spark, sf_dir).where(rules.is_traffic(F.col("text"))).select("qid", answers.traffic_messages(F.col("text")).alias("m"))
+    return m.select("qid", F.element_at("m", 1)["content"].alias("system"), F.element_at("m", 2)["content"].alias("user"))
+
+
+@query(f"""WITH h AS (SELECT page_id // 5 AS qid, string_agg('- **' || url || '**: body ' || page_id, chr(10) ORDER BY page_id) FILTER (page_id % 3 <> 0 AND page_id % 5 < 4) AS context FROM pages GROUP BY 1)
+SELECT qid, replace(replace({q(answers.WEB_PROMPT)}, '{{context}}', coalesce(context, {q(answers.NO_CONTEXT)})), '{{question}}', 'q ' || qid) AS prompt FROM h""")
+def web_prompts(spark, sf_dir):
+    k = F.col("page_id")
+    hits = table(spark, sf_dir, "pages").select(F.floor(k / 5).alias("qid"), (k % 5).alias("pos"), F.col("url").alias("title"), F.when(k % 3 == 0, " ").otherwise(F.concat(F.lit(" body "), k.cast("string"))).alias("body"))
+    asks = hits.select("qid").distinct().withColumn("text", F.concat(F.lit("q "), F.col("qid").cast("string")))
+    return asks.join(answers.web_context(hits), "qid", "left").select("qid", answers.web_prompt(F.col("text"), F.col("context")).alias("prompt"))
+
+
+@query(f"SELECT row_id, 'Thủ tục: ' || ten || '. ' || substr({SQL_SITUATION}, 1, 120) || '. ' || substr('Thủ tục: ' || ten, 1, 80) AS passage FROM {SQL_PARTS}")
+def rerank_passages(spark, sf_dir):
+    return _parts(spark, sf_dir).select("row_id", fusion.passage(F.col("ten"), catalogue.situational(), catalogue.view_columns()["summary"]).alias("passage"))
 
 
 # Extraction.
@@ -435,55 +480,101 @@ SQL_LEVELS = "concat_ws(' / ', " + ", ".join(f"CASE WHEN {contains_any('lower(li
 
 @query(f"SELECT id, CASE WHEN {SQL_LEVELS} = '' THEN 'Cấp Tỉnh' ELSE 'Cấp ' || {SQL_LEVELS} END AS level FROM {LINES}")
 def admin_level(spark, sf_dir):
-    return lines(spark).select("id", extract.admin_level(F.col("line"), F.lit("")).alias("level"))
+    return lines(spark, sf_dir).select("id", extract.admin_level(F.col("line"), F.lit("")).alias("level"))
 
 
-@query(rf"SELECT id, CASE WHEN {contains_any('lower(line)', extract.SAME_DAY)} THEN 1 ELSE TRY_CAST(regexp_extract_all(line, '\b\d+\b')[-1] AS DOUBLE) END AS days FROM {LINES} WHERE NOT regexp_matches(line, '\dđ')")
+# The last number between marks that are no letters: RE2 has no word boundary for letters beyond ASCII.
+SQL_LAST = r"regexp_extract(line, '(?s)^(?:.*[^\p{L}\p{N}_])?(\d+)(?:[^\p{L}\p{N}_].*)?$', 1)"
+
+
+@query(f"SELECT id, CASE WHEN {contains_any('lower(line)', extract.SAME_DAY)} THEN 1 ELSE TRY_CAST({SQL_LAST} AS DOUBLE) END AS days FROM {LINES}")
 def duration_days(spark, sf_dir):
-    return lines(spark).where(~F.col("line").rlike(r"\dđ")).select("id", extract.duration_days(F.col("line")).cast("double").alias("days"))
+    return lines(spark, sf_dir).select("id", extract.duration_days(F.col("line")).cast("double").alias("days"))
 
 
 @query(rf"SELECT id, CASE WHEN {contains_any('lower(line)', extract.FREE)} THEN 0 ELSE TRY_CAST(replace(regexp_extract(line, '(\d{{1,3}}(?:\.\d{{3}})+)', 1), '.', '') AS DOUBLE) END AS vnd FROM {LINES}")
 def fee_vnd(spark, sf_dir):
-    return lines(spark).select("id", extract.fee_vnd(F.col("line")).cast("double").alias("vnd"))
+    return lines(spark, sf_dir).select("id", extract.fee_vnd(F.col("line")).cast("double").alias("vnd"))
 
 
-DURATIONS = [("3 ngày làm việc|5 ngày làm việc", "Từ 03 - 05 ngày làm việc"), ("2 ngày làm việc|Không quá 07 ngày làm việc", "Từ 02 - 07 ngày làm việc"), ("08 ngày làm việc|8 ngày làm việc", "08 ngày làm việc"), ("giờ hành chính", extract.NO_TIME), ("giải quyết ngay|3 ngày", extract.TODAY), ("15 ngày|2 tháng|30 ngày|20 ngày", "Từ 15 - 30 ngày; 02 tháng"), ("xác minh mất giấy|xác minh trong thời hạn 15 ngày làm việc", "15 ngày làm việc")]
+# Texts made from parts: the answers follow from the columns, in SQL without any of the patterns.
+SQL_DURATION = """CASE p_partkey % 6 WHEN 0 THEN CASE WHEN p_size = m THEN printf('%02d ngày làm việc', m) ELSE printf('Từ %02d - %02d ngày làm việc', least(p_size, m), greatest(p_size, m)) END
+WHEN 1 THEN 'Theo quy định hiện hành' WHEN 2 THEN 'Giải quyết ngay trong ngày làm việc' WHEN 3 THEN CASE WHEN p_size = m THEN printf('%02d ngày; 02 tháng', m) ELSE printf('Từ %02d - %02d ngày; 02 tháng', least(p_size, m), greatest(p_size, m)) END
+WHEN 4 THEN printf('%02d ngày làm việc', m) ELSE printf('%02d giờ', p_size) END"""
 
 
-@query(f"SELECT * FROM {values(DURATIONS, 'line, duration')}")
+@query(f"SELECT p_partkey AS id, {SQL_DURATION} AS duration FROM (SELECT *, CAST(p_partkey % 29 + 1 AS INT) AS m FROM part)")
 def duration_format(spark, sf_dir):
-    found = F.filter(F.transform(F.split("line", r"\|"), extract.duration_info), lambda x: x.isNotNull())
-    return spark.createDataFrame(DURATIONS, "line string, d string").select("line", extract.format_durations(found).alias("duration"))
+    k, a, b = F.col("p_partkey") % 6, F.col("p_size").cast("string"), (F.col("p_partkey") % 29 + 1).cast("string")
+    text = (
+        F.when(k == 0, F.concat(a, F.lit(" ngày làm việc|Không quá "), b, F.lit(" Ngày làm việc: "))).when(k == 1, F.concat(F.lit("giờ hành chính|"), "p_name")).when(k == 2, F.concat(F.lit("giải quyết ngay|"), a, F.lit(" ngày")))
+        .when(k == 3, F.concat(a, F.lit(" ngày|2 tháng|"), b, F.lit(" ngày, cụ thể như sau: 99 ngày"))).when(k == 4, F.concat(F.lit("xác minh mất giấy|xác minh trong thời hạn "), b, F.lit(" ngày làm việc"))).otherwise(F.concat(a, F.lit(" giờ")))
+    )
+    found = F.filter(F.transform(F.split(text, r"\|"), extract.duration_info), lambda x: x.isNotNull())
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), extract.format_durations(found).alias("duration"))
+
 
+@query("""SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'Miễn phí' WHEN 1 THEN 'Không thu lệ phí ' || p_size WHEN 2 THEN 'Miễn phí (Không thu lệ phí)' WHEN 3 THEN CASE WHEN p_size = 20 THEN '20.000 đồng' ELSE p_size || '.000 đồng; 20.000 đồng' END
+WHEN 4 THEN 'Chưa quy định (hoặc theo quy định Bộ Tài chính)' ELSE p_size || '.000đ; ' || p_brand END AS fee FROM part""")
+def clean_fee(spark, sf_dir):
+    k, n, some = F.col("p_partkey") % 6, F.col("p_size").cast("string"), F.lit
+    fee = F.when(k == 0, some("Không")).when(k == 1, F.concat(some("Không thu lệ phí "), n)).when(k == 2, some("không có")).when(k == 3, F.concat(n, some(".000 đồng"))).when(k == 4, some("Chưa quy định")).otherwise(some("Trực tiếp  Trực tuyến"))
+    charge = F.when(k == 1, F.concat(some("Không thu lệ phí  "), n)).when(k == 2, F.concat(some("Miễn phí "), n, some(" ngày làm việc"))).when(k == 3, F.concat(n, some(".000 Đồng; 20.000 đồng"))).when(k == 4, some("Trực tiếp")).when(k == 5, F.concat(n, some(".000đ\n\n"), "p_brand", some(";")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), extract.clean_fee(fee, charge).alias("fee"))
 
-FEES = [("Không", "Không", "Miễn phí"), ("", "", "Miễn phí"), ("Không thu lệ phí", "Không thu lệ phí", "Không thu lệ phí"), ("không có", "Miễn phí 07 ngày làm việc", "Miễn phí (Không thu lệ phí)"), ("50.000 đồng", "50.000 Đồng; 20.000 đồng", "50.000 đồng; 20.000 đồng"), ("Chưa quy định", "Trực tiếp", "Chưa quy định (hoặc theo quy định Bộ Tài chính)"), ("Trực tiếp  Trực tuyến", "30.000đ\n\n40.000đ;", "30.000đ; 40.000đ")]
 
+@query(f"SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'Luật ' || p_type WHEN 1 THEN 'Nghị định ' || p_size || '; Thông tư ' || p_brand WHEN 2 THEN 'Theo luật ' || p_name ELSE {q(extract.NO_LAW)} END AS law FROM part")
+def legal_basis(spark, sf_dir):
+    k, n = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    page = (
+        F.when(k == 0, F.concat(F.lit("<ul><li>+ Luật "), "p_type", F.lit(" Số: 68/2020/QH14</li><li>- luật "), F.lower("p_type"), F.lit("</li><li>abc</li></ul>"))).when(k == 1, F.concat(F.lit("<p>Nghị định <b>"), n, F.lit("</b></p><p>Thông tư "), "p_brand", F.lit("</p>")))
+        .when(k == 2, F.concat(F.lit("<div>Theo luật  "), "p_name", F.lit("</div>"))).otherwise("<div>a</div>")
+    )
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), extract.legal_basis(page).alias("law"))
 
-@query(f"SELECT * FROM {values([(i, f) for i, (_, _, f) in enumerate(FEES)], 'id, fee')}")
-def clean_fee(spark, sf_dir):
-    return spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(FEES)], "id int, a string, b string").select("id", extract.clean_fee(F.col("a"), F.col("b")).alias("fee"))
 
+@query(f"SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'Tờ khai mẫu ' || p_brand || ', Hộ chiếu ' || p_size WHEN 1 THEN 'Đơn đề nghị ' || p_name || ', Bản sao giấy tờ' ELSE {q(extract.NO_DOSSIER)} END AS items FROM part")
+def dossier_items(spark, sf_dir):
+    k, n = F.col("p_partkey") % 3, F.col("p_size").cast("string")
+    page = (
+        F.when(k == 0, F.concat(F.lit("<table><tr><th>Tên giấy tờ</th></tr><tr><td>- Tờ khai mẫu "), "p_brand", F.lit(";</td><td>1</td></tr><tr><td>tờ khai  mẫu "), F.lower("p_brand"), F.lit("</td></tr><tr><td>Hộ chiếu "), n, F.lit(".</td></tr></table>")))
+        .when(k == 1, F.concat(F.lit("<p>Thành phần hồ sơ:</p><p>a) Đơn đề nghị "), "p_name", F.lit(";</p><p>2. Bản sao giấy tờ.</p><p>ngắn</p>"))).otherwise("<p></p>")
+    )
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), extract.dossier(page).alias("items"))
 
-HTML = [
-    ("<ul><li>+ Luật Cư trú Số: 68/2020/QH14</li><li>- luật cư trú</li><li>abc</li></ul>", "Luật Cư trú"), ("<p>Nghị định <b>104</b></p><p>Thông tư 75</p>", "Nghị định 104; Thông tư 75"), ("<div>Theo luật  định</div>", "Theo luật định"), ("<div>a</div>", extract.NO_LAW),
-]
 
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_name || ', ' || p_brand ELSE 'Thành phần hồ sơ ' || p_size END AS items FROM part")
+def comma_lists(spark, sf_dir):
+    even = F.concat(F.lit("1. "), "p_name", F.lit(";\r\nThành phần hồ sơ:\n- "), "p_brand", F.lit(".\n\n"))
+    text = F.when(F.col("p_partkey") % 2 == 0, even).otherwise(F.concat(F.lit("Thành phần hồ sơ "), F.col("p_size").cast("string")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), extract.comma_list(text).alias("items"))
 
-@query(f"SELECT * FROM {values([(i, t) for i, (_, t) in enumerate(HTML)], 'id, law')}")
-def legal_basis(spark, sf_dir):
-    return spark.createDataFrame([(i, h) for i, (h, _) in enumerate(HTML)], "id int, html string").select("id", extract.legal_basis(F.col("html")).alias("law"))
 
+def _item(title: str, inner: Column) -> Column:
+    return F.concat(F.lit(f'<div class="row tthc-list-item"><a class="item-title">{title} <span>Mở rộng</span></a>\n<div class="tthc-list-item-detail"> '), inner, F.lit(" </div></div>\n"))
 
-DOSSIERS = [
-    ("<table><tr><th>Tên giấy tờ</th></tr><tr><td>- Tờ khai mẫu CT01;</td><td>1</td></tr><tr><td>tờ khai  mẫu ct01</td></tr><tr><td>Hộ chiếu.</td></tr></table>", "Tờ khai mẫu CT01, Hộ chiếu"),
-    ("<p>Thành phần hồ sơ:</p><p>a) Đơn đề nghị cấp;</p><p>2. Bản sao giấy tờ.</p><p>ngắn</p>", "Đơn đề nghị cấp, Bản sao giấy tờ"), ("<p></p>", extract.NO_DOSSIER),
-]
 
+def _detail_pages(spark, sf_dir) -> DataFrame:
+    k, n, none = F.col("p_partkey"), F.col("p_size").cast("string"), F.lit("")
+    office = F.element_at(F.array(*map(F.lit, ["xã", "tỉnh", "phường"])), (k % 3 + 1).cast("int"))
+    html = F.concat(
+        F.lit('<html><body><nav>Menu</nav><div class="list">'), F.when(k % 4 != 0, _item("Mã thủ tục", F.concat(k.cast("string"), F.lit(".00"), n))).otherwise(none), F.when(k % 5 != 0, _item("Lĩnh vực", F.concat(F.lit("<p>"), "p_type", F.lit("</p>")))).otherwise(none),
+        _item("Cơ quan thực hiện", F.concat(F.lit("Công an "), office)), _item("Phí", F.lit("Không")), _item("Lệ Phí", F.when(k % 2 == 0, F.concat(n, F.lit(".000 đồng"))).otherwise("Không")),
+        F.when(k % 8 != 0, _item("Thành phần hồ sơ", F.concat(F.lit("<table><tr><td>- Tờ khai "), "p_brand", F.lit(";</td><td>1</td></tr><tr><td>tờ khai "), "p_brand", F.lit("</td></tr><tr><td>"), "p_name", F.lit("</td></tr></table>")))).otherwise(none),
+        F.when(k % 6 != 0, _item("Thời hạn giải quyết", F.concat(F.lit("<p>"), n, F.lit(" ngày làm việc</p>")))).otherwise(none), F.when(k % 9 != 0, _item("Căn cứ pháp lý", F.concat(F.lit("<ul><li>+ Luật "), "p_type", F.lit(" Số: 68/2020/QH14</li></ul>")))).otherwise(none), F.lit("</div></body><footer>end</footer></html>"),
+    )
+    title = F.concat("p_name", F.when(k % 7 == 0, " lưu trú").otherwise(""))
+    return table(spark, sf_dir, "part").select(k.alias("page_id"), title.alias("title"), F.concat(F.lit("https://x.vn/tthc?matt="), k.cast("string")).alias("url"), html.alias("html"))
 
-@query(f"SELECT * FROM {values([(i, t) for i, (_, t) in enumerate(DOSSIERS)], 'id, items')}")
-def dossier_items(spark, sf_dir):
-    return spark.createDataFrame([(i, h) for i, (h, _) in enumerate(DOSSIERS)], "id int, html string").select("id", extract.dossier(F.col("html")).alias("items"))
+
+@query(f"""SELECT k AS page_id, CASE WHEN k % 4 <> 0 THEN k || '.00' || p_size ELSE 'BCA-' || k END AS ma_thu_tuc, title AS ten_thu_tuc, CASE WHEN k % 5 <> 0 THEN p_type ELSE {q(extract.NO_FIELD)} END AS linh_vuc,
+CASE WHEN k % 3 = 1 THEN 'Cấp Tỉnh' ELSE 'Cấp Xã' END AS cap_thuc_hien, 'Công an ' || (['xã', 'tỉnh', 'phường'])[CAST(k % 3 AS INT) + 1] AS co_quan, CASE WHEN k % 8 <> 0 THEN 'Tờ khai ' || p_brand || ', ' || p_name ELSE {q(extract.NO_DOSSIER)} END AS thanh_phan_ho_so,
+CASE WHEN k % 6 <> 0 THEN printf('%02d ngày làm việc', p_size) WHEN k % 7 = 0 THEN {q(extract.TODAY)} ELSE {q(extract.NO_TIME)} END AS thoi_gian_text, CAST(CASE WHEN k % 6 <> 0 THEN p_size WHEN k % 7 = 0 THEN 1 END AS DOUBLE) AS thoi_gian_ngay,
+CASE WHEN k % 2 = 0 THEN p_size || '.000 đồng' ELSE 'Miễn phí' END AS le_phi_text, CAST(CASE WHEN k % 2 = 0 THEN p_size * 1000 ELSE 0 END AS DOUBLE) AS le_phi_vnd, CASE WHEN k % 9 <> 0 THEN 'Luật ' || p_type ELSE {q(extract.NO_LAW)} END AS can_cu_phap_ly,
+'https://x.vn/tthc?matt=' || k AS nguon_url, '2024-01-31' AS ngay_crawl FROM (SELECT *, p_partkey AS k, p_name || CASE WHEN p_partkey % 7 = 0 THEN ' lưu trú' ELSE '' END AS title FROM part)""")
+def detail_records(spark, sf_dir):
+    out = extract.page_record(_detail_pages(spark, sf_dir), F.lit(dt.date(2024, 1, 31)))
+    return out.withColumns({c: F.col(c).cast("double") for c in ("thoi_gian_ngay", "le_phi_vnd")})
 
 
 @query(r"SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS lang, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS paragraphs FROM pages")
@@ -495,7 +586,7 @@ def html_fields(spark, sf_dir):
 @query()
 def page_records(spark, sf_dir):
     html = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", extract.legal_basis(html).alias("can_cu_phap_ly"), extract.dossier(html).alias("thanh_phan_ho_so"), extract.resolution_time(html).alias("thoi_gian_text"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", extract.legal_basis(html).alias("can_cu_phap_ly"), extract.dossier(html).alias("thanh_phan_ho_so"), extract.resolution_time(html).alias("thoi_gian_text"))
 
 
 @query(r"SELECT page_id, regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page, CASE WHEN starts_with(path, 'http') THEN path ELSE 'https://x.vn' || path END AS link FROM (SELECT *, CASE WHEN page_id % 2 = 0 THEN url ELSE regexp_replace(url, '^https?://[^/]*', '') END AS path FROM pages)")
@@ -504,9 +595,24 @@ def url_param(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", extract.url_parameter(F.col("url"), "page").alias("page"), extract.absolute_url(path, "https://x.vn").alias("link"))
 
 
-@query("SELECT min(page_id) AS page_id, url FROM pages GROUP BY url ORDER BY 1 LIMIT 100")
+@query("SELECT min(page_id) AS page_id, url FROM pages GROUP BY url")
 def crawl_dedup(spark, sf_dir):
-    return crawled(table(spark, sf_dir, "pages"), 100).select("page_id", "url")
+    return crawled(table(spark, sf_dir, "pages")).select("page_id", "url")
+
+
+@query("""WITH l AS (SELECT url, min(page_id) AS p FROM pages WHERE page_id // 20 + 1 <= 7 AND page_id % 11 <> 0 GROUP BY 1)
+SELECT p // 20 + 1 AS page, p % 20 AS place, url, CASE WHEN p % 5 = 0 THEN 'no answer' WHEN p % 7 = 0 THEN 'HTTP 404' END AS error, CASE WHEN p % 5 = 0 OR p % 7 = 0 THEN 0 ELSE (SELECT length(html) FROM pages WHERE page_id = p) END AS n_chars FROM l""")
+def crawl_pages(spark, sf_dir):
+    k, first = F.col("page_id"), crawled(table(spark, sf_dir, "pages").where((F.floor(F.col("page_id") / 20) + 1 <= 7) & (F.col("page_id") % 11 != 0)))
+    links = table(spark, sf_dir, "pages").select((F.floor(k / 20) + 1).alias("page"), (k % 20).alias("place"), F.col("url").alias("href"), F.when(k % 11 == 0, " ").otherwise("t").alias("title"))
+    got = first.where(k % 5 != 0).select("url", F.when(k % 7 == 0, 404).otherwise(200).alias("status"), "html")
+    return fetched(listed(links, "https://x.vn", 7), got).select("page", "place", "url", "error", F.coalesce(F.length("html"), F.lit(0)).cast("long").alias("n_chars"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand END AS found FROM part")
+def lookup_fallback(spark, sf_dir):
+    part = table(spark, sf_dir, "part").withColumn("id", F.col("p_partkey"))
+    return with_fallback(part.where("id % 2 = 0").select("id", F.col("p_name").alias("found")), part.select("id", F.col("p_brand").alias("found")), "id", "found")
 
 
 # Evaluation. The question set: every twentieth vector; gold: the same label; labels 8 and 9 are out of scope.
@@ -528,6 +634,19 @@ best AS (SELECT qid, min(CASE WHEN label = topic THEN pos + 1 END) AS gold_rank,
 res AS (SELECT asks.*, gold_rank, top1_distance, top1_id, coalesce(CAST(gold_rank = 1 AS INT), 0) AS hit_1, coalesce(CAST(gold_rank <= 5 AS INT), 0) AS hit_5, coalesce(round(1 / gold_rank, 4), 0) AS rr FROM asks LEFT JOIN best USING (qid))"""
 
 
+@query(f"""WITH {V}, asks AS (SELECT vec_id AS qid, v AS q, row_id || '::title' AS own, lower('Title ' || row_id % 25) AS title, label < 8 AS inside FROM v WHERE vec_id % 20 = 0),
+g AS (SELECT title, list(DISTINCT own) AS gold FROM asks WHERE inside GROUP BY 1),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, vec_id) - 1 AS pos FROM (SELECT qid, own, vec_id, row_id || '::' || view AS id, lower('Title ' || row_id % 25) AS title, greatest(0, list_cosine_similarity(q, v)) AS s FROM asks JOIN v ON vec_id <> qid)) WHERE pos < 10)
+SELECT qid, pos, id, id = own OR coalesce(list_contains(gold, own), false) AS relevant FROM hits LEFT JOIN g USING (title)""")
+def eval_gold(spark, sf_dir):
+    views = views_of(spark, sf_dir)
+    ident, title = F.concat_ws("::", F.col("row_id").cast("string"), "view"), F.concat(F.lit(" Title "), (F.col("row_id") % 25).cast("string"))
+    asks = views.where("vec_id % 20 = 0")
+    hits = dense.knn(asks.select(F.col("vec_id").alias("qid"), F.col("v").alias("q")), views.select("vec_id", "row_id", "view", "v"), k=10).withColumn("id", ident)
+    mine = asks.select(F.col("vec_id").alias("qid"), F.concat(F.col("row_id").cast("string"), F.lit("::title")).alias("gold_chroma_id"), title.alias("gold_title"), (F.col("label") < 8).cast("int").alias("in_scope"))
+    return evaluation.relevant(hits, views.select(ident.alias("id"), title.alias("title")), mine).select("qid", "pos", "id", "relevant")
+
+
 @query(f"WITH {RESULTS} SELECT qid, CAST(gold_rank AS DOUBLE) AS gold_rank, hit_1, hit_5, rr, round(top1_distance, 6) AS top1_distance, top1_id FROM res")
 def eval_results(spark, sf_dir):
     return _results(spark, sf_dir).select("qid", F.col("gold_rank").cast("double").alias("gold_rank"), "hit_1", "hit_5", "rr", F.round("top1_distance", 6).alias("top1_distance"), "top1_id")
@@ -597,17 +716,20 @@ def _sql_pick(choices: list[str]) -> str:
 
 
 SQL_BASE = "t || ' cần giấy tờ gì'"
-SQL_NOISE = [(sql_strip_marks(SQL_BASE), "no_diacritics", "hard"), (_sql_abbreviate(SQL_BASE), "abbrev", "hard"), (None, "typo", "hard"), (f"t || {_sql_pick(questions.TAILS)}", "keyword", "medium"), (f"trim({_sql_pick(questions.OPENERS)} || lower({SQL_BASE}) || {_sql_pick(questions.CLOSERS)})", "colloquial", "medium")]
+# Two words joined, a letter dropped or a letter doubled, by the key.
+SQL_TYPO = f"""(SELECT CASE WHEN n >= 2 AND k % 3 = 0 THEN array_to_string(w[1:j - 1] || [w[j] || w[j + 1]] || w[j + 2:n], ' ') WHEN length(b) >= 4 AND k % 3 = 1 THEN substr(b, 1, i - 1) || substr(b, i + 1) ELSE substr(b, 1, i) || substr(b, i) END
+FROM (SELECT b, string_split(b, ' ') AS w, len(string_split(b, ' ')) AS n, CAST(k % (len(string_split(b, ' ')) - 1) + 1 AS INT) AS j, CAST(k % length(b) + 1 AS INT) AS i FROM (SELECT {SQL_BASE} AS b)))"""
+SQL_NOISE = [(sql_strip_marks(SQL_BASE), "no_diacritics", "hard"), (_sql_abbreviate(SQL_BASE), "abbrev", "hard"), (SQL_TYPO, "typo", "hard"), (f"t || {_sql_pick(questions.TAILS)}", "keyword", "medium"), (f"trim({_sql_pick(questions.OPENERS)} || lower({SQL_BASE}) || {_sql_pick(questions.CLOSERS)})", "colloquial", "medium")]
 SQL_MADE = [(f"replace({q(text)}, '{{t}}', t)", f"facet_{name}", "easy") for name, text in questions.FACETS] + SQL_NOISE
 SQL_QUESTIONS = " UNION ALL ".join(f"SELECT k AS topic_key, {i} AS place, f AS field, trim({s}) AS question, '{v}' AS variant, '{d}' AS difficulty, 1 AS in_scope, '' AS oos_kind FROM (SELECT p_partkey AS k, p_name AS t, p_brand AS f FROM part)" for i, (s, v, d) in enumerate(SQL_MADE) if s)
 
 
 @query(SQL_QUESTIONS)
 def gen_questions(spark, sf_dir):
-    return questions.generate(_topics(spark, sf_dir)).where("variant != 'typo'")
+    return questions.generate(_topics(spark, sf_dir))
 
 
-@query()
+@query(f"SELECT * FROM ({SQL_QUESTIONS}) WHERE variant = 'typo'")
 def gen_typos(spark, sf_dir):
     return questions.generate(_topics(spark, sf_dir)).where("variant = 'typo'")
 
@@ -619,21 +741,33 @@ def gen_numbers(spark, sf_dir):
 
 @query("SELECT count(*) AS rows, count(*) FILTER (p_partkey % 3 <> 2) AS covered, count(*) FILTER (p_partkey % 3 = 2) AS uncovered FROM part")
 def gen_coverage(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    topics = part.where("p_partkey % 3 = 0").select(F.array(F.col("p_partkey"), F.col("p_partkey") + 1).alias("rows"))
-    return questions.coverage(part.select(F.col("p_partkey").alias("row_no")), topics)
+    # A topic names two of three neighbouring rows, so every third row is left over.
+    part, first = table(spark, sf_dir, "part"), F.col("p_partkey") - F.col("p_partkey") % 3
+    return questions.coverage(part.select(F.col("p_partkey").alias("row_no")), part.select(F.array(first, first + 1).alias("rows")))
 
 
-@query("SELECT p_partkey AS topic_key, p_partkey + 1000000 AS row_no FROM part WHERE p_partkey % 3 = 0")
+@query("SELECT p_partkey AS topic_key, p_partkey + 100000000 AS row_no FROM part")
 def gen_missing(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    topics = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("topic_key"), F.array(F.col("p_partkey"), F.col("p_partkey") + 1000000).alias("rows"))
+    topics = part.select(F.col("p_partkey").alias("topic_key"), F.array(F.col("p_partkey"), F.col("p_partkey") + 100_000_000).alias("rows"))
     return questions.missing_rows(part.select(F.col("p_partkey").alias("row_no")), topics)
 
 
+@query(f"""WITH made AS (SELECT row_number() OVER (ORDER BY topic_key, place) AS n, * FROM ({SQL_QUESTIONS})), total AS (SELECT count(*) AS total FROM made)
+SELECT printf('Q%04d', n) AS qid, question, CAST(topic_key AS VARCHAR) AS topic_key, a.p_name AS topic, a.p_partkey || ';' || (a.p_partkey + 1) AS gold_row_no, concat_ws(';', 'r' || a.p_partkey, 'r' || b.p_partkey) AS gold_chroma_id, concat_ws(' | ', a.p_name, b.p_name) AS gold_title,
+  a.p_brand AS linh_vuc, variant, difficulty, in_scope, oos_kind FROM made JOIN part a ON a.p_partkey = topic_key LEFT JOIN part b ON b.p_partkey = topic_key + 1
+UNION ALL SELECT printf('Q%04d', total + row_number() OVER (ORDER BY item_id)), trim(text), 'none', '', '', '', '', '', 'out_of_scope', 'hard', 0, 'kind' || item_id % 3 FROM benchmark, total""")
+def gen_question_set(spark, sf_dir):
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    topics = part.select(k.alias("topic_key"), F.col("p_name").alias("topic"), F.array(k, k + 1).alias("rows"))
+    rows = part.select(k.alias("row_no"), F.concat(F.lit("r"), k.cast("string")).alias("id"), F.concat(F.lit(" "), "p_name").alias("title"), F.col("p_brand").alias("field"))
+    outside = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("place"), F.col("text").alias("question"), F.concat(F.lit("kind"), (F.col("item_id") % 3).cast("string")).alias("kind"))
+    return questions.question_set(topics, rows, outside)
+
+
 @query(f"SELECT key, value, count(*) AS n FROM (SELECT 'variant' AS key, variant AS value FROM ({SQL_QUESTIONS}) UNION ALL SELECT 'difficulty', difficulty FROM ({SQL_QUESTIONS})) GROUP BY 1, 2")
 def gen_distribution(spark, sf_dir):
-    return questions.distribution(questions.generate(_topics(spark, sf_dir)).where("variant != 'typo'"), ["variant", "difficulty"])
+    return questions.distribution(questions.generate(_topics(spark, sf_dir)), ["variant", "difficulty"])
 
 
 @query()
@@ -723,6 +857,49 @@ def reset_scope(spark, sf_dir):
     return mine.agg(F.count("*").alias("n")).select(F.lit("mine").alias("scope"), "n").union(store.emptied(c).agg(F.count("*").alias("n")).select(F.lit("all").alias("scope"), "n"))
 
 
+@query("""WITH c AS (SELECT o_orderkey AS id, o_custkey % 3 = 0 AS guest FROM orders), t AS (SELECT 'messages' AS name, count(*) AS n, count(*) FILTER (guest) AS guests FROM lineitem JOIN c ON l_orderkey = id UNION ALL SELECT 'conversations', count(*), count(*) FILTER (guest) FROM c
+  UNION ALL SELECT 'sessions', count(*), 0 FROM events UNION ALL SELECT 'users', count(*), 0 FROM customer)
+SELECT scope, name, CASE scope WHEN 'everything' THEN n WHEN 'mine' THEN guests ELSE CASE WHEN name IN ('messages', 'conversations') THEN n ELSE 0 END END AS n FROM t, (SELECT unnest(['mine', 'all', 'everything']) AS scope)""")
+def reset_counts(spark, sf_dir):
+    messages = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("conversation_id"))
+    tables = {"messages": messages, "conversations": _conversations(spark, sf_dir), "sessions": table(spark, sf_dir, "events"), "users": table(spark, sf_dir, "customer")}
+    out = [store.deleted(tables[name], left).select(F.lit(scope).alias("scope"), F.lit(name).alias("name"), "n") for scope in ("mine", "all", "everything") for name, left in store.reset(tables, scope).items()]
+    return reduce(DataFrame.union, out)
+
+
+@query("""WITH u AS (SELECT c_custkey AS user_id, 'u' || c_custkey || '@x.vn' AS email, c_name AS full_name FROM customer WHERE c_custkey % 2 = 0)
+SELECT * FROM u UNION ALL SELECT min(c_custkey) + 1000000, 'u' || c_custkey // 3 || '@x.vn' AS email, any_value('Công dân') FROM customer WHERE 'u' || c_custkey // 3 || '@x.vn' NOT IN (SELECT email FROM u) GROUP BY 2""")
+def register_users(spark, sf_dir):
+    k, schema = F.col("c_custkey"), ["user_id", "email", "password_hash", "full_name", "created_at"]
+    made = F.timestamp_seconds(k)
+    have = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(k.alias("user_id"), F.concat(F.lit("u"), k.cast("string"), F.lit("@x.vn")).alias("email"), F.md5("c_name").alias("password_hash"), F.col("c_name").alias("full_name"), made.alias("created_at"))
+    new = table(spark, sf_dir, "customer").select((k + 1_000_000).alias("user_id"), F.concat(F.lit(" U"), F.floor(k / 3).cast("string"), F.lit("@X.vn ")).alias("email"), F.md5("c_name").alias("password_hash"), F.lit(" ").alias("full_name"), made.alias("created_at"))
+    return store.register(have.select(*schema), new.select(*schema)).select("user_id", "email", "full_name")
+
+
+@query("SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 4 <> 0")
+def authenticate(spark, sf_dir):
+    k = F.col("c_custkey")
+    users = table(spark, sf_dir, "customer").select(k.alias("user_id"), F.concat(F.lit("u"), k.cast("string")).alias("email"), F.md5("c_name").alias("password_hash"), F.col("c_name").alias("full_name"), F.lit(None).cast("timestamp").alias("created_at"))
+    tries = table(spark, sf_dir, "customer").select(F.concat(F.lit(" U"), k.cast("string")).alias("email"), F.md5(F.when(k % 4 == 0, "x").otherwise(F.col("c_name"))).alias("password_hash"))
+    return store.authenticate(users, tries).select("user_id")
+
+
+@query("SELECT event_id AS token, ts + INTERVAL 30 DAY AS expires_at FROM events WHERE user_id % 3 <> 0")
+def session_changes(spark, sf_dir):
+    made = table(spark, sf_dir, "events").select(F.col("event_id").alias("token"), "user_id", F.col("ts").alias("created_at"))
+    empty = made.select("token", "user_id", F.col("created_at").alias("expires_at"), "created_at").limit(0)
+    return store.close_sessions(store.open_sessions(empty, made), made.where("user_id % 3 = 0")).select("token", "expires_at")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey = 7 THEN 'Tên mới' ELSE o_orderpriority END AS title, o_orderkey = 7 AND o_custkey % 3 <> 0 AS mine FROM orders")
+def conv_rename(spark, sf_dir):
+    c = store.rename(_conversations(spark, sf_dir), 7, "Tên mới")
+    users = [r["user_id"] for r in c.where("id = 7").select("user_id").collect()]
+    mine = store.owned(c, 7, users[0] if users else -1).where("user_id IS NOT NULL").select("id", F.lit(True).alias("mine"))
+    return c.select("id", "title").join(F.broadcast(mine), "id", "left").withColumn("mine", F.coalesce("mine", F.lit(False)))
+
+
 @query("""WITH e AS (SELECT event_id AS job_id, user_id AS queue, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)
 SELECT job_id, queue, count(*) OVER (PARTITION BY queue ORDER BY s RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) - (count(*) OVER (PARTITION BY queue, s) - row_number() OVER (PARTITION BY queue, s ORDER BY job_id)) AS position FROM e""")
 def queue_positions(spark, sf_dir):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer parts than half the cores dealt out over all of them, for costly expressions; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Rows that several steps read, written once to the folder that driver and executors share (spark.checkpoint.dir; a
+    temporary one in local mode where that is unset) and read again: a lost executor costs its own tasks alone."""
+    spark = df.sparkSession
+    if not (folder := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """By the file system that Spark reads it with."""
     jvm = spark.sparkContext._jvm
@@ -70,6 +93,24 @@ def crawled(pages: DataFrame, max_items: int | None = None) -> DataFrame:
     return once.orderBy("page_id").limit(max_items) if max_items else once
 
 
+def listed(links: DataFrame, base: str, max_pages: int | None = None) -> DataFrame:
+    """page, place, url, title of the links (page, place, href, title) on the first pages of a list: those with an
+    address and a title, each address once, where it is first seen."""
+    from ..functions.extract import absolute_url
+
+    some = links.where(F.col("page") <= max_pages) if max_pages else links
+    some = some.where((F.coalesce(F.trim("title"), F.lit("")) != "") & (F.coalesce("href", F.lit("")) != "")).withColumn("url", absolute_url(F.col("href"), base))
+    return some.groupBy("url").agg(F.min(F.struct("page", "place", F.trim("title").alias("title"))).alias("f")).select("f.page", "f.place", "url", "f.title")
+
+
+def fetched(links: DataFrame, answers: DataFrame) -> DataFrame:
+    """Listed links with their page, or with what went wrong, as a row of its own: a page that failed ends nothing.
+    answers: url, status, html."""
+    joined = links.join(answers.select("url", "status", "html"), "url", "left")
+    error = F.when(F.col("status").isNull(), "no answer").when(F.col("status") != 200, F.concat(F.lit("HTTP "), F.col("status").cast("string")))
+    return joined.withColumn("error", error).withColumn("html", F.when(error.isNull(), F.col("html")))
+
+
 def with_fallback(first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:
     """Of two lookups the first one's value, else the second one's."""
     return first.select(key, F.col(value).alias("__a")).join(second.select(key, F.col(value).alias("__b")), key, "full").select(key, F.coalesce("__a", "__b").alias(value))
