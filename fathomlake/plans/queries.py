@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, rules
 from ..functions.text import ABBREVIATIONS, STOP_WORDS, abbreviate, clipped_sigmoid, content_tokens, first_words, fold, has_marks, outside_parentheses, strip_marks
 from ..operators import answers, catalogue, dense, evaluation, fusion, lexical, questions, store
-from ..sources import crawled, fetched, listed, spread, table, with_fallback
+from ..sources import RECORD_COLUMNS, Collection, crawled, fetched, first_of, listed, numbered_sheet, read_csv, shared_path, spread, table, with_fallback, write_csv, write_json_lines, write_records, write_report
 from ..streaming import routed, sessions
 from . import samples
 
@@ -434,7 +436,29 @@ def lexical_doc(spark, sf_dir):
     return _parts(spark, sf_dir).select("row_id", catalogue.lexical_text().alias("document"))
 
 
-@query()
+def _sql_text(t: str, **names: str) -> str:
+    """A text with {name} pieces as SQL that puts columns or other SQL in their places."""
+    pieces = re.split(r"\{(\w+)\}", t)
+    return " || ".join(names[x] if i % 2 else q(x) for i, x in enumerate(pieces) if i % 2 or x)
+
+
+def _sql_intro(t: str) -> str:
+    return _sql_text(t.replace("%s", "{ten}", 1).replace("%s", "{cap}", 1), ten="ten", cap="cap_thuc_hien")
+
+
+def _sql_or(c: str) -> str:
+    return f"coalesce(nullif({c}, ''), {q(answers.DEFAULTS[c])})"
+
+
+_closed = [(label, "`" if label.endswith("`") else "**" if label.endswith(" **") else "") for label in answers.LABELS]
+_values = ["ten", *map(_sql_or, ["ma_thu_tuc", "linh_vuc", "cap_thuc_hien", "thoi_gian", "le_phi"]), f"coalesce(nullif({_sql_scrub('dia_diem')}, ''), {q(catalogue.ANY_DESK)})", "nullif(gio_cat_off, '')"]
+# The pieces of ho_so are known for each kind of record: its last one ends with the part's brand.
+SQL_DOCS = f"CASE row_id % 5 WHEN 0 THEN '  * Tờ khai' || chr(10) || '  * giấy tờ (bản sao, bản chính)' || chr(10) || '  * ảnh ' || p_brand WHEN 1 THEN {q(answers.NO_DOCS)} WHEN 3 THEN '  * Tờ khai ' || p_brand ELSE '  * Hợp đồng' || chr(10) || '  * căn cước ' || p_brand END"
+
+
+@query(f"""SELECT row_id, question, CASE question WHEN 'kết hôn cần gì' THEN {_sql_intro(answers.INTROS[1][1])} WHEN 'làm cccd' THEN {q(answers.INTROS[3][1])} WHEN 'thủ tục này nộp ở đâu' THEN {_sql_intro(answers.SITUATION_INTRO)} ELSE '' END
+|| concat_ws(chr(10), {", ".join(f"{q(a)} || {v} || {q(b)}" for (a, b), v in zip(_closed, _values, strict=True))}, {q(answers.DOCS_HEAD)}, {SQL_DOCS}, {q(answers.LAW)} || nullif(can_cu_phap_ly, '') || '*', {q(answers.LINK)} || nullif(nguon_url, '') || ')') AS answer
+FROM (SELECT *, (['kết hôn cần gì', 'làm cccd', 'x y', 'thủ tục này nộp ở đâu', ''])[CAST(row_id // 5 % 5 AS INT) + 1] AS question FROM {SQL_CATALOGUE} JOIN part ON p_partkey = row_id)""")
 def tier_a_card(spark, sf_dir):
     asks = F.element_at(F.array(*map(F.lit, ["kết hôn cần gì", "làm cccd", "x y", "thủ tục này nộp ở đâu", ""])), (F.floor(F.col("row_id") / 5) % 5 + 1).cast("int"))
     return catalogue.normalise(records(spark, sf_dir)).withColumn("question", asks).select("row_id", "question", answers.card(F.col("question")).alias("answer"))
@@ -473,6 +497,37 @@ def rerank_passages(spark, sf_dir):
     return _parts(spark, sf_dir).select("row_id", fusion.passage(F.col("ten"), catalogue.situational(), catalogue.view_columns()["summary"]).alias("passage"))
 
 
+ANSWERS = ["", "Đến phường Tăng Nhơn Phú, mã ", "Trả lời ", "Số 29 Lê Văn Việt, "]
+
+
+@query(f"SELECT id, {_sql_scrub('CASE WHEN id % 4 = 0 THEN ' + q('Chưa có câu trả lời tại phường Tăng Nhơn Phú') + ' ELSE line END')} AS answer FROM {sql_in_turn(ANSWERS, 'p_name')}")
+def fallback_answers(spark, sf_dir):
+    model = F.when(F.col("id") % 8 == 0, None).when(F.col("id") % 4 == 0, "").otherwise(F.col("line"))
+    return in_turn(spark, sf_dir, ANSWERS, F.col("p_name")).select("id", answers.answered(model, "Chưa có câu trả lời tại phường Tăng Nhơn Phú").alias("answer"))
+
+
+def _passage_lengths(q_: pd.Series, p: pd.Series) -> pd.Series:
+    return p.str.len().astype(float)
+
+
+@query(f"SELECT qid, row_id, final_rank, CASE WHEN {sql_strip_marks('question')} <> question THEN CAST(length(passage) AS DOUBLE) END AS rerank_score FROM (SELECT conv_id AS qid, turn AS row_id, turn AS final_rank, CASE WHEN turn % 2 = 0 THEN 'đá' ELSE 'da' END AS question, text AS passage FROM conversations)")
+def rerank_display(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    ranked = c.select(F.col("conv_id").alias("qid"), F.col("turn").alias("row_id"), F.col("turn").alias("final_rank"))
+    texts = c.select(F.col("conv_id").alias("qid"), F.col("turn").alias("row_id"), F.when(F.col("turn") % 2 == 0, "đá").otherwise("da").alias("question"), F.col("text").alias("passage"))
+    return fusion.with_rerank(ranked, texts, F.pandas_udf(_passage_lengths, "double")).select("qid", "row_id", "final_rank", "rerank_score")
+
+
+def _lengths_and_spaces():
+    return lambda texts: [[len(t), t.count(" ")] for t in texts]
+
+
+@query("SELECT doc_id AS row_id, CAST(length(text) AS DOUBLE) AS a, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS b FROM documents")
+def embed_texts(spark, sf_dir):
+    e = dense.embed(rows_of(spark, sf_dir), _lengths_and_spaces)
+    return e.select("row_id", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
+
+
 # Extraction.
 
 SQL_LEVELS = "concat_ws(' / ', " + ", ".join(f"CASE WHEN {contains_any('lower(line)', w)} THEN {q(n)} END" for n, w in extract.LEVELS) + ")"
@@ -615,6 +670,60 @@ def lookup_fallback(spark, sf_dir):
     return with_fallback(part.where("id % 2 = 0").select("id", F.col("p_name").alias("found")), part.select("id", F.col("p_brand").alias("found")), "id", "found")
 
 
+# Sources and sinks: what comes back is what went out.
+
+PART = "SELECT p_partkey, p_name, p_brand, p_size FROM part"
+
+
+def _part(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+
+
+@query("SELECT p_partkey AS id, p_name || chr(10) || '\"đ\", ' || p_brand AS text FROM part")
+def csv_round_trip(spark, sf_dir):
+    rows = _part(spark, sf_dir).select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit('\n"đ", '), "p_brand").alias("text"))
+    write_csv(rows, path := shared_path(spark, "csv"))
+    return read_csv(spark, path, "id long, text string")
+
+
+@query(PART)
+def json_lines(spark, sf_dir):
+    write_json_lines(_part(spark, sf_dir), path := shared_path(spark, "lines"))
+    return spark.read.schema("p_partkey long, p_name string, p_brand string, p_size int").json(path)
+
+
+@query("SELECT count(*) AS n, max(p_size) AS most FROM part")
+def report_sink(spark, sf_dir):
+    write_report(_part(spark, sf_dir).agg(F.count("*").alias("n"), F.max("p_size").alias("most")), path := shared_path(spark, "report"))
+    return spark.read.schema("n long, most long").json(path)
+
+
+@query("SELECT " + ", ".join(f"p_name AS {c}" if i % 2 else f"p_brand AS {c}" for i, c in enumerate(RECORD_COLUMNS)) + " FROM part")
+def record_sink(spark, sf_dir):
+    columns = {c: F.col("p_name" if i % 2 else "p_brand") for i, c in enumerate(RECORD_COLUMNS)}
+    write_records(_part(spark, sf_dir).select("p_partkey", *[columns[c].alias(c) for c in reversed(RECORD_COLUMNS)]), path := shared_path(spark, "records"))
+    return spark.read.parquet(path)
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def fallback_file(spark, sf_dir):
+    return first_of(spark, [f"{sf_dir}/absent.parquet", f"{sf_dir}/nation.parquet", f"{sf_dir}/region.parquet"]).select("n_nationkey", "n_name")
+
+
+@query("SELECT p_partkey, CAST(n AS BIGINT) - 1 AS row_id, CAST(n AS BIGINT) AS row_no FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS n FROM part) WHERE p_partkey % 7 <> 0")
+def sheet_rows(spark, sf_dir):
+    part = _part(spark, sf_dir).withColumn("p_name", F.when(F.col("p_partkey") % 7 == 0, " ").otherwise(F.col("p_name")))
+    return numbered_sheet(part, F.col("p_partkey"), "p_name").select("p_partkey", "row_id", "row_no")
+
+
+@query("SELECT vec_id, label FROM embeddings")
+def collection_scan(spark, sf_dir):
+    vectors, c = table(spark, sf_dir, "embeddings"), Collection(spark, shared_path(spark, "vectors"))
+    c.reset(vectors.where("vec_id % 2 = 0"))
+    c.add(vectors.where("vec_id % 2 = 1"))
+    return c.scan("vec_id", "label")
+
+
 # Evaluation. The question set: every twentieth vector; gold: the same label; labels 8 and 9 are out of scope.
 
 

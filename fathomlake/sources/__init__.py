@@ -22,18 +22,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Rows that several steps read, written once to the folder that driver and executors share (spark.checkpoint.dir; a
-    temporary one in local mode where that is unset) and read again: a lost executor costs its own tasks alone."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary folder in local
+    mode where that is unset."""
     if not (folder := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()):
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Rows that several steps read, written once and read again: a lost executor costs its own tasks alone."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -60,6 +64,7 @@ def numbered_sheet(rows: DataFrame, order: Column, first_cell: str) -> DataFrame
     ranged = rows.withColumn("__order", order).repartitionByRange("__order").sortWithinPartitions("__order").withColumn("__part", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
     before = ranged.groupBy("__part").agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(Window.orderBy("__part")) - F.col("c")).drop("c")
     place = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before")
+    # One row for each range: no more than the shuffle partitions.
     out = ranged.join(F.broadcast(before), "__part").withColumn("row_id", place).withColumn("row_no", place + 1)
     return out.drop("__part", "__m", "__order", "before").where(F.coalesce(F.trim(F.col(first_cell)), F.lit("")) != "")
 
