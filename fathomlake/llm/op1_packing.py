@@ -7,7 +7,8 @@ length cut it, and a piece that ends or begins at a window's edge inside a docum
 Every sequence but the last is full.
 
 Cases: a null or empty text is just its end token; a document longer than a sequence is cut into several pieces;
-repeated rows are packed as often as they are there; an empty table gives no pieces.
+repeated rows are packed as often as they are there; a null doc_id is a document like others; an empty table gives no
+pieces.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .common import release, text_arrays, texts_of, written
 from .tokens import encode_words, tokenizer
 
 LENGTH, END = 2048, 1
+#: Parts whose sums may be broadcast: 16 bytes each.
+BROADCAST_PARTS = 1_000_000
 ENCODED = "doc_id long, part int, place long, n_tokens long, ids binary"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, boundary boolean"
 
@@ -84,7 +87,9 @@ def placed(tokens: DataFrame) -> DataFrame:
     bunches = bunches.select("bunch", (F.sum("sum").over(Window.orderBy("bunch")) - F.col("sum")).alias("bunch_before"))
     within = F.sum("total").over(Window.partitionBy("bunch").orderBy("part")) - F.col("total")
     before = totals.withColumn("within", within).join(bunches, "bunch").select("part", (F.col("within") + F.col("bunch_before")).alias("before"))
-    return tokens.join(F.broadcast(before), "part").withColumn("at", F.col("before") + F.col("place"))
+    # Parts are numbered from 0: the last number bounds the rows.
+    few = (tokens.agg(F.max("part")).first()[0] or 0) < BROADCAST_PARTS
+    return tokens.join(F.broadcast(before) if few else before, "part").withColumn("at", F.col("before") + F.col("place"))
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> DataFrame:
