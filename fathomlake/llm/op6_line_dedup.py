@@ -5,8 +5,8 @@ out, the tags of block elements and line feeds end a line, other tags are droppe
 (once or more often) are divided by all pages of the host; a line over ``max_ratio`` on a host with ``min_pages`` pages
 or more is boilerplate and goes from every page of that host.
 
-Cases: a null url or one without host is the host ''; null or empty html has no lines and stays with kept_lines 0;
-repeated rows are pages of their own; rows with a null page_id are kept as they are; an empty table gives an empty one.
+Cases: a null url or one without host is the host ''; null or empty html has no lines and an empty kept_text;
+repeated rows are pages of their own; a null page_id is a page like others; an empty table gives an empty one.
 """
 
 from __future__ import annotations

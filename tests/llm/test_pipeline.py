@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+import struct
+import zlib
 
 import duckdb
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from fathomlake.llm.op5_toxicity import toxicity
@@ -27,11 +31,15 @@ def test_stages(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf_dir)
         if name == "packing":
-            n = {}
+            words, n, filled = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), {}, {}
+            ids = {i: [*words.encode(t, add_special_tokens=False).ids, 1] for i, t in left.items()}
             for r in out.collect():
+                part = ids[r.doc_id][r.start : r.start + r.length]
+                assert r.ids_crc32 == zlib.crc32(struct.pack(f"<{r.length}I", *part)) and r.doc_tokens == len(ids[r.doc_id])
                 n[r.doc_id] = n.get(r.doc_id, 0) + r.length
-                assert r.doc_tokens >= r.length
-            assert set(n) == set(left)
+                filled[r.sequence_id] = filled.get(r.sequence_id, 0) + r.length
+            assert n == {i: len(x) for i, x in ids.items()}
+            assert all(filled[k] == 2048 for k in range(max(filled)))
             break
         assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         if name == "toxicity":
