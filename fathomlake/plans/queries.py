@@ -879,7 +879,7 @@ def gen_distribution(spark, sf_dir):
     return questions.distribution(questions.generate(_topics(spark, sf_dir)), ["variant", "difficulty"])
 
 
-@query()
+@query("SELECT p_partkey AS topic_key, CASE WHEN CAST('0x' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 8) AS BIGINT) % 10 < 8 THEN 'train' ELSE 'test' END AS side FROM part")
 def topic_split(spark, sf_dir):
     return _topics(spark, sf_dir).select("topic_key", questions.split_of(F.col("topic_key")).alias("side"))
 
