@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import ASK, arrow_schema, ask, is_in, keys_of, lowered, mapped, mix, repeated, runs_of, span_hashes, squeeze, unsqueeze, word_spans
-from .common import release, shards_for, text_arrays, texts_of, written
-from .components import components
+from .common import LOWER, UPPER, release, shards_for, text_arrays, texts_of, written
+from .components import components, with_copies
 
 N, PERCENT = 4, 80
-PERMUTATIONS, BANDS, ROWS, AGREE, TILE = 64, 48, 5, 0.55, 1000
+PERMUTATIONS, BANDS, ROWS, AGREE, TILE = 64, 48, 5, 0.55, 256
 #: Bytes of packed texts in a tile of a large cluster, and in a bin of small ones.
 TILE_BYTES, BIN_BYTES = 32 << 20, 16 << 20
 LAST = 2**63 - 1
@@ -134,9 +134,10 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def confirm(members: pd.DataFrame, percent: int, n: int, one: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Confirmed links that join what belongs together; one: marks members of which a pair must have at least one."""
+    """Links that join what confirmed pairs join, each from a group's least node to another of its nodes; one: marks members
+    of which a pair must have at least one."""
     values, nodes, sizes = np.stack([_values(x)[0] for x in members["values"]]), members["node"].tolist(), members["n_shingles"].to_numpy()
-    texts, sets, groups, out = members["text"].tolist(), {}, _Groups(len(members)), []
+    texts, sets, groups = members["text"].tolist(), {}, _Groups(len(members))
 
     def full(i: int) -> np.ndarray:
         if i not in sets:
@@ -156,8 +157,10 @@ def confirm(members: pd.DataFrame, percent: int, n: int, one: np.ndarray | None
         for j in others[np.argsort(-agree, kind="stable")].tolist():
             if groups.top(i) != groups.top(j) and similar(full(i), full(j), percent):
                 groups.join(i, j)
-                out.append((nodes[i], nodes[j]))
-    return out
+    tops, least = [groups.top(i) for i in range(len(nodes))], {}
+    for top, node in zip(tops, nodes, strict=True):
+        least[top] = min(node, least.get(top, node))
+    return [(least[top], node) for top, node in zip(tops, nodes, strict=True) if node != least[top]]
 
 
 def _bucket_links(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -250,8 +253,8 @@ def near_dedup(docs: DataFrame, n: int = N, percent: int = PERCENT, tile: int =
 
     found = repeated(mapped(signed.select("block", "values"), bands, ASK))
     # One document of each class goes on: the one in the first place.
-    classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "key", "block", "place", "n_shingles")).alias("w"))
-    classes = written(classes.select("node", "w.*"), "classes")
+    classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "key", "block", "place", "n_shingles")).alias("w"), F.count("*").alias("copies"))
+    classes = written(classes.select("node", "copies", "w.*"), "classes")
     mine = classes.groupBy("block").agg(F.collect_list(F.struct("place", "node", "n_shingles")).alias("mine"))
 
     def candidates(row) -> list[dict]:
@@ -264,8 +267,22 @@ def near_dedup(docs: DataFrame, n: int = N, percent: int = PERCENT, tile: int =
 
     chosen = written(mapped(signed.join(found, "block").join(mine, "block"), candidates, CANDIDATE), "candidates")
     joined = components(written(near_links(chosen, percent, n, tile), "confirmed"))
-    # From a class to the least row of its component; classes that are alone are their own.
+    # From a class to the least row of its component. Only classes of several rows, or with links, are looked up again.
     least = classes.join(joined, "node").groupBy("component").agg(F.min(F.struct("id", "key")).alias("least"))
-    of_class = classes.join(joined.join(least, "component").select("node", "least"), "node", "left").select(F.col("node").alias("of"), F.coalesce("least", F.struct("id", "key")).alias("least"))
-    out = rows.join(of_class, F.col("node") == F.col("of"), "left").select("doc_id", "key", "n_shingles", F.coalesce("least.id", "doc_id", F.lit(LAST)).alias("component_id"), F.coalesce(F.col("least.key") == F.col("key"), F.lit(True)).alias("kept"))
+    linked = with_copies(joined, "node", least, "component").select("node", "least")
+    of_class = classes.join(linked, "node", "left").where("copies > 1 OR least IS NOT NULL").select("node", F.coalesce("least", F.struct("id", "key")).alias("least"))
+    out = with_copies(rows, "key", of_class, "node", "left").select("doc_id", "key", "n_shingles", F.coalesce("least.id", "doc_id", F.lit(LAST)).alias("component_id"), F.coalesce(F.col("least.key") == F.col("key"), F.lit(True)).alias("kept"))
     return out.select("doc_id", "n_shingles", F.when(F.col("component_id") < LAST, F.col("component_id")).alias("component_id"), "kept", *(["key"] if key else []))
+
+
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= {N} THEN list_transform(range(1, len(w) - {N - 2}), lambda k: array_to_string(w[k:k + {N - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+h AS (SELECT doc_id, unnest(s) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM h a JOIN h b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= {PERCENT} * (len(x.s) + len(y.s) - n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT DISTINCT a AS node, a AS r FROM e UNION SELECT e.b AS node, r FROM reach JOIN e ON e.a = node WHERE r < e.b),
+c AS (SELECT node, min(r) AS least FROM reach GROUP BY 1)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(least, doc_id) AS component_id, doc_id = coalesce(least, doc_id) AS kept FROM s LEFT JOIN c ON node = doc_id
+"""

@@ -108,5 +108,16 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, block_bytes: int = 4
     return done.unionByName(mapped(left.join(found, "block", "left"), finish, RESULT))
 
 
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT r, unnest(range(1, len(w) - {LENGTH - 2})) AS k FROM d WHERE len(w) >= {LENGTH}),
+h AS (SELECT r, k, md5(array_to_string(w[k:k + {LENGTH - 1}], ' ')) AS h FROM k JOIN d USING (r)),
+g AS (SELECT r, list(DISTINCT i) AS gone FROM (SELECT r, unnest(range(k, k + {LENGTH})) AS i FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1) GROUP BY 1),
+x AS (SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN g USING (r)),
+m AS (SELECT doc_id, w, gone, list_sort(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i))) AS stay FROM x)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(array_to_string(list_transform(stay, lambda i: w[i]), ' ')) AS kept_sha256 FROM m
+"""
+
+
 def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]

@@ -64,4 +64,6 @@ ORACLES = {
     "op2_decontamination": op2_decontamination.ORACLE,
     "op6_line_dedup": op6_line_dedup.ORACLE,
     "op7_exact_dedup": op7_exact_dedup.ORACLE,
+    "op8_substring_dedup": op8_substring_dedup.ORACLE,
+    "op10_minhash_dedup": op10_minhash_dedup.ORACLE,
 }

@@ -187,9 +187,10 @@ def test_cleared(spark):
         a.count()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, few):
     chain = [(i, i + 1) for i in range(0, 40)] + [(1000, i) for i in range(1001, 1400)] + [(1399, 5000), (7, 7)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long"), few).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys([*range(1000, 1400), 5000], 1000)}
 
 
