@@ -7,6 +7,8 @@ written row number. A null text is the empty text; empty tables give empty table
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,29 +30,31 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
-def _without(rows: DataFrame, name: str, gone: DataFrame, stage: str) -> DataFrame:
-    """The rows but for those of some numbers (key)."""
-    return rows.join(written(gone.select(F.col("key").alias(name)), stage), name, "left_anti").drop(name)
+def _without(docs: DataFrame, stage: str, gone: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The rows but for those whose numbers an operator gives as `key`; of its tables only the numbers stay. Only numbers
+    meet the rows again."""
+    rows, name = numbered(docs)
+    with cleared(docs.sparkSession):
+        keys = written(gone(rows, name).select(F.col("key").alias(name)), stage)
+    return rows.join(keys, name, "left_anti").drop(name)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id stays, of several with that id or with null ids the first by row
-    number. Null and empty texts are equal. Only row numbers meet the documents again: texts are not shuffled for that."""
-    rows, name = numbered(docs)
-    return _without(rows, name, exact_dedup(rows, key=name).where("NOT kept"), "copies")
+    number. Null and empty texts are equal."""
+    return _without(docs, "copies", lambda rows, name: exact_dedup(rows, key=name).where("NOT kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays, the one of the smallest doc_id, then of the least row number; ties are
     told apart by it, and a null doc_id comes last. Texts without words are near copies of nothing and stay."""
-    rows, name = numbered(docs)
-    return _without(rows, name, near_dedup(rows, SHINGLE, PERCENT, key=name).where("NOT kept"), "near_copies")
+    return _without(docs, "near_copies", lambda rows, name: near_dedup(rows, SHINGLE, PERCENT, key=name).where("NOT kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold a benchmark item go, each repeated row by itself; empty texts and items hold and match nothing."""
-    rows, name = numbered(docs)
-    return _without(rows, name, contaminated(rows, table(spark, sf_dir, "benchmark"), key=name).select("key").distinct(), "contaminated")
+    items = table(spark, sf_dir, "benchmark")
+    return _without(docs, "contaminated", lambda rows, name: contaminated(rows, items, key=name).select("key").distinct())
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
