@@ -55,18 +55,25 @@ def first_of(spark: SparkSession, paths: list[str]) -> DataFrame:
     raise FileNotFoundError(paths[0])
 
 
+def in_order(df: DataFrame, *order: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows in ranges of an order, sorted and written once, with __part and __place (from 0 in each part); and how many
+    rows there are before each part, a row each. Ranges are fixed when they are written: whatever reads them later, in
+    any number of branches, sees the same parts, which a plan that takes the numbers twice from one shuffle does not."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbers = F.monotonically_increasing_id()
+    stage = staged(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__place", numbers.bitwiseAND(F.lit((1 << 33) - 1))), "ordered")
+    # No more parts than the shuffle has: the window is over a row for each.
+    return stage, stage.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")
+
+
 def numbered_sheet(rows: DataFrame, order: Column, first_cell: str) -> DataFrame:
     """Rows with something in the first cell, with row_no from 1 and row_id from 0 over all rows in the sheet's order.
 
-    Rows are numbered within ranges of the order, and ranges by their counts, so no task sees the whole sheet.
+    Rows are numbered within written ranges of the order, and ranges by their counts, so no task sees the whole sheet.
     """
-    spark = rows.sparkSession
-    ranged = rows.withColumn("__order", order).repartitionByRange("__order").sortWithinPartitions("__order").withColumn("__part", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    before = ranged.groupBy("__part").agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(Window.orderBy("__part")) - F.col("c")).drop("c")
-    place = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before")
-    # One row for each range: no more than the shuffle partitions.
-    out = ranged.join(F.broadcast(before), "__part").withColumn("row_id", place).withColumn("row_no", place + 1)
-    return out.drop("__part", "__m", "__order", "before").where(F.coalesce(F.trim(F.col(first_cell)), F.lit("")) != "")
+    stage, before = in_order(rows.withColumn("__order", order), F.col("__order"))
+    out = stage.join(F.broadcast(before), "__part").withColumn("row_id", F.col("__place") + F.col("__before")).withColumn("row_no", F.col("row_id") + 1)
+    return out.drop("__part", "__place", "__order", "__before").where(F.coalesce(F.trim(F.col(first_cell)), F.lit("")) != "")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

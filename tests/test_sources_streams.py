@@ -20,6 +20,20 @@ def test_numbered_sheet(spark):
     assert len(got) == 49 and all(r.row_id == r.o and r.row_no == r.o + 1 for r in got)
 
 
+def test_numbered_sheet_of_wide_rows(spark, tmp_path):
+    """At Spark's own defaults, where adaptive execution merges partitions by their bytes."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        wide = spark.range(400_000).select(F.xxhash64("id").alias("o"), F.concat(*[F.sha2(F.concat("id", F.lit(str(k))), 256) for k in range(10)]).alias("t"))
+        wide.write.parquet(f"{tmp_path}/in")
+        sources.numbered_sheet(spark.read.parquet(f"{tmp_path}/in"), F.col("o"), "t").write.parquet(f"{tmp_path}/out")
+        got = spark.read.parquet(f"{tmp_path}/out").select("o", "row_id", "row_no").toPandas().sort_values("o")
+        assert got["row_id"].tolist() == list(range(400_000)) and (got["row_no"] == got["row_id"] + 1).all()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_first_of(spark, tmp_path):
     spark.range(3).write.parquet(f"{tmp_path}/b")
     assert sources.first_of(spark, [f"{tmp_path}/a", f"{tmp_path}/b"]).count() == 3
