@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from hashlib import blake2b
 from types import SimpleNamespace
 
 import numpy as np
@@ -140,7 +140,7 @@ def keys_of(found) -> np.ndarray:
     return np.sort(np.concatenate([unpack_sorted(x) for x in found])) if found is not None and len(found) else np.zeros(0, np.uint64)
 
 
-_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary())}
 
 
 def arrow_schema(schema: str) -> pa.Schema:
@@ -166,7 +166,6 @@ def mapped(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 # Hashes over arrays.
 
 _ODD, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-_OF_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -177,29 +176,73 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    def powers(x: int) -> np.ndarray:
-        out = np.full(1 << bits, x, np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    return powers(_ODD), powers(pow(_ODD, -1, 2**64))
-
-
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 17) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from prefix sums of byte values times powers. Spans come in order and do not
-    overlap; they are taken in stretches that fit in a core's cache."""
-    out = np.empty(len(starts), np.uint64)
-    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(raw), step)), len(starts)))
-    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        low, high = int(starts[i]), int(ends[j - 1])
-        up, down = _powers(max(18, (high - low).bit_length()))
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(_OF_BYTE[raw[low:high]] * up[: high - low], out=sums[1:])
-        first, last = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
-    return out
+#: Bytes of a span beyond which it is hashed by the library alone.
+LONG_SPAN = 256
+
+
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, zeros after the end."""
+    return np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _chunks(starts: np.ndarray, lens: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Which spans have a k-th piece of eight bytes, and k: those that are not long."""
+    on, k = np.flatnonzero((lens > 0) & (lens <= LONG_SPAN)), 0
+    while len(on):
+        yield on, k
+        k += 1
+        on = on[lens[on] > 8 * k]
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: a chain of mixing steps over its pieces of eight bytes, none of them linear. Spans
+    of one length up to eight bytes have distinct ones. Spans of one hash may differ: see distinct_spans."""
+    lens, eights = ends - starts, _eights(raw)
+    out = np.zeros(len(starts), np.uint64)
+    for on, k in _chunks(starts, lens):
+        piece = eights[starts[on] + 8 * k] & _FIRST[np.minimum(lens[on] - 8 * k, 8)]
+        out[on] = mix((out[on] ^ piece) + np.uint64(_ODD))
+    for i in np.flatnonzero(lens > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return mix(out + lens.astype(np.uint64) * np.uint64(_MIX1))
+
+
+def _same(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray) -> bool:
+    """Whether each span has the very bytes of another one."""
+    lens, eights = ends - starts, _eights(raw)
+    if (lens != lens[of]).any():
+        return False
+    for on, k in _chunks(starts, lens):
+        if ((eights[starts[on] + 8 * k] ^ eights[starts[of[on]] + 8 * k]) & _FIRST[np.minimum(lens[on] - 8 * k, 8)]).any():
+            return False
+    return all(np.array_equal(raw[starts[i] : ends[i]], raw[starts[of[i]] : ends[of[i]]]) for i in np.flatnonzero(lens > LONG_SPAN).tolist())
+
+
+def distinct_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct spans the first ones and their hashes, in order of hash; and each span's number among them. Spans are
+    grouped by hash and then compared byte by byte; should two of one hash differ, all are told apart by their bytes."""
+    keys, first, number = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+    if not _same(raw, starts, ends, first[number]):
+        text, seen = raw.tobytes(), {}
+        order = np.argsort(number, kind="stable")
+        found = np.empty(len(starts), np.int64)
+        for i in order.tolist():
+            found[i] = seen.setdefault(text[starts[i] : ends[i]], len(seen))
+        _, first, number = np.unique(found, return_index=True, return_inverse=True)
+        keys = span_hashes(raw, starts[first], ends[first])
+    return first, number, keys
+
+
+def word_keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers for each span, a column each, by which spans of all blocks are told apart: BLAKE2 of 128 bits of
+    each distinct span, so that nobody can make two words that share one."""
+    first, number, _ = distinct_spans(raw, starts, ends)
+    text = raw.tobytes()
+    digests = b"".join([blake2b(text[i:j], digest_size=16).digest() for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+    return np.frombuffer(digests, np.uint64).reshape(-1, 2)[number]
 
 
 def word_spans(raw: np.ndarray, at: np.ndarray, space: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import arrow_schema, mapped, pack, span_hashes, squeeze, unicode_spaces, unpack, unsqueeze
+from .blocks import arrow_schema, distinct_spans, mapped, pack, squeeze, unicode_spaces, unpack, unsqueeze
 from .common import release, shards_for, text_arrays, texts_of, written
 from .tokens import count_pieces
 
@@ -42,7 +42,7 @@ def _frequencies(size: int, shards: int) -> Callable:
             begins[at[:-1][at[:-1] < len(raw)]] = True
             starts = np.flatnonzero(begins)
             ends = np.append(starts[1:], len(raw))
-            keys, first, number = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+            first, number, keys = distinct_spans(raw, starts, ends)
             doc = np.searchsorted(at, starts, "right") - 1
         else:
             starts = ends = first = number = doc = np.zeros(0, np.int64)
@@ -55,6 +55,7 @@ def _frequencies(size: int, shards: int) -> Callable:
         step[new] = number[new]
         yield {"block": block, "ids": ids, "sizes": pack(np.diff(at).astype(np.uint64)), "held": pack(per_doc.astype(np.uint32)), "numbers": pack(step.astype(np.uint32)), "times": pack(times.astype(np.uint32))}
         text = raw.tobytes()
+        # Of equal hashes, should there be any, each string is its own key.
         shard = (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(keys)]]) if len(keys) else []
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):

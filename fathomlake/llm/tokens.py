@@ -8,7 +8,7 @@ from itertools import islice
 
 import numpy as np
 
-from .blocks import span_hashes, unicode_spaces, word_spans
+from .blocks import distinct_spans, unicode_spaces, word_spans
 
 #: Words kept in a worker's memory, at some 200 bytes each: those that came up again, and those lately seen once.
 KEPT, LATELY = 200_000, 100_000
@@ -139,7 +139,8 @@ def encode_words(path: str, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray
     word_at = np.searchsorted(starts, at)
     if not len(starts):
         return np.zeros(0, state.kind), np.zeros(len(at), np.int64)
-    _, first, number, times = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True, return_counts=True)
+    first, number, _ = distinct_spans(raw, starts, ends)
+    times = np.bincount(number)
     text = raw.tobytes()
     ids = state.of([text[i:j].decode() for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], times > 1)
     sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // state.kind.itemsize
