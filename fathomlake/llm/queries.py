@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import op10_minhash_dedup, op12_hard_negatives, op13_source_mix, op1_packing, op2_decontamination, op3_token_counts, op4_lm_scoring, op5_toxicity, op6_line_dedup, op7_exact_dedup, op8_substring_dedup, op9_suffix_dedup
+from . import op10_minhash_dedup, op11_source_divergence, op12_hard_negatives, op13_source_mix, op1_packing, op2_decontamination, op3_token_counts, op4_lm_scoring, op5_toxicity, op6_line_dedup, op7_exact_dedup, op8_substring_dedup, op9_suffix_dedup
 from .common import table
 
 
@@ -48,6 +48,10 @@ def minhash_dedup(spark, sf_dir):
     return op10_minhash_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def source_divergence(spark, sf_dir):
+    return op11_source_divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def hard_negatives(spark, sf_dir):
     return op12_hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup,
     "op9_suffix_dedup": suffix_dedup,
     "op10_minhash_dedup": minhash_dedup,
+    "op11_source_divergence": source_divergence,
     "op12_hard_negatives": hard_negatives,
     "op13_source_mix": source_mix,
 }
@@ -76,6 +81,7 @@ ORACLES = {
     "op7_exact_dedup": op7_exact_dedup.ORACLE,
     "op8_substring_dedup": op8_substring_dedup.ORACLE,
     "op10_minhash_dedup": op10_minhash_dedup.ORACLE,
+    "op11_source_divergence": op11_source_divergence.ORACLE,
     "op12_hard_negatives": op12_hard_negatives.ORACLE,
     "op13_source_mix": op13_source_mix.ORACLE,
 }
