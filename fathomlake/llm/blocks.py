@@ -29,6 +29,8 @@ from .common import release, text_arrays, texts_of, written
 BLOCK = "block long, ids array<long>, block_bytes long, lens binary, data binary"
 ASK = "shard int, block long, keys binary, counts binary"
 FOUND = "block long, found binary"
+#: Questions about keys of 128 bits: a second number beside each key.
+ASK_PAIRS, FOUND_PAIRS = f"{ASK}, checks binary", f"{FOUND}, checks binary"
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 
@@ -140,6 +142,60 @@ def keys_of(found) -> np.ndarray:
     return np.sort(np.concatenate([unpack_sorted(x) for x in found])) if found is not None and len(found) else np.zeros(0, np.uint64)
 
 
+def ask_pairs(shards: int, block: int, keys: np.ndarray, checks: np.ndarray) -> list[dict]:
+    """Rows of ASK_PAIRS for keys and their second numbers, in any order, each pair with its count."""
+    if not len(keys):
+        return []
+    order = np.lexsort((checks, keys))
+    keys, checks = keys[order], checks[order]
+    at = np.flatnonzero((np.diff(keys, prepend=~keys[:1]) != 0) | (np.diff(checks, prepend=~checks[:1]) != 0))
+    out, done = ask(shards, block, keys[at], np.diff(at, append=len(keys))), 0
+    for x in out:
+        n = int(np.frombuffer(x["keys"][:8], np.uint64)[0])
+        x["checks"] = pack(checks[at[done : done + n]])
+        done += n
+    return out
+
+
+def _repeated_pairs(asked: pd.DataFrame) -> pd.DataFrame:
+    release()
+    lists, checks = [unpack_sorted(x) for x in asked["keys"]], [unpack(x) for x in asked["checks"]]
+    key, check, n = np.concatenate(lists), np.concatenate(checks), np.concatenate([unpack(x, np.uint32) for x in asked["counts"]]).astype(np.int64)
+    order = np.lexsort((check, key))
+    group = np.empty(len(key), np.int64)
+    group[order] = np.cumsum((np.diff(key[order], prepend=key[order[0]]) != 0) | (np.diff(check[order], prepend=check[order[0]]) != 0))
+    hit, out, done = np.bincount(group, n)[group] > 1, [], 0
+    for b, keys, own in zip(asked["block"], lists, checks, strict=True):
+        here = hit[done : done + len(keys)]
+        done += len(keys)
+        if here.any():
+            out.append({"block": b, "found": pack_sorted(keys[here]), "checks": pack(own[here])})
+    return pd.DataFrame(out, columns=["block", "found", "checks"])
+
+
+def repeated_pairs(asked: DataFrame) -> DataFrame:
+    """As repeated, of keys with second numbers: one row for each block that has any, with a list of (found, checks)."""
+    found = asked.groupBy("shard").applyInPandas(_repeated_pairs, FOUND_PAIRS)
+    return found.groupBy("block").agg(F.collect_list(F.struct("found", "checks")).alias("found"))
+
+
+def pairs_in(keys: np.ndarray, checks: np.ndarray, found) -> np.ndarray:
+    """Whether each key with its second number is among those found."""
+    out = np.zeros(len(keys), bool)
+    if found is None or not len(found):
+        return out
+    key, check = np.concatenate([unpack_sorted(x["found"]) for x in found]), np.concatenate([unpack(x["checks"]) for x in found])
+    order = np.argsort(key, kind="stable")
+    key, check = key[order], check[order]
+    at, left = np.searchsorted(key, keys), np.arange(len(keys))
+    while len(left):  # as often as one key has several second numbers
+        left = left[at[left] < len(key)]
+        left = left[key[at[left]] == keys[left]]
+        out[left] |= check[at[left]] == checks[left]
+        at[left] += 1
+    return out
+
+
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary())}
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import tempfile
 import uuid
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Java pattern of a run of the six ASCII white-space characters, and of a word.
 SPACES, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
-#: Paths of the tables written in the open `cleared` blocks, the innermost last.
-_written: list[list[str]] = []
+#: Paths of the tables written in the open `cleared` blocks of this thread or task, the innermost last.
+_written: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("written", default=())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,8 +55,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if _written:
-        _written[-1].append(path)
+    if open_blocks := _written.get():
+        open_blocks[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,17 +78,20 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 @contextlib.contextmanager
 def cleared(spark: SparkSession) -> Iterator[None]:
     """Of the tables written inside only the last stays; the others are deleted when it ends, so nothing lazy that reads
-    them may come out of it. Blocks can be nested: the last table of an inner one counts as written in the outer one."""
-    _written.append([])
+    them may come out of it. Blocks can be nested: the last table of an inner one counts as written in the outer one. A
+    block knows the tables of its own thread alone, so that queries that run beside it keep theirs."""
+    outer, inner = _written.get(), []
+    before = _written.set((*outer, inner))
     try:
         yield
     finally:
-        *gone, last = _written.pop() or [None]
+        _written.reset(before)
+        *gone, last = inner or [None]
         for path in gone:
             place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-        if last and _written:
-            _written[-1].append(last)
+        if last and outer:
+            outer[-1].append(last)
 
 
 def shards_for(spark: SparkSession, n_keys: float, keys_each: int = 2_000_000) -> int:

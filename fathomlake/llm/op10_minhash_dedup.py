@@ -2,14 +2,15 @@
 
 1. A document's set: hashes of its distinct runs of n words (A-Z in lower case; the whole sequence where there are fewer
    words). Under each of PERMUTATIONS multiplications its least and greatest hash go into the signature, two values for
-   one evaluation. Documents with the same set form a class, and go on as one.
+   one evaluation. Documents with the same words in the same order (by 128 bits of BLAKE2) form a class, and go on as one.
 2. The values make BANDS bands of ROWS: each value is in two or so. Of a million pairs at the threshold of 0.8, simulated
    with this very layout, none shared no band. Bands that only one document has are dropped (blocks ask each other).
 3. Classes that share bands, over any number of steps, form a cluster, found by links to each bucket's least class.
 4. In a cluster pairs are confirmed on full sets. Pairs that confirmed links already join, that differ too much in size
    or whose signatures agree in less than AGREE of the values (at 0.8, seven standard errors) need no look. A large
    cluster first links all to its hub, the class that shares most bands; then what the hub left is held against all, in
-   tiles of bounded size. Only a tile's joining links leave it, never all pairs.
+   tiles of bounded size. Only a tile's joining links leave it, never all pairs. A link is decided by comparing words byte
+   by byte: hashes only choose what is looked at.
 5. Confirmed links give the components.
 
 Cases: null and empty texts have an empty set and are linked with nothing; texts shorter than n words have one shingle;
@@ -20,6 +21,7 @@ Of each component one row is kept, the least by doc_id and then by row key, also
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import ASK, arrow_schema, ask, is_in, keys_of, lowered, mapped, mix, repeated, runs_of, span_hashes, squeeze, unsqueeze, word_spans
+from .blocks import ASK, arrow_schema, ask, distinct_spans, is_in, keys_of, lowered, mapped, mix, repeated, runs_of, squeeze, unsqueeze, word_keys, word_spans
 from .common import LOWER, UPPER, release, shards_for, text_arrays, texts_of, written
 from .components import components, with_copies
 
@@ -42,7 +44,7 @@ _TIMES = _rng.integers(0, 2**63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.ui
 _BANDS = np.concatenate([_rng.permutation(2 * PERMUTATIONS) for _ in range(BANDS * ROWS // (2 * PERMUTATIONS) + 1)])[: BANDS * ROWS].reshape(BANDS, ROWS)
 _SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
-STAGE = "block long, doc_id long, key long, place int, n_shingles long, node long, values binary, texts array<binary>"
+STAGE = "block long, doc_id long, key long, place int, n_shingles long, digest binary, values binary, texts array<binary>"
 CANDIDATE = "node long, n_shingles long, values binary, text binary, buckets array<long>"
 LINK = "a long, b long"
 
@@ -51,7 +53,7 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     raw = lowered(raw)
     starts, ends, word_at = word_spans(raw, at)
-    hashes = span_hashes(raw, starts, ends)
+    hashes = word_keys(raw, starts, ends)[:, 0].copy()
     runs = runs_of(hashes, n)
     out = []
     for i, j in zip(word_at[:-1].tolist(), word_at[1:].tolist(), strict=True):
@@ -91,12 +93,12 @@ def _sign(n: int, size: int) -> Callable:
                 sets = shingle_sets(raw[at[i] : at[j]], at[i : j + 1] - at[i], n)
                 rows, values, texts = [], [], []
                 for k, s in enumerate(sets):
-                    # A set is known by two sums over its mixed hashes, in 63 bits.
-                    node = int(mix(np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))[None] + np.uint64(len(s)) * s[:1])[0] >> np.uint64(1)) if len(s) else None
-                    rows.append({"block": block, "doc_id": ids[i + k], "key": row_keys[i + k], "place": len(values) if len(s) else None, "n_shingles": len(s), "node": node})
+                    text = raw[at[i + k] : at[i + k + 1]].tobytes()
+                    digest = blake2b(b" ".join(text.lower().split()), digest_size=16).digest() if len(s) else None
+                    rows.append({"block": block, "doc_id": ids[i + k], "key": row_keys[i + k], "place": len(values) if len(s) else None, "n_shingles": len(s), "digest": digest})
                     if len(s):
                         values.append(signature(s).astype(np.uint32))
-                        texts.append(squeeze(raw[at[i + k] : at[i + k + 1]].tobytes()))
+                        texts.append(squeeze(text))
                 rows.append({"block": block, "values": np.array(values, np.uint32).tobytes(), "texts": texts})
                 yield pa.RecordBatch.from_pylist(rows, schema)
                 block += 1
@@ -133,6 +135,21 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def exactly_similar(a: bytes, b: bytes, percent: int, n: int) -> bool:
+    """Whether two texts are, on full sets of shingles of words that are compared byte by byte."""
+    raw = lowered(np.frombuffer(a + b, np.uint8))
+    starts, ends, (_, cut, end) = word_spans(raw, np.array([0, len(a), len(raw)]))
+    _, word, _ = distinct_spans(raw, starts, ends)
+    if min(cut, end - cut) < n:
+        return np.array_equal(word[:cut], word[cut:])
+    runs = word.astype(np.int64)
+    for k in range(1, n):  # numbers of distinct runs, one word longer each time
+        runs = np.unique(runs[:-1] * np.int64(end) + word[k:], return_inverse=True)[1]
+    one, other = np.unique(runs[: cut - n + 1]), np.unique(runs[cut:])
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return 100 * both >= percent * (len(one) + len(other) - both)
+
+
 def confirm(members: pd.DataFrame, percent: int, n: int, one: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join what confirmed pairs join, each from a group's least node to another of its nodes; one: marks members
     of which a pair must have at least one."""
@@ -155,7 +172,7 @@ def confirm(members: pd.DataFrame, percent: int, n: int, one: np.ndarray | None
         agree = (values[others] == values[i]).sum(axis=1)
         others, agree = others[agree >= AGREE * values.shape[1]], agree[agree >= AGREE * values.shape[1]]
         for j in others[np.argsort(-agree, kind="stable")].tolist():
-            if groups.top(i) != groups.top(j) and similar(full(i), full(j), percent):
+            if groups.top(i) != groups.top(j) and similar(full(i), full(j), percent) and exactly_similar(unsqueeze(texts[i]), unsqueeze(texts[j]), percent, n):
                 groups.join(i, j)
     tops, least = [groups.top(i) for i in range(len(nodes))], {}
     for top, node in zip(tops, nodes, strict=True):
@@ -218,8 +235,9 @@ def near_links(candidates: DataFrame, percent: int, n: int, tile: int = TILE, ti
             return shingle_sets(raw, np.array([0, len(raw)]), n)[0]
 
         hub = int(part["hub"].iloc[0])
-        center = full(part.loc[part["node"] == hub, "text"].iloc[0])
-        return pd.DataFrame([(int(x.node), hub) for x in part.itertuples() if x.node != hub and similar(center, full(x.text), percent)], columns=["a", "b"])
+        packed = part.loc[part["node"] == hub, "text"].iloc[0]
+        center, text = full(packed), unsqueeze(packed)
+        return pd.DataFrame([(int(x.node), hub) for x in part.itertuples() if x.node != hub and similar(center, full(x.text), percent) and exactly_similar(text, unsqueeze(x.text), percent, n)], columns=["a", "b"])
 
     of_hub = written(marked.where("node != hub").unionByName(hub_rows).groupBy("component", "tile").applyInPandas(to_hub, LINK), "hub")
     joined = marked.join(of_hub.select(F.col("a").alias("node"), F.lit(True).alias("linked")), "node", "left").withColumn("linked", F.coalesce("linked", F.col("node") == F.col("hub")))
@@ -244,17 +262,17 @@ def near_dedup(docs: DataFrame, n: int = N, percent: int = PERCENT, tile: int =
     spark = docs.sparkSession
     texts = texts_of(docs, key=F.col(key).cast("long") if key else F.monotonically_increasing_id())
     stage = written(texts.mapInArrow(_sign(n, block_bytes), STAGE), "signatures")
-    rows, signed = stage.where("values IS NULL").select("block", "doc_id", "key", "place", "n_shingles", "node"), stage.where("values IS NOT NULL").select("block", "values", "texts")
-    shards = shards_for(spark, BANDS * rows.where("node IS NOT NULL").count())
+    rows, signed = stage.where("values IS NULL").select("block", "doc_id", "key", "place", "n_shingles", "digest"), stage.where("values IS NOT NULL").select("block", "values", "texts")
+    shards = shards_for(spark, BANDS * rows.where("digest IS NOT NULL").count())
 
     def bands(row) -> list[dict]:
         values = _values(row.values)
         return ask(shards, row.block, *np.unique(band_keys(values), return_counts=True)) if len(values) else []
 
     found = repeated(mapped(signed.select("block", "values"), bands, ASK))
-    # One document of each class goes on: the one in the first place.
-    classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "key", "block", "place", "n_shingles")).alias("w"), F.count("*").alias("copies"))
-    classes = written(classes.select("node", "copies", "w.*"), "classes")
+    # One document of each class goes on, the first one; its row key is the class's node.
+    classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "key", "block", "place", "n_shingles")).alias("w"), F.count("*").alias("copies"))
+    classes = written(classes.select("digest", F.col("w.key").alias("node"), "copies", "w.*"), "classes")
     mine = classes.groupBy("block").agg(F.collect_list(F.struct("place", "node", "n_shingles")).alias("mine"))
 
     def candidates(row) -> list[dict]:
@@ -270,8 +288,8 @@ def near_dedup(docs: DataFrame, n: int = N, percent: int = PERCENT, tile: int =
     # From a class to the least row of its component. Only classes of several rows, or with links, are looked up again.
     least = classes.join(joined, "node").groupBy("component").agg(F.min(F.struct("id", "key")).alias("least"))
     linked = with_copies(joined, "node", least, "component").select("node", "least")
-    of_class = classes.join(linked, "node", "left").where("copies > 1 OR least IS NOT NULL").select("node", F.coalesce("least", F.struct("id", "key")).alias("least"))
-    out = with_copies(rows, "key", of_class, "node", "left").select("doc_id", "key", "n_shingles", F.coalesce("least.id", "doc_id", F.lit(LAST)).alias("component_id"), F.coalesce(F.col("least.key") == F.col("key"), F.lit(True)).alias("kept"))
+    of_class = classes.join(linked, "node", "left").where("copies > 1 OR least IS NOT NULL").select("digest", F.coalesce("least", F.struct("id", "key")).alias("least"))
+    out = with_copies(rows, "key", of_class, "digest", "left").select("doc_id", "key", "n_shingles", F.coalesce("least.id", "doc_id", F.lit(LAST)).alias("component_id"), F.coalesce(F.col("least.key") == F.col("key"), F.lit(True)).alias("kept"))
     return out.select("doc_id", "n_shingles", F.when(F.col("component_id") < LAST, F.col("component_id")).alias("component_id"), "kept", *(["key"] if key else []))
 
 

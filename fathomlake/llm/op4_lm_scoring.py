@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, ask, blocks, load, lowered, mapped, merge, mix, pack, span_hashes, unpack, unpack_sorted, word_spans
+from .blocks import BLOCK, ask, blocks, load, lowered, mapped, merge, mix, pack, unpack, unpack_sorted, word_keys, word_spans
 from .common import release, shards_for, texts_of, written
 
 FOLDS, HELD, DELETED = 7, 2, 3
@@ -51,7 +51,7 @@ class _Tokens:
         words = np.full(int(self.at[-1]), END, np.uint64)
         keep = np.ones(len(words), bool)
         keep[self.at[1:] - 1] = False
-        words[keep] = span_hashes(raw, starts, ends)
+        words[keep] = word_keys(raw, starts, ends)[:, 0]
         self.doc = np.repeat(np.arange(len(n)), n + 1)
         before = np.append(START, words[:-1])
         before[self.at[:-1]] = START

@@ -8,7 +8,8 @@ repeat is lost, and about one position in ten is sent. At the full length every
 Cases: a null or empty text has no words and its kept text is empty; texts shorter than a window stay whole; repeated
 rows are texts of their own, so all their windows are repeated; a null doc_id is a document like others; a text that
 repeats itself counts, overlaps too; an empty table gives an empty one.
-Sequences are compared by 64-bit hashes of three lengths, all of which must be repeated.
+Words are told apart by their bytes in a block, and by 128 bits of BLAKE2 across blocks. At the shorter lengths sequences
+are compared by 64 bits, which may let a window go on; what is removed is decided on 128 bits.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ASK, BLOCK, anchors, as_row, ask, blocks, covered, inside, is_in, keys_of, load, mapped, mix, repeated, runs_of, span_hashes, squeeze, unsqueeze, word_spans
+from .blocks import ASK, ASK_PAIRS, BLOCK, anchors, as_row, ask, ask_pairs, blocks, covered, inside, is_in, keys_of, load, mapped, mix, pairs_in, repeated, repeated_pairs, runs_of, squeeze, unsqueeze, word_keys, word_spans
 from .common import shards_for, written
 
 LENGTH = 35
@@ -38,7 +39,7 @@ class _Level:
     def __init__(self, row, length: int, short: int):
         b = self.b = load(row)
         self.starts, ends, self.at = word_spans(b.raw, b.at)
-        self.hashes = span_hashes(b.raw, self.starts, ends)
+        self.hashes, self.second = word_keys(b.raw, self.starts, ends).T.copy()
         self.ok = inside(self.at, length)[: max(0, len(self.hashes) - length + 1)]
         if getattr(row, "marks", None) is not None:
             self.ok &= np.unpackbits(np.frombuffer(unsqueeze(row.marks), np.uint8), count=len(self.ok)).astype(bool)
@@ -86,19 +87,21 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, block_bytes: int = 4
     stage = written(mapped(whole.join(found, "block", "left"), narrow, f"{RESULT}, {BLOCK}, marks binary"), "narrowed")
     done, left = stage.where("block IS NULL").select(*_names(RESULT)), stage.where("block IS NOT NULL").select(*_names(BLOCK), "marks")
 
+    def whole_windows(x: _Level, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return runs_of(x.hashes, length)[which], runs_of(x.second, length)[which]
+
     # Half the length, then the whole.
     found = repeated(mapped(left, lambda row: _Level(row, length, half).ask(shards), ASK))
 
     def last(row) -> list[dict]:
         x = _Level(row, length, half)
-        keys, n = np.unique(runs_of(x.hashes, length)[x.windows[is_in(x.keys, keys_of(row.found))]], return_counts=True)
-        return ask(shards, x.b.block, keys, n)
+        return ask_pairs(shards, x.b.block, *whole_windows(x, x.windows[is_in(x.keys, keys_of(row.found))]))
 
-    found = repeated(mapped(left.join(found, "block"), last, ASK))
+    found = repeated_pairs(mapped(left.join(found, "block"), last, ASK_PAIRS))
 
     def finish(row) -> list[dict]:
         x = _Level(row, length, half)
-        hit = x.windows[is_in(runs_of(x.hashes, length)[x.windows], keys_of(row.found))]
+        hit = x.windows[pairs_in(*whole_windows(x, x.windows), row.found)]
         gone, b, out = covered(hit, length, len(x.hashes)), x.b, []
         for i, doc_id in enumerate(b.ids):
             keep = ~gone[x.at[i] : x.at[i + 1]]
