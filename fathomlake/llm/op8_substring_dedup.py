@@ -8,8 +8,8 @@ repeat is lost, and about one position in ten is sent. At the full length every
 Cases: a null or empty text has no words and its kept text is empty; texts shorter than a window stay whole; repeated
 rows are texts of their own, so all their windows are repeated; a null doc_id is a document like others; a text that
 repeats itself counts, overlaps too; an empty table gives an empty one.
-Words are told apart by their bytes in a block, and by 128 bits of BLAKE2 across blocks. At the shorter lengths sequences
-are compared by 64 bits, which may let a window go on; what is removed is decided on 128 bits.
+At the shorter lengths sequences are compared by hashes of 64 bits, which may let a window go on. What is removed is decided
+on words that are told apart by their bytes in a block, and by 128 bits of BLAKE2 across blocks, as are their windows.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ASK, ASK_PAIRS, BLOCK, anchors, as_row, ask, ask_pairs, blocks, covered, inside, is_in, keys_of, load, mapped, mix, pairs_in, repeated, repeated_pairs, runs_of, squeeze, unsqueeze, word_keys, word_spans
+from .blocks import ASK, ASK_PAIRS, BLOCK, anchors, as_row, ask, ask_pairs, blocks, covered, inside, is_in, keys_of, load, mapped, mix, pairs_in, repeated, repeated_pairs, runs_of, span_hashes, squeeze, unsqueeze, word_keys, word_spans
 from .common import shards_for, written
 
 LENGTH = 35
@@ -39,7 +39,7 @@ class _Level:
     def __init__(self, row, length: int, short: int):
         b = self.b = load(row)
         self.starts, ends, self.at = word_spans(b.raw, b.at)
-        self.hashes, self.second = word_keys(b.raw, self.starts, ends).T.copy()
+        self.ends, self.hashes = ends, span_hashes(b.raw, self.starts, ends)
         self.ok = inside(self.at, length)[: max(0, len(self.hashes) - length + 1)]
         if getattr(row, "marks", None) is not None:
             self.ok &= np.unpackbits(np.frombuffer(unsqueeze(row.marks), np.uint8), count=len(self.ok)).astype(bool)
@@ -88,7 +88,8 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, block_bytes: int = 4
     done, left = stage.where("block IS NULL").select(*_names(RESULT)), stage.where("block IS NOT NULL").select(*_names(BLOCK), "marks")
 
     def whole_windows(x: _Level, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return runs_of(x.hashes, length)[which], runs_of(x.second, length)[which]
+        keys, checks = word_keys(x.b.raw, x.starts, x.ends).T.copy()
+        return runs_of(keys, length)[which], runs_of(checks, length)[which]
 
     # Half the length, then the whole.
     found = repeated(mapped(left, lambda row: _Level(row, length, half).ask(shards), ASK))
