@@ -18,8 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS, Settings
+from ..sources import staged
 from .ranking import top_k
 
+
 def doubles(c: Column) -> Column:
     return F.transform(c, lambda x: x.cast("double"))
 
@@ -59,6 +61,8 @@ def _pairs(queries: DataFrame, rows: DataFrame, each: int) -> list[DataFrame]:
     # A group has a bounded size: one task packs it into few blocks.
     of = F.pmod(F.xxhash64("id"), F.lit(groups))
     blocks = _blocks(rows.select("id", "other", "name", "v"), 4096)
+    if groups > 1:  # read by each group: normalised and written once
+        blocks = staged(blocks, "vector_blocks")
     asked = queries.select("id", F.lit(None).cast("long").alias("other"), F.lit(None).cast("string").alias("name"), "v")
     return [blocks.crossJoin(F.broadcast(_blocks(asked.where(of == g).coalesce(1), 1024).select(F.col("ids").alias("qids"), F.col("vectors").alias("qs")))) for g in range(groups)]
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, rules
 from ..functions.text import ABBREVIATIONS, STOP_WORDS, abbreviate, clipped_sigmoid, content_tokens, first_words, fold, has_marks, outside_parentheses, strip_marks
-from ..operators import answers, catalogue, dense, evaluation, fusion, lexical, questions, store
+from ..operators import answers, catalogue, dense, evaluation, fusion, lexical, questions, store, vector_index
 from ..sources import RECORD_COLUMNS, Collection, crawled, fetched, first_of, listed, numbered_sheet, read_csv, shared_path, spread, table, with_fallback, write_csv, write_json_lines, write_records, write_report
 from ..streaming import routed, sessions
 from . import samples
@@ -210,6 +210,13 @@ def dense_knn_lsh(spark, sf_dir):
     return dense.knn_lsh(asked(spark, sf_dir), views_of(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
 
 
+@query()
+def dense_knn_ivf(spark, sf_dir):
+    views = views_of(spark, sf_dir)
+    hits = vector_index.search(asked(spark, sf_dir), vector_index.build(views.select(F.col("vec_id").alias("id"), "v")))
+    return hits.join(views.select("vec_id", "row_id", "view"), "vec_id").withColumn("similarity", F.round("similarity", 6))
+
+
 @query(f"WITH {V}, {Q}, {KNN}, {ROLL} SELECT qid, row_id, round(dense_similarity, 6) AS dense_similarity, best_view, rank FROM roll")
 def dense_rollup(spark, sf_dir):
     return dense.roll_up(dense.knn(asked(spark, sf_dir), views_of(spark, sf_dir))).withColumn("dense_similarity", F.round("dense_similarity", 6))
