@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, rules
 from ..functions.text import ABBREVIATIONS, STOP_WORDS, abbreviate, clipped_sigmoid, content_tokens, first_words, fold, has_marks, outside_parentheses, strip_marks
-from ..operators import answers, catalogue, dense, evaluation, fusion, lexical, questions, store, vector_index
+from ..operators import answers, catalogue, dense, evaluation, fusion, lexical, lexical_index, questions, store, vector_index
 from ..sources import RECORD_COLUMNS, Collection, crawled, fetched, first_of, listed, numbered_sheet, read_csv, shared_path, spread, table, with_fallback, write_csv, write_json_lines, write_records, write_report
 from ..streaming import routed, sessions
 from . import samples
@@ -194,12 +194,21 @@ def term_stats(spark, sf_dir):
 # Retrieval.
 
 
-@query(f"WITH d AS (SELECT doc_id AS row_id, text FROM documents), qq AS (SELECT item_id AS qid, text FROM benchmark), {sql_bm25('d', 'qq')} SELECT qid, row_id, round(score, 6) AS score, round(bm25_norm, 6) AS bm25_norm, rank FROM lex")
+SQL_BM25 = f"WITH d AS (SELECT doc_id AS row_id, text FROM documents), qq AS (SELECT item_id AS qid, text FROM benchmark), {sql_bm25('d', 'qq')} SELECT qid, row_id, round(score, 6) AS score, round(bm25_norm, 6) AS bm25_norm, rank FROM lex"
+
+
+@query(SQL_BM25)
 def bm25_topk(spark, sf_dir):
     hits = lexical.bm25(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), rows_of(spark, sf_dir))
     return hits.withColumns({"score": F.round("score", 6), "bm25_norm": F.round("bm25_norm", 6)})
 
 
+@query(SQL_BM25)
+def bm25_stored(spark, sf_dir):
+    hits = lexical_index.search(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), lexical_index.build(rows_of(spark, sf_dir)))
+    return hits.withColumns({"score": F.round("score", 6), "bm25_norm": F.round("bm25_norm", 6)})
+
+
 @query(f"WITH {V}, {Q}, {KNN} SELECT qid, row_id, view, vec_id, round(similarity, 6) AS similarity, pos FROM knn")
 def dense_knn(spark, sf_dir):
     return dense.knn(asked(spark, sf_dir), views_of(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
