@@ -1,13 +1,16 @@
-"""Ordered rules over questions: small talk, special situations, traffic, routing."""
+"""Ordered rules over questions: small talk, special situations, traffic, routing.
 
-from __future__ import annotations
+The keywords of all rules are looked for together, in one pass over a text (see automaton.py); what a rule needs of them is
+then a test of a few numbers.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import any_in, strip
+from .automaton import first_group, groups_in
+from .text import strip
 
 # Fixed values of the rules: keywords in the order in which they are looked for.
 WHO = ["bạn là ai", "ban la ai", "bạn tên gì", "ban ten gi", "ai tạo ra bạn", "ai tao ra ban"]
@@ -40,24 +43,36 @@ UTILITIES = [("điện", "tiền điện"), ("nước", "tiền nước")]
 OTHER_UTILITY = "cước viễn thông/mạng"
 
 
+#: Groups of keywords looked for in a question without punctuation, and in a question as it is.
+TALK = tuple(map(tuple, (WHO, THANKS, BYE)))
+SITUATIONAL, IS_TRAFFIC, FIRST_SPECIAL = 0, 1, 2
+GATES = tuple(map(tuple, (SITUATION, TRAFFIC, *[g for _, _, groups in SPECIAL_RULES for g in groups])))
+
+
+def gates(c: Column) -> Column:
+    """Which of GATES hold. The same column wherever it is asked for, so that Spark finds it once for a text."""
+    return groups_in(F.lower(c), GATES)
+
+
 def small_talk(c: Column) -> Column:
     """hello, who, thanks, bye, or null. A text of punctuation alone is no small talk."""
     s = strip(F.lower(F.coalesce(c, F.lit(""))))
     clean = strip(F.regexp_replace(s, r"[^\p{L}\p{N}_\s]", ""))
     words = F.filter(F.split(clean, r"\s+"), lambda w: w != "")
     greeting = clean.isin(GREETINGS) | ((F.size(words) <= 3) & F.try_element_at(words, F.lit(1)).isin(OPENINGS))
-    return F.when(F.length(s) <= 1, "hello").when(any_in(clean, WHO), "who").when(any_in(clean, THANKS), "thanks").when(any_in(clean, BYE), "bye").when(greeting, "hello")
+    said = first_group(clean, TALK)
+    return F.when(F.length(s) <= 1, "hello").when(said == 0, "who").when(said == 1, "thanks").when(said == 2, "bye").when(greeting, "hello")
 
 
 def is_situational(c: Column) -> Column:
-    s = strip(F.lower(c))
-    return any_in(s, SITUATION) | (F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")) >= 4)
+    return F.array_contains(gates(c), SITUATIONAL) | (F.size(F.filter(F.split(strip(F.lower(c)), r"\s+"), lambda w: w != "")) >= 4)
 
 
 def _special(c: Column, what: int) -> Column:
-    q, out = F.lower(c), F
+    held, out, at = gates(c), F, FIRST_SPECIAL
     for rule in SPECIAL_RULES:
-        out = out.when(reduce(lambda a, b: a & b, [any_in(q, g) for g in rule[2]]), F.lit(rule[what]))
+        need, at = range(at, at + len(rule[2])), at + len(rule[2])
+        out = out.when(F.size(F.array_intersect(held, F.array(*map(F.lit, need)))) == len(need), F.lit(rule[what]))
     return out
 
 
@@ -80,7 +95,7 @@ def utility(c: Column) -> Column:
 
 def is_traffic(c: Column) -> Column:
     """A plain substring test: "xe" is also in "xem"."""
-    return any_in(F.lower(c), TRAFFIC)
+    return F.array_contains(gates(c), IS_TRAFFIC)
 
 
 def rule_table(spark) -> DataFrame:
@@ -89,12 +104,18 @@ def rule_table(spark) -> DataFrame:
 
 
 def first_rule(questions: DataFrame, rules: DataFrame, max_rules: int = 10_000) -> DataFrame:
-    """qid and the matching rule of least priority; no row where none matches. The rules are a table for people to
-    write; it is broadcast after a count."""
-    n = rules.limit(max_rules + 1).count()
-    side = F.broadcast(rules) if n <= max_rules else rules
-    found = questions.join(side, F.expr("exists(keywords, k -> contains(lower(text), k))"))
-    return found.groupBy("qid").agg(F.min_by("rule", "priority").alias("rule"))
+    """qid and the matching rule of least priority (of equal ones the first by name); no row where none matches. The rules
+    are a table for people to write: up to max_rules of them make one automaton, more are joined."""
+    some = rules.select("rule", "priority", "keywords").limit(max_rules + 1).collect()
+    if len(some) > max_rules:
+        found = questions.join(rules, F.expr("exists(keywords, k -> contains(lower(text), k))"))
+        return found.groupBy("qid").agg(F.min_by("rule", F.struct("priority", "rule")).alias("rule"))
+    some = sorted(some, key=lambda r: (r.priority, r.rule))
+    if not some:
+        return questions.select("qid", F.lit(None).cast("string").alias("rule")).limit(0)
+    first = first_group(F.lower("text"), tuple(tuple(r.keywords) for r in some))
+    found = questions.select("qid", F.try_element_at(F.array(*[F.lit(r.rule) for r in some]), first + 1).alias("rule"), first.alias("place"))
+    return found.where("place IS NOT NULL").groupBy("qid").agg(F.min_by("rule", "place").alias("rule"))
 
 
 def route(c: Column) -> Column:
