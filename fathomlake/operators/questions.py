@@ -23,9 +23,9 @@ def typo(text: Column, key: Column) -> Column:
     """A text that differs from the given one: by the key, two words joined, a letter doubled, or a letter dropped."""
     words = F.split(text, " ")
     n = F.size(words)
-    at = (F.pmod(key, n - 1) + 1).cast("int")
+    at = (F.pmod(key, F.greatest(n - 1, F.lit(1))) + 1).cast("int")
     joined = F.concat_ws(" ", F.slice(words, 1, at - 1), F.concat(F.element_at(words, at), F.element_at(words, at + 1)), F.slice(words, at + 2, n))
-    i = (F.pmod(key, F.length(text)) + 1).cast("int")
+    i = (F.pmod(key, F.greatest(F.length(text), F.lit(1))) + 1).cast("int")
     doubled = F.concat(F.substr(text, F.lit(1), i), F.substr(text, i))
     dropped = F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1))
     return F.when((n >= 2) & (F.pmod(key, F.lit(3)) == 0), joined).when((F.length(text) >= 4) & (F.pmod(key, F.lit(3)) == 1), dropped).otherwise(doubled)
@@ -43,6 +43,36 @@ def generate(topics: DataFrame, per_topic: int = 15) -> DataFrame:
     return topics.select("topic_key", "field", F.posexplode(F.slice(made, 1, per_topic)).alias("place", "q")).select("topic_key", "place", "field", "q.question", "q.variant", "q.difficulty", F.lit(1).alias("in_scope"), F.lit("").alias("oos_kind"))
 
 
+def draw(key: Column, name: str, n: Column) -> Column:
+    """A whole number from 0 below n, by a digest of a key and a name: the same each time, and in SQL too."""
+    digits = F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{name}"))), 1, 8)
+    return F.pmod(F.conv(digits, 16, 10).cast("long"), n.cast("long"))
+
+
+def generate_seeded(topics: DataFrame, per_topic: int = 15) -> DataFrame:
+    """As generate, of topics with seeds, an array of questions that people wrote about a situation (null: none). A topic's
+    variants are its seeds, then the facets in an order of its own (a permutation by digests), then noise, each kind on one
+    of the seeds or the plain question, drawn by the key. per_topic cuts what comes last."""
+    t, key = F.col("topic"), F.col("topic_key")
+    seeds, base = F.coalesce("seeds", F.array().cast("array<string>")), F.concat(t, F.lit(" cần giấy tờ gì"))
+    bases = F.concat(seeds, F.array(base))
+
+    def one(q: Column, variant: str, difficulty: str) -> Column:
+        return F.struct(F.trim(q).alias("question"), F.lit(variant).alias("variant"), F.lit(difficulty).alias("difficulty"))
+
+    def drawn(name: str) -> Column:
+        return F.element_at("bases", (draw(key, name, F.size("bases")) + 1).cast("int"))
+
+    facets = [F.struct(F.md5(F.concat(key.cast("string"), F.lit(f":facet{i}"))).alias("order"), one(F.replace(F.lit(text), F.lit("{t}"), t), f"facet_{name}", "easy").alias("q")) for i, (name, text) in enumerate(FACETS)]
+    noise = [
+        one(strip_marks(drawn("no_diacritics")), "no_diacritics", "hard"), one(abbreviate(drawn("abbrev")), "abbrev", "hard"), one(typo(drawn("typo"), key), "typo", "hard"),
+        one(F.concat(t, pick(TAILS, key)), "keyword", "medium"), one(F.concat(pick(OPENERS, key), F.lower(drawn("colloquial")), pick(CLOSERS, key)), "colloquial", "medium"),
+    ]
+    made = F.concat(F.transform(seeds, lambda x: one(x, "situational", "hard")), F.transform(F.array_sort(F.array(*facets)), lambda x: x["q"]), F.array(*noise))
+    rows = topics.withColumn("bases", bases).select("topic_key", "field", F.posexplode(F.slice(made, 1, per_topic)).alias("place", "q"))
+    return rows.select("topic_key", "place", "field", "q.question", "q.variant", "q.difficulty", F.lit(1).alias("in_scope"), F.lit("").alias("oos_kind"))
+
+
 def _before(counts: DataFrame, levels: int = 2, each: int = 1000) -> DataFrame:
     """at, before: what the keys below a key (at, c) count together. Sums run within groups of a thousand keys, over the
     groups in groups of a thousand, and then over those: a task sees a thousand rows, the last one a millionth of all."""
@@ -85,9 +115,10 @@ SET = ["qid", "question", "topic_key", "topic", "gold_row_no", "gold_chroma_id",
 
 
 def question_set(topics: DataFrame, rows: DataFrame, outside: DataFrame, per_topic: int = 15) -> DataFrame:
-    """The whole set: questions of topics (topic_key long, topic, rows) with their gold rows, and then those that no row
-    answers (place long, question, kind), numbered on; they are a table of the caller's."""
-    made = in_order(generate(topics.withColumn("field", F.lit("")), per_topic)).join(topics.select("topic_key", "topic"), "topic_key").join(gold_of_topics(topics, rows), "topic_key")
+    """The whole set: questions of topics (topic_key long, topic, rows, and seeds where there are any) with their gold rows, and
+    then those that no row answers (place long, question, kind), numbered on; they are a table of the caller's."""
+    make = generate_seeded if "seeds" in topics.columns else generate
+    made = in_order(make(topics.withColumn("field", F.lit("")), per_topic)).join(topics.select("topic_key", "topic"), "topic_key").join(gold_of_topics(topics, rows), "topic_key")
     total = made.agg(F.count("*").alias("total"))
     none = {c: F.lit("") for c in ("topic", "gold_row_no", "gold_chroma_id", "gold_title", "linh_vuc")} | {"topic_key": F.lit("none"), "variant": F.lit("out_of_scope"), "difficulty": F.lit("hard"), "in_scope": F.lit(0), "oos_kind": F.col("kind")}
     after = in_order(outside.select(F.col("place").alias("topic_key"), F.lit(0).alias("place"), F.trim("question").alias("question"), "kind")).crossJoin(F.broadcast(total))

@@ -764,12 +764,29 @@ g AS (SELECT title, list(DISTINCT own) AS gold FROM asks WHERE inside GROUP BY 1
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, vec_id) - 1 AS pos FROM (SELECT qid, own, vec_id, row_id || '::' || view AS id, lower('Title ' || row_id % 25) AS title, greatest(0, list_cosine_similarity(q, v)) AS s FROM asks JOIN v ON vec_id <> qid)) WHERE pos < 10)
 SELECT qid, pos, id, id = own OR coalesce(list_contains(gold, own), false) AS relevant FROM hits LEFT JOIN g USING (title)""")
 def eval_gold(spark, sf_dir):
+    return _gold_hits(spark, sf_dir)[1].select("qid", "pos", "id", "relevant")
+
+
+def _gold_hits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The questions with their gold ids and titles, and their hits marked by them."""
     views = views_of(spark, sf_dir)
     ident, title = F.concat_ws("::", F.col("row_id").cast("string"), "view"), F.concat(F.lit(" Title "), (F.col("row_id") % 25).cast("string"))
     asks = views.where("vec_id % 20 = 0")
     hits = dense.knn(asks.select(F.col("vec_id").alias("qid"), F.col("v").alias("q")), views.select("vec_id", "row_id", "view", "v"), k=10).withColumn("id", ident)
-    mine = asks.select(F.col("vec_id").alias("qid"), F.concat(F.col("row_id").cast("string"), F.lit("::title")).alias("gold_chroma_id"), title.alias("gold_title"), (F.col("label") < 8).cast("int").alias("in_scope"))
-    return evaluation.relevant(hits, views.select(ident.alias("id"), title.alias("title")), mine).select("qid", "pos", "id", "relevant")
+    mine = asks.select(F.col("vec_id").alias("qid"), F.concat(F.col("row_id").cast("string"), F.lit("::title")).alias("gold_chroma_id"), title.alias("gold_title"), (F.col("label") < 8).cast("int").alias("in_scope"), F.col("label").alias("topic"), (F.col("vec_id") % 3).alias("difficulty"), F.col("view").alias("variant"))
+    return mine, evaluation.relevant(hits, views.select(ident.alias("id"), title.alias("title")), mine.select("qid", "gold_chroma_id", "gold_title", "in_scope"))
+
+
+def _gold_results(spark, sf_dir) -> DataFrame:
+    mine, hits = _gold_hits(spark, sf_dir)
+    return evaluation.score(mine, hits.select("qid", "pos", "vec_id", (1 - F.col("similarity")).alias("distance"), "relevant"))
+
+
+GOLD_RESULTS = f"""{V}, asks AS (SELECT vec_id AS qid, v AS q, row_id || '::title' AS own, lower('Title ' || row_id % 25) AS title, label AS topic, vec_id % 3 AS difficulty, view AS variant, CAST(label < 8 AS INT) AS in_scope FROM v WHERE vec_id % 20 = 0),
+gold AS (SELECT title, list(DISTINCT own) AS gold FROM asks WHERE in_scope = 1 GROUP BY 1),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, vec_id) - 1 AS pos FROM (SELECT qid, own, vec_id, row_id || '::' || view AS id, lower('Title ' || row_id % 25) AS title, greatest(0, list_cosine_similarity(q, v)) AS s FROM (SELECT qid, q, own FROM asks) JOIN v ON vec_id <> qid)) WHERE pos < 10),
+best AS (SELECT qid, min(CASE WHEN id = own OR coalesce(list_contains(gold, own), false) THEN pos + 1 END) AS gold_rank, min_by(1 - s, pos) AS top1_distance, min_by(vec_id, pos) AS top1_id FROM hits LEFT JOIN gold USING (title) GROUP BY 1),
+res AS (SELECT asks.*, gold_rank, top1_distance, top1_id, coalesce(CAST(gold_rank = 1 AS INT), 0) AS hit_1, coalesce(CAST(gold_rank <= 5 AS INT), 0) AS hit_5, coalesce(round(1 / gold_rank, 4), 0) AS rr FROM asks LEFT JOIN best USING (qid))"""
 
 
 @query(f"WITH {RESULTS} SELECT qid, CAST(gold_rank AS DOUBLE) AS gold_rank, hit_1, hit_5, rr, round(top1_distance, 6) AS top1_distance, top1_id FROM res")
@@ -782,13 +799,17 @@ def eval_summary(spark, sf_dir):
     return evaluation.summary(_results(spark, sf_dir))
 
 
-@query(f"WITH {RESULTS} " + " UNION ALL ".join(f"SELECT '{k}' AS slice, CAST({k} AS VARCHAR) AS value, count(*) AS n, round(sum(hit_1) / count(*), 4) AS recall_1, round(sum(hit_5) / count(*), 4) AS recall_5, round(sum(rr) / count(*), 4) AS mrr_10 FROM res WHERE in_scope = 1 GROUP BY 2" for k in ("variant", "difficulty", "topic")))
+SLICES = " UNION ALL ".join(f"SELECT '{k}' AS slice, CAST({k} AS VARCHAR) AS value, count(*) AS n, round(sum(hit_1) / count(*), 4) AS recall_1, round(sum(hit_5) / count(*), 4) AS recall_5, round(sum(rr) / count(*), 4) AS mrr_10 FROM res WHERE in_scope = 1 GROUP BY 2" for k in ("variant", "difficulty", "topic"))
+
+
+@query(f"WITH {RESULTS} {SLICES}")
 def eval_slices(spark, sf_dir):
     return evaluation.slices(_results(spark, sf_dir), ["variant", "difficulty", "topic"])
 
 
-REPORT = f"""{RESULTS}, g AS (SELECT CASE WHEN in_scope = 0 THEN 'out_of_scope' WHEN hit_1 = 1 THEN 'hit' ELSE 'miss' END AS grp, list(round(top1_distance, 9) ORDER BY round(top1_distance, 9)) AS xs FROM res WHERE top1_distance IS NOT NULL GROUP BY 1),
+REPORT_OF = """, g AS (SELECT CASE WHEN in_scope = 0 THEN 'out_of_scope' WHEN hit_1 = 1 THEN 'hit' ELSE 'miss' END AS grp, list(round(top1_distance, 9) ORDER BY round(top1_distance, 9)) AS xs FROM res WHERE top1_distance IS NOT NULL GROUP BY 1),
 rep AS (SELECT grp, len(xs) AS n, xs[1] AS least, xs[len(xs) // 4 + 1] AS p25, (xs[(len(xs) - 1) // 2 + 1] + xs[len(xs) // 2 + 1]) / 2 AS median, xs[3 * len(xs) // 4 + 1] AS p75, xs[len(xs)] AS most FROM g)"""
+REPORT = RESULTS + REPORT_OF
 
 
 @query(f'WITH {REPORT} SELECT grp AS "group", n, round(least, 6) AS least, round(p25, 6) AS p25, round(median, 6) AS median, round(p75, 6) AS p75, round(most, 6) AS most FROM rep')
@@ -801,6 +822,25 @@ def threshold_suggestion(spark, sf_dir):
     return evaluation.suggestion(evaluation.threshold_report(_results(spark, sf_dir))).select(F.round("from", 6).alias("from"), F.round("to", 6).alias("to"), "overlap")
 
 
+@query(f"WITH {GOLD_RESULTS} SELECT qid, CAST(gold_rank AS DOUBLE) AS gold_rank, hit_1, hit_5, rr, round(top1_distance, 6) AS top1_distance, top1_id FROM res")
+def eval_gold_results(spark, sf_dir):
+    return _gold_results(spark, sf_dir).select("qid", F.col("gold_rank").cast("double").alias("gold_rank"), "hit_1", "hit_5", "rr", F.round("top1_distance", 6).alias("top1_distance"), "top1_id")
+
+
+# Halves of the fourth place are rounded up, in whole numbers.
+GOLD_SLICES = SLICES.replace("round(sum(rr) / count(*), 4)", "floor((2 * sum(CAST(round(rr * 10000) AS BIGINT)) + count(*)) / (2 * count(*))) / 10000").replace("round(sum(hit_1) / count(*), 4)", "floor((20000 * sum(hit_1) + count(*)) / (2 * count(*))) / 10000").replace("round(sum(hit_5) / count(*), 4)", "floor((20000 * sum(hit_5) + count(*)) / (2 * count(*))) / 10000")
+
+
+@query(f"WITH {GOLD_RESULTS} {GOLD_SLICES}")
+def eval_gold_slices(spark, sf_dir):
+    return evaluation.slices(_gold_results(spark, sf_dir), ["variant", "difficulty", "topic"])
+
+
+@query(f'WITH {GOLD_RESULTS}{REPORT_OF} SELECT grp AS "group", n, round(least, 6) AS least, round(p25, 6) AS p25, round(median, 6) AS median, round(p75, 6) AS p75, round(most, 6) AS most FROM rep')
+def eval_gold_thresholds(spark, sf_dir):
+    return evaluation.threshold_report(_gold_results(spark, sf_dir)).select("group", "n", *[F.round(c, 6).alias(c) for c in ("least", "p25", "median", "p75", "most")])
+
+
 CUTS = [0.5, 0.55, 0.6, 0.65, 0.7]
 
 
@@ -842,8 +882,12 @@ def _sql_pick(choices: list[str]) -> str:
 
 SQL_BASE = "t || ' cần giấy tờ gì'"
 # Two words joined, a letter dropped or a letter doubled, by the key.
-SQL_TYPO = f"""(SELECT CASE WHEN n >= 2 AND k % 3 = 0 THEN array_to_string(w[1:j - 1] || [w[j] || w[j + 1]] || w[j + 2:n], ' ') WHEN length(b) >= 4 AND k % 3 = 1 THEN substr(b, 1, i - 1) || substr(b, i + 1) ELSE substr(b, 1, i) || substr(b, i) END
-FROM (SELECT b, string_split(b, ' ') AS w, len(string_split(b, ' ')) AS n, CAST(k % (len(string_split(b, ' ')) - 1) + 1 AS INT) AS j, CAST(k % length(b) + 1 AS INT) AS i FROM (SELECT {SQL_BASE} AS b)))"""
+def _sql_typo(base: str) -> str:
+    return f"""(SELECT CASE WHEN n >= 2 AND k % 3 = 0 THEN array_to_string(w[1:j - 1] || [w[j] || w[j + 1]] || w[j + 2:n], ' ') WHEN length(b) >= 4 AND k % 3 = 1 THEN substr(b, 1, i - 1) || substr(b, i + 1) ELSE substr(b, 1, i) || substr(b, i) END
+FROM (SELECT b, string_split(b, ' ') AS w, len(string_split(b, ' ')) AS n, CAST(k % greatest(len(string_split(b, ' ')) - 1, 1) + 1 AS INT) AS j, CAST(k % greatest(length(b), 1) + 1 AS INT) AS i FROM (SELECT {base} AS b)))"""
+
+
+SQL_TYPO = _sql_typo(SQL_BASE)
 SQL_NOISE = [(sql_strip_marks(SQL_BASE), "no_diacritics", "hard"), (_sql_abbreviate(SQL_BASE), "abbrev", "hard"), (SQL_TYPO, "typo", "hard"), (f"t || {_sql_pick(questions.TAILS)}", "keyword", "medium"), (f"trim({_sql_pick(questions.OPENERS)} || lower({SQL_BASE}) || {_sql_pick(questions.CLOSERS)})", "colloquial", "medium")]
 SQL_MADE = [(f"replace({q(text)}, '{{t}}', t)", f"facet_{name}", "easy") for name, text in questions.FACETS] + SQL_NOISE
 SQL_QUESTIONS = " UNION ALL ".join(f"SELECT k AS topic_key, {i} AS place, f AS field, trim({s}) AS question, '{v}' AS variant, '{d}' AS difficulty, 1 AS in_scope, '' AS oos_kind FROM (SELECT p_partkey AS k, p_name AS t, p_brand AS f FROM part)" for i, (s, v, d) in enumerate(SQL_MADE) if s)
@@ -890,6 +934,39 @@ def gen_question_set(spark, sf_dir):
     return questions.question_set(topics, rows, outside)
 
 
+SEEDS = ["tôi mới mua {name} thì phải làm gì", "nhà em mất {name} cần gt j", "cho hỏi {brand} với", "Đẻ"]
+
+
+def _sql_struct(question: str, variant: str, difficulty: str) -> str:
+    return f"{{'question': trim({question}), 'variant': '{variant}', 'difficulty': '{difficulty}'}}"
+
+
+def _sql_drawn(name: str) -> str:
+    return f"bases[CAST(CAST('0x' || substr(md5(k || ':{name}'), 1, 8) AS BIGINT) % len(bases) AS INT) + 1]"
+
+
+_seeds = ", ".join("concat(" + ", ".join(q(x) for x in line.replace("{name}", "|t|").replace("{brand}", "|f|").split("|")).replace("'t'", "t").replace("'f'", "f") + ")" for line in SEEDS)
+_facets = ", ".join(f"{{'o': md5(k || ':facet{i}'), 'q': {_sql_struct(f'replace({q(text)}, {q("{t}")}, t)', f'facet_{name}', 'easy')}}}" for i, (name, text) in enumerate(questions.FACETS))
+_noise = ", ".join([
+    _sql_struct(sql_strip_marks(_sql_drawn("no_diacritics")), "no_diacritics", "hard"), _sql_struct(_sql_abbreviate(_sql_drawn("abbrev")), "abbrev", "hard"), _sql_struct("typo", "typo", "hard"),
+    _sql_struct(f"t || {_sql_pick(questions.TAILS)}", "keyword", "medium"), _sql_struct(f"{_sql_pick(questions.OPENERS)} || lower({_sql_drawn('colloquial')}) || {_sql_pick(questions.CLOSERS)}", "colloquial", "medium"),
+])
+SQL_SEEDED = f"""(SELECT k AS topic_key, f AS field, unnest(list_transform(made, lambda x, i: {{'place': i - 1, 'q': x}})) AS u FROM
+(SELECT *, list_slice(list_concat(list_transform(seeds, lambda x: {_sql_struct("x", "situational", "hard")}), list_transform(list_sort([{_facets}]), lambda x: x.q), [{_noise}]), 1, 15) AS made FROM
+(SELECT *, {_sql_typo(_sql_drawn("typo"))} AS typo FROM (SELECT *, list_concat(seeds, [{SQL_BASE}]) AS bases FROM (SELECT k, t, f, list_slice([{_seeds}], 1, k % 5) AS seeds FROM (SELECT p_partkey AS k, p_name AS t, p_brand AS f FROM part))))))"""
+
+
+@query(f"SELECT topic_key, CAST(u.place AS INT) AS place, field, u.q.question AS question, u.q.variant AS variant, u.q.difficulty AS difficulty, 1 AS in_scope, '' AS oos_kind FROM {SQL_SEEDED}")
+def gen_seeded_questions(spark, sf_dir):
+    return questions.generate_seeded(_seeded_topics(spark, sf_dir))
+
+
+def _seeded_topics(spark, sf_dir) -> DataFrame:
+    """Topics with none to four situations each: with eight facets and five kinds of noise, some have more than are wanted."""
+    lines = F.array(*[F.concat(*[{"{name}": F.col("topic"), "{brand}": F.col("field")}.get(x, F.lit(x)) for x in re.split(r"(\{\w+\})", line)]) for line in SEEDS])
+    return _topics(spark, sf_dir).withColumn("seeds", F.slice(lines, F.lit(1), (F.col("topic_key") % 5).cast("int")))
+
+
 @query(f"SELECT key, value, count(*) AS n FROM (SELECT 'variant' AS key, variant AS value FROM ({SQL_QUESTIONS}) UNION ALL SELECT 'difficulty', difficulty FROM ({SQL_QUESTIONS})) GROUP BY 1, 2")
 def gen_distribution(spark, sf_dir):
     return questions.distribution(questions.generate(_topics(spark, sf_dir)), ["variant", "difficulty"])

@@ -53,3 +53,21 @@ def test_purge_is_strict_and_can_be_off(spark):
     kept, left = store.purge(parents, children, "id", "at", now, 30)
     assert [r.id for r in kept.collect()] == [1] and [r.x for r in left.collect()] == ["a"]
     assert store.purge(parents, children, "id", "at", now, 0)[0].count() == 2
+
+
+def test_seeded_questions(spark):
+    """Situations first, each facet once in an order of the topic's own, noise on a seed or the plain question, cut at the end."""
+    from fathomlake.operators import questions
+
+    topics = spark.createDataFrame([(1, "khai sinh", "f", ["tôi mới sinh con", " "]), (2, "kết hôn", "f", None), (3, "nhà", "f", [f"s{i}" for i in range(20)]), (4, "nhà", "f", [])], "topic_key long, topic string, field string, seeds array<string>")
+    got = {}
+    for r in questions.generate_seeded(topics).orderBy("topic_key", "place").collect():
+        got.setdefault(r.topic_key, []).append((r.variant, r.question))
+    assert [len(got[k]) for k in (1, 2, 3, 4)] == [15, 13, 15, 13]
+    assert got[1][:2] == [("situational", "tôi mới sinh con"), ("situational", "")] and {v for v, _ in got[3]} == {"situational"}
+    facets = [[q for v, q in got[k] if v.startswith("facet_")] for k in (1, 2, 4)]
+    assert all(sorted(x) == sorted(t.replace("{t}", name) for _, t in questions.FACETS) for x, name in zip(facets, ("khai sinh", "kết hôn", "nhà"), strict=True))
+    orders = {tuple(sorted(range(8), key=lambda i: facets[k].index(questions.FACETS[i][1].replace("{t}", n)))) for k, n in ((0, "khai sinh"), (1, "kết hôn"), (2, "nhà"))}
+    assert len(orders) > 1
+    few = questions.generate_seeded(topics, 3).groupBy("topic_key").count().collect()
+    assert {r["count"] for r in few} == {3}
