@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import SETTINGS, Settings
 from ..functions.text import blank_as_null
+from ..sources import staged
+from .ranking import small, top_k
 
 
 def email(c: Column) -> Column:
@@ -123,15 +125,32 @@ def reset(tables: dict[str, DataFrame], scope: str, user_id: int | None = None)
     return tables | {"conversations": conversations.join(mine, F.col("id") == F.col("conversation_id"), "left_anti"), "messages": messages.join(mine, "conversation_id", "left_anti")}
 
 
-def context_windows(messages: DataFrame, s: Settings = SETTINGS) -> DataFrame:
-    """conversation_id, n, chars, dialogue: of conversations that have grown too long all but the last few messages.
+def context_pieces(messages: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+    """conversation_id, n, chars, created_at, content, role, piece: of conversations that have grown too long all messages but
+    the last few, as rows in order of (created_at, content, role).
 
-    The sums come first, so that only texts of long conversations are ordered and joined.
+    Sums come first. The last messages are a top k, of which each task keeps k rows of a conversation; what is before the
+    first of them is a filter. No task sorts or holds a conversation.
     """
+    place = F.struct("created_at", "content", "role")
     long = messages.groupBy("conversation_id").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars")).where((F.col("n") >= s.context_messages) & (F.col("chars") >= s.context_chars))
-    old = messages.join(long, "conversation_id").withColumn("back", F.row_number().over(Window.partitionBy("conversation_id").orderBy(F.col("created_at").desc(), F.col("content").desc()))).where(F.col("back") > s.recent_messages)
-    said = F.struct((-F.col("back")).alias("o"), F.concat(F.upper("role"), F.lit(": "), F.col("content")).alias("t"))
-    return old.groupBy("conversation_id", "n", "chars").agg(F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["t"]), "\n").alias("dialogue"))
+    mine = messages.join(small(staged(long, "long_conversations")), "conversation_id").withColumn("place", place)
+    last = top_k(mine.select("conversation_id", "place"), "conversation_id", [F.desc("place")], s.recent_messages, "back")
+    # The first of the last messages, and how many of these are just like it.
+    first = last.groupBy("conversation_id").agg(F.min("place").alias("first"), F.collect_list("place").alias("places"))
+    first = first.select("conversation_id", "first", F.size(F.filter("places", lambda p: p == F.col("first"))).alias("like"))
+    met = mine.join(small(staged(first, "first_of_last")), "conversation_id").where("place <= first")
+    before, same = met.where("place < first"), met.where("place = first")
+    same = same.withColumn("nth", F.row_number().over(Window.partitionBy("conversation_id").orderBy("role"))).where("nth > like")
+    columns = ["conversation_id", "n", "chars", "created_at", "content", "role"]
+    return before.select(*columns).unionByName(same.select(*columns)).withColumn("piece", F.concat(F.upper("role"), F.lit(": "), F.col("content")))
+
+
+def context_windows(messages: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+    """conversation_id, n, chars, dialogue: the pieces of each conversation as one text."""
+    pieces = context_pieces(messages, s)
+    said = F.struct("created_at", "content", "role", "piece")
+    return pieces.groupBy("conversation_id", "n", "chars").agg(F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["piece"]), "\n").alias("dialogue"))
 
 
 def queue_positions(jobs: DataFrame, service_seconds: int = 60) -> DataFrame:
