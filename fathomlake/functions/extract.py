@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .page_tree import page_items
 from .text import any_in, blank_as_null, let, strip
 
 # Words of the levels, of same-day service, of free service, and what is no fee.
@@ -162,32 +163,14 @@ def clean_fee(fee: Column, charge: Column) -> Column:
     return let(F.concat(valid(fee), valid(charge)), text)
 
 
-# Words that are no part of an item's title, and what stands for a field that a page does not have.
-TITLE_NOISE = ["Mở rộng", "Thu gọn"]
+# What stands for a field that a page does not have.
 NO_FIELD, NO_OFFICE, NO_CODE = "Quản lý hành chính", "Bộ phận Một cửa - Cơ quan Công an / UBND có thẩm quyền", "CHUA_CAP_MA"
 CODE_TITLES, DOSSIER_TITLES, TIME_TITLES, LAW_TITLES = ["mã thủ tục", "mã tthc"], ["thành phần", "hồ sơ"], ["thời hạn", "thời gian"], ["pháp lý", "căn cứ"]
 STAY, BY_RULE = "lưu trú", "theo quy định"
 
 
-def page_items(html: Column) -> Column:
-    """array of struct(title, low, inner, text) of a detail page's list items: those with a title and a detail element.
-    An item ends where the next one begins, the last one with the page's body."""
-    body = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)</(body|main)>.*$", "")
-    parts = F.slice(F.split(body, r"(?i)<div\b[^>]*\bclass=\"[^\"]*tthc-list-item(?!-detail)[^\"]*\"[^>]*>"), 2, 100_000)
-
-    def read(part: Column) -> Column:
-        title = F.regexp_replace(F.regexp_extract(part, r"(?is)<(\w+)\b[^>]*class=\"[^\"]*item-title[^\"]*\"[^>]*>(.*?)</\1>", 2), r"<[^>]*>", "")
-        for noise in TITLE_NOISE:
-            title = F.replace(title, F.lit(noise), F.lit(""))
-        inner = F.regexp_extract(part, r"(?is)<\w+\b[^>]*class=\"[^\"]*tthc-list-item-detail[^\"]*\"[^>]*>(.*)$", 1)
-        return F.struct(strip(F.regexp_replace(title, r"\s+", " ")).alias("title"), inner.alias("inner"), part.rlike(r"(?i)class=\"[^\"]*item-title").alias("titled"), part.rlike(r"(?i)class=\"[^\"]*tthc-list-item-detail").alias("detailed"))
-
-    found = F.filter(F.transform(parts, read), lambda x: x["titled"] & x["detailed"])
-    return F.transform(found, lambda x: F.struct(x["title"].alias("title"), F.lower(x["title"]).alias("low"), x["inner"].alias("inner"), F.array_join(lines(F.regexp_replace(x["inner"], r"<[^>]*>", "")), "\n").alias("text")))
-
-
 def _field(items: Column, title: str) -> Column:
-    """The text of the item of that very title, the last of several; blank without one."""
+    """The text of the item of that very title; blank without one."""
     return F.coalesce(F.try_element_at(F.filter(items, lambda x: x["title"] == title), F.lit(-1))["text"], F.lit(""))
 
 
