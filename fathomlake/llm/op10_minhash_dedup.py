@@ -15,6 +15,7 @@
 
 Cases: null and empty texts have an empty set and are linked with nothing; texts shorter than n words have one shingle;
 repeated rows are one class; a null doc_id is a document like others, last in order; an empty table gives an empty one.
+A very long text is a block of its own, and its signature is made in parts; other columns are not read, whatever they are called.
 Of each component one row is kept, the least by doc_id and then by row key, also where ids are null or repeated.
 """
 

@@ -7,8 +7,9 @@ length cut it, and a piece that ends or begins at a window's edge inside a docum
 Every sequence but the last is full.
 
 Cases: a null or empty text is just its end token; a document longer than a sequence is cut into several pieces;
-repeated rows are packed as often as they are there; a null doc_id is a document like others; an empty table gives no
-pieces.
+repeated rows are packed as often as they are there, in the order in which their part has them, and ties do not arise; a null
+doc_id is a document like others; an empty table gives no pieces; columns other than doc_id and text are not read, whatever
+they are called.
 """
 
 from __future__ import annotations

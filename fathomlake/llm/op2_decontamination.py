@@ -15,7 +15,8 @@ such items, as the given ones, both are the same.)
 3. The pairs found are verified by exact containment.
 
 Cases: null and empty texts, of documents or items, have no shingles and match nothing; repeated rows and repeated items
-match each by itself; ties do not arise, as every item over the threshold is reported; empty tables give no pairs.
+match each by itself; ties do not arise, as every item over the threshold is reported; a very long text is one row of its
+distinct shingles that any item has; empty tables give no pairs; other columns are not read, whatever they are called.
 """
 
 from __future__ import annotations

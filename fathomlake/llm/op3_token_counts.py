@@ -7,8 +7,9 @@ block's list of distinct ones) and the list itself, dealt into shards by hash. A
 of each distinct pre-token once and answers every block; with the answers a block's frequencies are summed. No ids are
 kept, and a pre-token that all documents hold is one entry for each block.
 
-Cases: null and empty texts have 0 tokens; texts without white space are one pre-token; repeated rows count each; a null
-doc_id is a document like others; an empty table gives an empty one.
+Cases: null and empty texts have 0 tokens; texts without white space are one pre-token, and a very long text is a block of its
+own; repeated rows count each; ties do not arise; a null doc_id is a document like others; an empty table gives an empty one;
+other columns are not read, whatever they are called. Pre-tokens are told apart by their bytes, in a block and in a shard.
 """
 
 from __future__ import annotations

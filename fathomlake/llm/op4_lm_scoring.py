@@ -11,7 +11,9 @@ summed up by bucket and by eighths of octaves of their two estimates, for the ex
 most 40 x 385 x 385 rows, or 280 MB, however large the input; on the given tables some tens of thousands.
 
 Cases: null and empty texts have the end token alone; repeated rows count and are scored each; a null doc_id is not
-trained on and not held out; with no training documents N and V are 0 and only the uniform part is left.
+trained on and not held out; with no training documents N and V are 0 and only the uniform part is left; ties do not arise; a
+very long text is a block of its own; an empty table gives an empty one; other columns are not read, whatever they are called.
+Words are told apart by their bytes in a block and by 64 bits of BLAKE2 across blocks, pairs of words by 64 bits of a hash.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ calibrated to a probability by a logistic fit on the documents kept for that.
 Cases: null and empty texts have no windows and get the score of zero savings; a text shorter than a window is one; rows
 with a null label or without a label are scored, not learned from; where a label has fewer than LEAST sampled texts every
 score is 0 and nothing is predicted toxic, with a warning if the label has rows in the table of labels; a null doc_id is
-not held out and has no label; repeated rows get the same score; ties in the order by hash are broken by the text.
+not held out and has no label; repeated rows get the same score; ties in the order by hash are broken by the text; all windows
+of a very long text are scored; an empty table gives an empty one; other columns are not read, whatever they are called.
 """
 
 from __future__ import annotations

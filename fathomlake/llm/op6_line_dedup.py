@@ -6,7 +6,9 @@ out, the tags of block elements and line feeds end a line, other tags are droppe
 or more is boilerplate and goes from every page of that host.
 
 Cases: a null url or one without host is the host ''; null or empty html has no lines and an empty kept_text;
-repeated rows are pages of their own; a null page_id is a page like others; an empty table gives an empty one.
+repeated rows are pages of their own; a null page_id is a page like others; very long html is one row of its lines; ties do not
+arise, as every line over the ratio goes; an empty table gives an empty one; other columns are not read, whatever they are
+called.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ doc_id with its row. Arriving digests, one row for each distinct one, go to the
 the same makes them repeats of that winner; the others are grouped among themselves.
 
 Cases: a null text is the empty text, and so equal to it; of rows with the same doc_id and equal texts one stays, the
-one with the least row number; a null doc_id comes after all others; an empty table gives an empty one.
+one with the least row number; a null doc_id comes after all others; of a very long text only the digest goes on; an empty
+table gives an empty one; other columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, texts_of, written
+from .components import with_copies
 
 LEVELS, LOAD, KEYS_EACH = 24, 1.5, 200_000
 LAST = 2**63 - 1
@@ -122,17 +124,17 @@ def exact_dedup(docs: DataFrame, keys_each: int = KEYS_EACH, key: str | None = N
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, known (the winner is in the history); and
     key, where a column of distinct row numbers is given.
 
-    Only groups of two or more go back to the documents, by a join on the digest; of a digest that a third of all rows
-    share, Spark splits the documents' side.
+    Only groups of two or more go back to the documents, by a join on the digest; the rows of a digest that a third of all
+    rows share are spread over parts, each with a copy of the group's one row.
     """
     number = F.col(key).cast("long") if key else F.monotonically_increasing_id()
     digests = written(texts_of(docs, key=number).select("doc_id", digest(F.col("text")).alias("digest"), F.col("key").alias("row")), "documents")
-    many = groups(digests, keys_each).where("copies > 1").withColumnRenamed("digest", "of")
-    joined = digests.join(many, F.col("digest") == F.col("of"), "left")
-    keep = F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.when(F.col("ids") < LAST, F.col("ids")))
+    many = groups(digests, keys_each).where("copies > 1").select("digest", "ids", "rows", "copies", "known")
+    joined = with_copies(digests, "row", many, "digest", "left")
+    keep = F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.when(F.col("ids") < LAST, F.col("ids")))
     return joined.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("of").isNull() | (F.col("rows") == F.col("row"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.coalesce("known", F.lit(False)).alias("known"), *([F.col("row").alias("key")] if key else []),
+        (F.col("copies").isNull() | (F.col("rows") == F.col("row"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.coalesce("known", F.lit(False)).alias("known"), *([F.col("row").alias("key")] if key else []),
     )
 
 

@@ -7,7 +7,8 @@ repeat is lost, and about one position in ten is sent. At the full length every
 
 Cases: a null or empty text has no words and its kept text is empty; texts shorter than a window stay whole; repeated
 rows are texts of their own, so all their windows are repeated; a null doc_id is a document like others; a text that
-repeats itself counts, overlaps too; an empty table gives an empty one.
+repeats itself counts, overlaps too; ties do not arise, as all equal windows go; a very long text is a block of its own; an
+empty table gives an empty one; other columns are not read, whatever they are called.
 At the shorter lengths sequences are compared by hashes of 64 bits, which may let a window go on. What is removed is decided
 on words that are told apart by their bytes in a block, and by 128 bits of BLAKE2 across blocks, as are their windows.
 """

@@ -14,7 +14,8 @@ is repeated, but too short to be removed, is seen there if it has SPAN bytes.
 
 Cases: a null or empty text has no bytes; texts shorter than a window stay whole; repeated rows are texts of their own,
 so every window of theirs is repeated; a null doc_id is a document like others; a text that repeats itself counts,
-overlaps too; a removal may split a character. In a shard strings are compared as they are, across shards by 64-bit hashes.
+overlaps too; a removal may split a character; ties do not arise, as all equal windows go; a very long text is a block of its
+own; an empty table gives an empty one; other columns are not read, whatever they are called. In a shard strings are compared as they are, across shards by 64-bit hashes.
 """
 
 from __future__ import annotations

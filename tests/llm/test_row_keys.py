@@ -46,3 +46,15 @@ def test_of_copies_with_one_id_one_stays(spark, sf_dir, shared):
 def test_decontamination_takes_only_the_holder(spark, sf_dir, item, shared):
     kept = left(corpus_pipeline.decontamination, spark, sf_dir, [(shared, f"before {item} after"), (shared, text(4)), (None, text(5))])
     assert {(r.doc_id, r.text) for r in kept} == {(shared, text(4)), (None, text(5))}
+
+
+def test_one_digest_on_a_third_of_the_rows(spark):
+    """The rows of a hot digest are spread over parts, and each gets its group."""
+    from fathomlake.llm.op7_exact_dedup import exact_dedup
+
+    rows = [(i, "same  text" if i % 3 == 0 else f"own {i}") for i in range(3000)] + [(None, "same text"), (None, None), (5000, "")]
+    got = {(r.doc_id, r.text_sha256): r for r in exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    hot = [r for r in got.values() if r.keep_id == 0]
+    assert len(hot) == 1001 and all(r.group_size == 1001 for r in hot) and [r.doc_id for r in hot if r.kept] == [0]
+    assert {(r.doc_id, r.keep_id, r.kept) for r in got.values() if r.group_size == 2} == {(None, 5000, False), (5000, 5000, True)}
+    assert sum(r.group_size == 1 and r.kept and r.keep_id == r.doc_id for r in got.values()) == 2000
