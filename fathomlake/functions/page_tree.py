@@ -30,6 +30,7 @@ class Node:
     classes: str
     start: int  # where its content starts
     end: int  # and ends
+    rest: str = ""  # what the tag holds after its name
 
 
 def nodes_of(html: str) -> list[Node]:
@@ -59,7 +60,7 @@ def nodes_of(html: str) -> list[Node]:
             if stack[i].tag in bounds:
                 break
         found = CLASS.search(rest)
-        node = Node(tag, next((x for x in found.groups() if x is not None), "") if found else "", m.end(), m.end())
+        node = Node(tag, next((x for x in found.groups() if x is not None), "") if found else "", m.end(), m.end(), rest)
         out.append(node)
         if tag not in VOID:  # a slash at the end of another tag means nothing in HTML
             stack.append(node)

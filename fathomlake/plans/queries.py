@@ -15,6 +15,7 @@ from ..functions import extract, rules
 from ..functions.text import ABBREVIATIONS, STOP_WORDS, abbreviate, clipped_sigmoid, content_tokens, first_words, fold, has_marks, outside_parentheses, strip_marks
 from ..operators import answers, catalogue, dense, evaluation, fusion, lexical, lexical_index, questions, store, vector_index
 from ..sources import RECORD_COLUMNS, Collection, crawled, fetched, first_of, listed, numbered_sheet, read_csv, shared_path, spread, table, with_fallback, write_csv, write_json_lines, write_records, write_report
+from ..sources.paged import ListPages
 from ..streaming import routed, sessions
 from . import samples
 
@@ -614,6 +615,23 @@ def dossier_items(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), extract.dossier(page).alias("items"))
 
 
+@query("""WITH l AS (SELECT page_id // 20 + 1 AS page, page_id FROM pages WHERE page_id // 20 % 6 <> 5), last AS (SELECT max(page_id) // 20 + 1 AS n FROM pages),
+k AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY page_id) - 1 AS place, '/tthc?matt=' || page_id AS href, 'Trang ' || page_id || ' & <b>' AS title FROM l WHERE page_id % 3 <> 0)
+SELECT CAST(page AS INT) AS page, CAST(place AS INT) AS place, href, title, NULL AS error FROM k WHERE place < 10
+UNION ALL SELECT CAST(i AS INT), -1, NULL, NULL, CASE WHEN i IN (SELECT page FROM l) THEN 'no links' ELSE 'no answer' END FROM (SELECT unnest(range(1, n + 1)) AS i FROM last) WHERE i NOT IN (SELECT page FROM k)""")
+def crawl_lists(spark, sf_dir):
+    # List pages of twenty links as saved files; every sixth is missing, and of each ten links are taken.
+    k, pages = F.col("page_id"), table(spark, sf_dir, "pages")
+    page, href = (F.floor(k / 20) + 1).cast("int"), F.when(k % 3 == 0, "/khac?x=").otherwise("/tthc?matt=")
+    links = pages.where(F.floor(k / 20) % 6 != 5).select(page.alias("page"), k, F.concat(F.lit('<li><a class=x href="'), href, k.cast("string"), F.lit('"> <i>Trang '), k.cast("string"), F.lit(" &amp; &lt;b&gt;</i></a>")).alias("line"))
+    html = links.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "line"))), lambda x: x["line"]), "").alias("value"))
+    folder = shared_path(spark, "lists")
+    html.write.partitionBy("page").text(folder)
+    spark.dataSource.register(ListPages)
+    last = pages.agg(F.floor(F.max(k) / 20) + 1).first()[0] or 0
+    return spark.read.format("list_pages").options(path=folder, max_pages=last, max_items=10, link="tthc?matt=").load().withColumn("place", F.coalesce("place", F.lit(-1)))
+
+
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_name || ', ' || p_brand ELSE 'Thành phần hồ sơ ' || p_size END AS items FROM part")
 def comma_lists(spark, sf_dir):
     even = F.concat(F.lit("1. "), "p_name", F.lit(";\r\nThành phần hồ sơ:\n- "), "p_brand", F.lit(".\n\n"))
