@@ -81,23 +81,27 @@ def rename(conversations: DataFrame, id: str, title: str) -> DataFrame:  # noqa:
 
 
 def survivors(parents: DataFrame, children: DataFrame, victims: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Both tables without the victims' rows (key)."""
-    return parents.join(victims, key, "left_anti"), children.join(victims, key, "left_anti")
+    """Both tables without the victims' rows (key). Few victims, by a count, are broadcast, and no table is shuffled."""
+    gone = small(victims)
+    return parents.join(gone, key, "left_anti"), children.join(gone, key, "left_anti")
 
 
 def purge(parents: DataFrame, children: DataFrame, key: str, updated: str, as_of: dt.datetime, days: int = SETTINGS.retention_days) -> tuple[DataFrame, DataFrame]:
     """Parents not touched for more than so many days go, with their children; none if days is not positive."""
     if not days or days <= 0:
         return parents, children
-    return survivors(parents, children, parents.where(F.col(updated) < F.lit(as_of - dt.timedelta(days=days))).select(key), key)
+    old = F.coalesce(F.col(updated) < F.lit(as_of - dt.timedelta(days=days)), F.lit(False))
+    # A parent's own row says whether it goes; only its children need a join.
+    return parents.where(~old), children.join(small(parents.where(old).select(key)), key, "left_anti")
 
 
 def cascade(tables: list[tuple[DataFrame, str | None, str | None]], victims: DataFrame) -> list[DataFrame]:
-    """Survivors of a chain of tables (table, its key, its parent's key), parents first. A child goes with its parent."""
+    """Survivors of a chain of tables (table, its key, its parent's key), parents first. A child goes with its parent. Few victims
+    are broadcast, so a small purge shuffles none of the tables."""
     out, gone = [], victims
     for table, key, parent in tables:
         on = parent or key
-        lost = gone.withColumnRenamed(gone.columns[0], on)
+        lost = small(gone.withColumnRenamed(gone.columns[0], on))
         out.append(table.join(lost, on, "left_anti"))
         gone = table.join(lost, on, "left_semi").select(key) if key else gone
     return out

@@ -71,3 +71,26 @@ def test_seeded_questions(spark):
     assert len(orders) > 1
     few = questions.generate_seeded(topics, 3).groupBy("topic_key").count().collect()
     assert {r["count"] for r in few} == {3}
+
+
+def test_a_small_purge_shuffles_no_table(spark, sf_dir):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from fathomlake.operators import store
+    from fathomlake.plans.queries import _conversations
+
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumnRenamed("l_orderkey", "id")
+    parents, children = store.purge(_conversations(spark, sf_dir), lines, "id", "updated_at", dt.datetime(2000, 1, 1), 900)
+    tables = [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders", "lineitem")]
+    left = store.cascade([(tables[0], "c_custkey", None), (tables[1], "o_orderkey", "o_custkey"), (tables[2], None, "l_orderkey")], tables[0].where("c_acctbal < 0").select("c_custkey"))
+    for df in (parents, children, *left):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    # A parent without a date stays, with its children.
+    few = spark.createDataFrame([(1, None), (2, dt.datetime(1990, 1, 1)), (3, dt.datetime(1999, 12, 31))], "id int, at timestamp")
+    some = few.select("id").union(few.select("id"))
+    a, b = store.purge(few, some, "id", "at", dt.datetime(2000, 1, 1), 30)
+    assert sorted(r.id for r in a.collect()) == [1, 3] and sorted(r.id for r in b.collect()) == [1, 1, 3, 3]
+    assert b.where(F.col("id") == 2).count() == 0
