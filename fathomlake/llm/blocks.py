@@ -157,13 +157,19 @@ def ask_pairs(shards: int, block: int, keys: np.ndarray, checks: np.ndarray) ->
     return out
 
 
+def groups_of_pairs(key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """For each pair the number, from 0, of its group of equal ones."""
+    order = np.lexsort((check, key))
+    group = np.empty(len(key), np.int64)
+    group[order] = np.cumsum((np.diff(key[order], prepend=key[order[:1]]) != 0) | (np.diff(check[order], prepend=check[order[:1]]) != 0))
+    return group
+
+
 def _repeated_pairs(asked: pd.DataFrame) -> pd.DataFrame:
     release()
     lists, checks = [unpack_sorted(x) for x in asked["keys"]], [unpack(x) for x in asked["checks"]]
     key, check, n = np.concatenate(lists), np.concatenate(checks), np.concatenate([unpack(x, np.uint32) for x in asked["counts"]]).astype(np.int64)
-    order = np.lexsort((check, key))
-    group = np.empty(len(key), np.int64)
-    group[order] = np.cumsum((np.diff(key[order], prepend=key[order[0]]) != 0) | (np.diff(check[order], prepend=check[order[0]]) != 0))
+    group = groups_of_pairs(key, check)
     hit, out, done = np.bincount(group, n)[group] > 1, [], 0
     for b, keys, own in zip(asked["block"], lists, checks, strict=True):
         here = hit[done : done + len(keys)]

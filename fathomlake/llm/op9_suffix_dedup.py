@@ -15,7 +15,9 @@ is repeated, but too short to be removed, is seen there if it has SPAN bytes.
 Cases: a null or empty text has no bytes; texts shorter than a window stay whole; repeated rows are texts of their own,
 so every window of theirs is repeated; a null doc_id is a document like others; a text that repeats itself counts,
 overlaps too; a removal may split a character; ties do not arise, as all equal windows go; a very long text is a block of its
-own; an empty table gives an empty one; other columns are not read, whatever they are called. In a shard strings are compared as they are, across shards by 64-bit hashes.
+own; an empty table gives an empty one; other columns are not read, whatever they are called. In a shard strings
+are compared as they are; across shards, where windows or passages may be equal, by 128 bits of BLAKE2. (The chosen strings
+of the first step are held by 64-bit hashes, which may let a window go on.)
 """
 
 from __future__ import annotations
@@ -27,15 +29,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ASK, BLOCK, Block, anchors, as_row, ask, blocks, covered, gathered, inside, is_in, keys_of, load, mapped, merge, mix, pack, pack_sorted, repeated, squeeze, unpack, unpack_sorted, unsqueeze
+from .blocks import ASK_PAIRS, BLOCK, Block, anchors, as_row, ask, ask_pairs, blocks, covered, groups_of_pairs, inside, is_in, keys_of, load, mapped, merge, mix, pack, pack_sorted, pairs_in, repeated, repeated_pairs, squeeze, unpack, unpack_sorted, unsqueeze
 from .common import release, shards_for, texts_of, written
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH, SHORT, SPAN = 400, 160, 256
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long"
 PLACED = f"{BLOCK}, first binary, last binary, places binary, shard int, keys binary, counts binary"
-LEFT = f"{BLOCK}, first binary, last binary, choices binary, kinds binary, settled binary, short binary"
-PASSAGES, ANSWER = "shard int, block long, kind int, keys binary, counts binary, least binary, most binary", "block long, kind int, found binary"
+LEFT = f"{BLOCK}, first binary, last binary, choices binary, kinds binary, checks binary, settled binary, short binary"
+PASSAGES, ANSWER = "shard int, block long, kind int, keys binary, counts binary, checks binary, least binary, most binary", "block long, kind int, found binary, checks binary"
 
 
 def byte_runs(raw: np.ndarray, n: int) -> np.ndarray:
@@ -95,13 +97,19 @@ def window_groups(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
     return of, n
 
 
+def digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers for each stretch of bytes, a column each: BLAKE2 of 128 bits."""
+    text = raw.tobytes()
+    return np.frombuffer(b"".join([hashlib.blake2b(text[i:j], digest_size=16).digest() for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+
+
 class _Passages:
     """The windows left in a block, in passages: neighbours that share a chosen string."""
 
     def __init__(self, row):
         self.b = load(row)
         self.first, self.last = _places(row.first), _places(row.last)
-        self.choices, self.kinds = unpack(row.choices), unpack(row.kinds)
+        self.choices, self.kinds, self.checks = unpack(row.choices), unpack(row.kinds), unpack(row.checks)
 
     def starts(self, which: np.ndarray) -> np.ndarray:
         """The windows of some passages."""
@@ -116,19 +124,23 @@ def _answer(asked: pd.DataFrame) -> pd.DataFrame:
     for kind, part in asked.groupby("kind"):
         lists = [unpack_sorted(x) for x in part["keys"]]
         if kind == 0:
-            merged, totals, places = merge(lists, [unpack(x, np.uint32) for x in part["counts"]])
-            owner = np.full(len(merged), len(lists))
-            for i, at in enumerate(places):
-                owner[at] = np.minimum(owner[at], i)
-            for i, (block, keys, at) in enumerate(zip(part["block"], lists, places, strict=True)):
-                out += [(block, 0, keys[totals[at] > 1]), (block, 1, keys[(totals[at] > 1) & (owner[at] == i)])]
+            checks = [unpack(x) for x in part["checks"]]
+            group = groups_of_pairs(np.concatenate(lists), np.concatenate(checks))
+            totals = np.bincount(group, np.concatenate([unpack(x, np.uint32) for x in part["counts"]]))
+            owner, of = np.full(len(totals), len(lists)), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            np.minimum.at(owner, group, of)
+            hit, mine, done = totals[group] > 1, owner[group] == of, 0
+            for block, keys, own in zip(part["block"], lists, checks, strict=True):
+                here = slice(done, done := done + len(keys))
+                for k, some in ((0, hit[here]), (1, hit[here] & mine[here])):
+                    out.append((block, k, keys[some], own[some]))
         else:
             merged, _, places = merge(lists, [0] * len(lists))
             least, most = np.full(len(merged), 2**64 - 1, np.uint64), np.zeros(len(merged), np.uint64)
             for at, a, b in zip(places, part["least"], part["most"], strict=True):
                 least[at], most[at] = np.minimum(least[at], unpack(a)), np.maximum(most[at], unpack(b))
-            out += [(block, 2, keys[least[at] < most[at]]) for block, keys, at in zip(part["block"], lists, places, strict=True)]
-    return pd.DataFrame([(b, k, pack_sorted(x)) for b, k, x in out if len(x)], columns=["block", "kind", "found"])
+            out += [(block, 2, keys[least[at] < most[at]], None) for block, keys, at in zip(part["block"], lists, places, strict=True)]
+    return pd.DataFrame([(b, k, pack_sorted(x), None if y is None else pack(y)) for b, k, x, y in out if len(x)], columns=["block", "kind", "found", "checks"])
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, short: int = SHORT, span: int = SPAN, block_bytes: int = 2 << 20) -> DataFrame:
@@ -174,13 +186,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, short: int = SHORT, span
         hashes = byte_runs(raw, short)
         first, last, places = passages_of(windows, hashes, length - short + 1)
         group, times = window_groups(raw, windows, length)
-        # Equal passages have equal first and last windows and as many of them: their key is that of any of the group's.
-        runs, place = byte_runs(raw, length), np.searchsorted(windows, [first, last])
+        # Equal passages have equal first and last windows and as many of them: their key is the digest of any of the group's.
+        place = np.searchsorted(windows, [first, last])
         _, one, kind = np.unique(np.column_stack([*group[place], last - first]), axis=0, return_index=True, return_inverse=True)
-        keys = mix(mix(runs[first[one]]) * np.uint64(0x9E3779B97F4A7C15) + runs[last[one]] + (last - first)[one].astype(np.uint64))
+        keys = digests(raw, first[one], last[one] + length)[kind.ravel()]
         settled = np.zeros(len(raw), bool)
         settled[windows[times[group] > 1]] = True
-        fields = {"first": _ups(first), "last": _ups(last), "choices": pack(mix(hashes[places])), "kinds": pack(keys[kind.ravel()]), "settled": _bits(settled), "short": _bits(seen[keep])}
+        fields = {"first": _ups(first), "last": _ups(last), "choices": pack(mix(hashes[places])), "kinds": pack(keys[:, 0].copy()), "checks": pack(keys[:, 1].copy()), "settled": _bits(settled), "short": _bits(seen[keep])}
         return [*done, as_row(b.block, [b.ids[i] for i in np.flatnonzero(some)], raw, at) | fields]
 
     stage = written(mapped(stage.where("shard IS NULL").select(*names, "first", "last", "places").join(found, "block", "left"), narrow, f"{RESULT}, {LEFT}"), "narrowed")
@@ -188,7 +200,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, short: int = SHORT, span
 
     def passages(row) -> list[dict]:
         kinds, choices = unpack(row.kinds), unpack(row.choices)
-        out = [x | {"kind": 0} for x in ask(shards, row.block, *np.unique(kinds, return_counts=True))]
+        out = [x | {"kind": 0} for x in ask_pairs(shards, row.block, kinds, unpack(row.checks))]
         order = np.lexsort((kinds, choices))
         at = np.flatnonzero(np.append(True, np.diff(choices[order]) != 0))
         keys, least, most = choices[order][at], kinds[order][at], kinds[order][np.append(at[1:], len(order)) - 1]
@@ -198,39 +210,40 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, short: int = SHORT, span
             out.append(x | {"kind": 1, "least": pack(least[here]), "most": pack(most[here])})
         return out
 
-    asked = mapped(left.select("block", "choices", "kinds"), passages, PASSAGES)
+    asked = mapped(left.select("block", "choices", "kinds", "checks"), passages, PASSAGES)
     answers = written(asked.groupBy("shard").applyInPandas(_answer, ANSWER), "passages")
-    of_block = answers.groupBy("block").agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("found"))).alias(f"found{k}") for k in range(3)])
+    pair = F.struct("found", "checks")
+    of_block = answers.groupBy("block").agg(*[F.collect_list(F.when(F.col("kind") == k, pair if k < 2 else F.col("found"))).alias(f"found{k}") for k in range(3)])
     left = left.join(of_block, "block", "left")
 
     def looked_at(row, p: _Passages) -> tuple[np.ndarray, np.ndarray]:
         """Passages that are repeated as a whole, and those whose windows are merged one by one."""
-        whole, mine = is_in(p.kinds, keys_of(row.found0)), is_in(p.kinds, keys_of(row.found1))
+        whole, mine = pairs_in(p.kinds, p.checks, row.found0), pairs_in(p.kinds, p.checks, row.found1)
         if mine.any():  # one of each kind
             at = np.flatnonzero(mine)
             mine = np.zeros(len(p.kinds), bool)
-            mine[at[np.unique(p.kinds[at], return_index=True)[1]]] = True
+            mine[at[np.unique(groups_of_pairs(p.kinds[at], p.checks[at]), return_index=True)[1]]] = True
         return whole, is_in(p.choices, keys_of(row.found2)) & (mine | ~whole)
 
+    def window_keys(p: _Passages, starts: np.ndarray) -> np.ndarray:
+        """A digest for each window, made once for each group of equal ones in the block's suffix array."""
+        group, _ = window_groups(p.b.raw, starts, length)
+        one = starts[np.unique(group, return_index=True)[1]]
+        return digests(p.b.raw, one, one + length)[group]
+
     def sorted_windows(row) -> list[dict]:
         p = _Passages(row)
         starts = p.starts(looked_at(row, p)[1])
-        group, times = window_groups(p.b.raw, starts, length)
-        if not len(starts):
-            return []
-        keys = byte_runs(p.b.raw, length)[starts[np.unique(group, return_index=True)[1]]]
-        by = np.argsort(keys)
-        new = np.append(True, np.diff(keys[by]) != 0)
-        return ask(shards, p.b.block, keys[by][new], np.add.reduceat(times[by], np.flatnonzero(new)))
+        return ask_pairs(shards, p.b.block, *window_keys(p, starts).T.copy()) if len(starts) else []
 
-    found = repeated(mapped(left, sorted_windows, ASK))
+    found = repeated_pairs(mapped(left, sorted_windows, ASK_PAIRS))
 
     def finish(row) -> list[dict]:
         p = _Passages(row)
         b, n, out = p.b, len(p.b.raw), []
         whole, looked = looked_at(row, p)
         starts = p.starts(looked)
-        hit = starts[is_in(byte_runs(b.raw, length)[starts], keys_of(row.found))] if len(starts) else starts
+        hit = starts[pairs_in(*window_keys(p, starts).T.copy(), row.found)] if len(starts) else starts
         gone = covered(np.concatenate([np.flatnonzero(_flags(row.settled, n)), p.starts(whole), hit]), length, n)
         seen = _flags(row.short, n) | gone
         for i, doc_id in enumerate(b.ids):
