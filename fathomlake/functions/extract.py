@@ -18,6 +18,8 @@ TODAY_PATTERN, CHECKED = r"(?iu)(?:ngay\s+)?trong ngày làm việc|(?:giải qu
 NO_DURATION, CHECKS, CELL_HEADS = ["giờ hành chính", "thời gian tiếp nhận"], "xác minh", ["tên giấy tờ", "mẫu đơn, tờ khai", "số lượng"]
 DOSSIER_HEADS = ["thành phần hồ sơ", "+ thành phần hồ sơ", "số lượng hồ sơ", "+ số lượng hồ sơ", "tên giấy tờ", "mẫu đơn", "số lượng", "bản chính:", "bản sao:"]
 NO_TIME, TODAY = "Theo quy định hiện hành", "Giải quyết ngay trong ngày làm việc"
+NO_CHARGE, FREE_OF_CHARGE, NOT_SET, NOT_SET_YET = ["không thu lệ phí", "miễn phí"], "Miễn phí (Không thu lệ phí)", ["chưa quy định.", "chưa quy định"], "Chưa quy định (hoặc theo quy định Bộ Tài chính)"
+NO_FEE = "Miễn phí"
 NO_LAW, NO_DOSSIER = "Theo quy định pháp luật chuyên ngành hiện hành", "Theo quy định hướng dẫn tại cơ quan tiếp nhận"
 
 
@@ -157,8 +159,8 @@ def clean_fee(fee: Column, charge: Column) -> Column:
     def text(both: Column) -> Column:
         pieces = F.flatten(F.transform(both, lambda x: F.split(x, ";")))
         joined = F.array_join(once(F.filter(F.transform(pieces, lambda x: F.regexp_replace(strip(x), r"[;,]+$", "")), lambda x: x != "")), "; ")
-        free = any_in(raw, ["không thu lệ phí", "miễn phí"]) & (F.size(both) == 0)
-        return F.when(free, "Miễn phí (Không thu lệ phí)").otherwise(let(joined, lambda x: F.when(x == "", "Miễn phí").when(F.lower(x).isin("chưa quy định.", "chưa quy định"), "Chưa quy định (hoặc theo quy định Bộ Tài chính)").otherwise(x)))
+        free = any_in(raw, NO_CHARGE) & (F.size(both) == 0)
+        return F.when(free, FREE_OF_CHARGE).otherwise(let(joined, lambda x: F.when(x == "", NO_FEE).when(F.lower(x).isin(NOT_SET), NOT_SET_YET).otherwise(x)))
 
     return let(F.concat(valid(fee), valid(charge)), text)
 

@@ -66,6 +66,12 @@ def normalise(sheet: DataFrame) -> DataFrame:
     )
 
 
+# Labels of the views.
+NAME, SITUATION_LABEL, LAW_LABEL, DOSSIER_LABEL = "Thủ tục: ", ". Tình huống thực tế đời thường của người dân: ", ". Căn cứ pháp lý: ", ". Thành phần hồ sơ cần chuẩn bị: "
+TITLE_LABELS = [("Lĩnh vực: ", "linh_vuc"), ("Cấp thực hiện: ", "cap_thuc_hien")]
+SUMMARY_LABELS = [("Thời gian giải quyết: ", "thoi_gian"), ("Lệ phí: ", "le_phi"), ("Địa điểm tiếp nhận: ", "dia_diem"), ("Giờ tiếp nhận / Cắt hồ sơ: ", "gio_cat_off")]
+
+
 def _labelled(*parts: tuple[str, str]) -> Column:
     return F.concat_ws(". ", *[F.when(F.col(c) != "", F.concat(F.lit(label), F.col(c))) for label, c in parts])
 
@@ -73,15 +79,15 @@ def _labelled(*parts: tuple[str, str]) -> Column:
 def situational() -> Column:
     name = F.lower(F.concat_ws(" ", "ten", "linh_vuc"))
     said = F.concat_ws(" ", *[F.when(any_in(name, words), F.lit(text)) for words, text in SITUATIONS])
-    return strip(F.concat(F.lit("Thủ tục: "), F.col("ten"), F.lit(". Tình huống thực tế đời thường của người dân: "), said))
+    return strip(F.concat(F.lit(NAME), F.col("ten"), F.lit(SITUATION_LABEL), said))
 
 
 def view_columns() -> dict[str, Column]:
-    title = F.concat(F.lit("Thủ tục: "), F.col("ten"))
+    title = F.concat(F.lit(NAME), F.col("ten"))
     return {
-        "title": F.concat_ws(". ", title, blank_as_null(_labelled(("Lĩnh vực: ", "linh_vuc"), ("Cấp thực hiện: ", "cap_thuc_hien")))),
-        "summary": F.concat_ws(". ", title, blank_as_null(_labelled(("Thời gian giải quyết: ", "thoi_gian"), ("Lệ phí: ", "le_phi"), ("Địa điểm tiếp nhận: ", "dia_diem"), ("Giờ tiếp nhận / Cắt hồ sơ: ", "gio_cat_off")))),
-        "docs": F.when(F.col("ho_so") == "", F.concat(title, F.lit(". Căn cứ pháp lý: "), F.col("can_cu_phap_ly"))).otherwise(F.concat(title, F.lit(". Thành phần hồ sơ cần chuẩn bị: "), F.col("ho_so"))),
+        "title": F.concat_ws(". ", title, blank_as_null(_labelled(*TITLE_LABELS))),
+        "summary": F.concat_ws(". ", title, blank_as_null(_labelled(*SUMMARY_LABELS))),
+        "docs": F.when(F.col("ho_so") == "", F.concat(title, F.lit(LAW_LABEL), F.col("can_cu_phap_ly"))).otherwise(F.concat(title, F.lit(DOSSIER_LABEL), F.col("ho_so"))),
         "situational": situational(),
     }
 

@@ -59,6 +59,12 @@ def owned(conversations: DataFrame, id: str, user_id: int | None) -> DataFrame:
     return conversations.where((F.col("id") == id) & F.col("user_id").eqNullSafe(F.lit(user_id)))
 
 
+def owned_by(conversations: DataFrame, asked: DataFrame) -> DataFrame:
+    """Of conversations that are asked for (id, user_id, null for a guest) those that are the user's own."""
+    wanted = small(asked.select(F.col("id").alias("asked_id"), F.col("user_id").alias("asked_by")))
+    return conversations.join(wanted, (F.col("id") == F.col("asked_id")) & F.col("user_id").eqNullSafe(F.col("asked_by")), "left_semi")
+
+
 def messages_in_order(messages: DataFrame) -> DataFrame:
     """Sources decoded, an empty list where they are no JSON array."""
     return messages.withColumn("sources", F.coalesce(F.from_json("sources", "array<string>"), F.array().cast("array<string>"))).orderBy("conversation_id", "created_at", "id")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import extract, rules
 from ..functions.text import ABBREVIATIONS, STOP_WORDS, abbreviate, clipped_sigmoid, content_tokens, first_words, fold, has_marks, outside_parentheses, strip_marks
 from ..operators import answers, catalogue, dense, evaluation, fusion, lexical, lexical_index, questions, store, vector_index
+from ..operators.ranking import small
 from ..sources import RECORD_COLUMNS, Collection, crawled, fetched, first_of, listed, numbered_sheet, read_csv, shared_path, spread, table, with_fallback, write_csv, write_json_lines, write_records, write_report
 from ..sources.paged import ListPages
 from ..streaming import routed, sessions
@@ -1115,9 +1116,9 @@ def session_changes(spark, sf_dir):
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey = 7 THEN 'Tên mới' ELSE o_orderpriority END AS title, o_orderkey = 7 AND o_custkey % 3 <> 0 AS mine FROM orders")
 def conv_rename(spark, sf_dir):
     c = store.rename(_conversations(spark, sf_dir), 7, "Tên mới")
-    users = [r["user_id"] for r in c.where("id = 7").select("user_id").collect()]
-    mine = store.owned(c, 7, users[0] if users else -1).where("user_id IS NOT NULL").select("id", F.lit(True).alias("mine"))
-    return c.select("id", "title").join(F.broadcast(mine), "id", "left").withColumn("mine", F.coalesce("mine", F.lit(False)))
+    # Asked for by the user whose it is.
+    mine = store.owned_by(c, c.where("id = 7").select("id", "user_id")).where("user_id IS NOT NULL").select("id", F.lit(True).alias("mine"))
+    return c.select("id", "title").join(small(mine), "id", "left").withColumn("mine", F.coalesce("mine", F.lit(False)))
 
 
 @query("""WITH e AS (SELECT event_id AS job_id, user_id AS queue, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)
