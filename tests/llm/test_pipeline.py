@@ -66,7 +66,7 @@ def test_stages(spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, sf_dir, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     got = QUERIES[name](spark, sf_dir).toPandas()
     want = c.sql(ORACLES[name]).df()
