@@ -16,7 +16,7 @@ Cases: a null or empty text has no bytes; texts shorter than a window stay whole
 so every window of theirs is repeated; a null doc_id is a document like others; a text that repeats itself counts,
 overlaps too; a removal may split a character; ties do not arise, as all equal windows go; a very long text is a block of its
 own; an empty table gives an empty one; other columns are not read, whatever they are called. In a shard strings
-are compared as they are; across shards, where windows or passages may be equal, by 128 bits of BLAKE2. (The chosen strings
+are compared as they are; across shards passages by 128 bits of BLAKE2, and single windows by two hashes of 64 bits. (The chosen strings
 of the first step are held by 64-bit hashes, which may let a window go on.)
 """
 
@@ -40,6 +40,10 @@ LEFT = f"{BLOCK}, first binary, last binary, choices binary, kinds binary, check
 PASSAGES, ANSWER = "shard int, block long, kind int, keys binary, counts binary, checks binary, least binary, most binary", "block long, kind int, found binary, checks binary"
 
 
+#: Another byte for each byte, so that runs have a second hash of 64 bits.
+_OTHER = np.random.default_rng(9).permutation(256).astype(np.uint8)
+
+
 def byte_runs(raw: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of n bytes; n: 8 or more."""
     if len(raw) < n:
@@ -225,16 +229,17 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, short: int = SHORT, span
             mine[at[np.unique(groups_of_pairs(p.kinds[at], p.checks[at]), return_index=True)[1]]] = True
         return whole, is_in(p.choices, keys_of(row.found2)) & (mine | ~whole)
 
-    def window_keys(p: _Passages, starts: np.ndarray) -> np.ndarray:
-        """A digest for each window, made once for each group of equal ones in the block's suffix array."""
-        group, _ = window_groups(p.b.raw, starts, length)
-        one = starts[np.unique(group, return_index=True)[1]]
-        return digests(p.b.raw, one, one + length)[group]
+    def window_keys(p: _Passages, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return byte_runs(p.b.raw, length)[starts], byte_runs(_OTHER[p.b.raw], length)[starts]
 
     def sorted_windows(row) -> list[dict]:
         p = _Passages(row)
         starts = p.starts(looked_at(row, p)[1])
-        return ask_pairs(shards, p.b.block, *window_keys(p, starts).T.copy()) if len(starts) else []
+        if not len(starts):
+            return []
+        group, _ = window_groups(p.b.raw, starts, length)
+        keys, checks = window_keys(p, starts[np.unique(group, return_index=True)[1]])  # one of each group
+        return ask_pairs(shards, p.b.block, keys[group], checks[group])
 
     found = repeated_pairs(mapped(left, sorted_windows, ASK_PAIRS))
 
@@ -243,7 +248,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, short: int = SHORT, span
         b, n, out = p.b, len(p.b.raw), []
         whole, looked = looked_at(row, p)
         starts = p.starts(looked)
-        hit = starts[pairs_in(*window_keys(p, starts).T.copy(), row.found)] if len(starts) else starts
+        hit = starts[pairs_in(*window_keys(p, starts), row.found)] if len(starts) else starts
         gone = covered(np.concatenate([np.flatnonzero(_flags(row.settled, n)), p.starts(whole), hit]), length, n)
         seen = _flags(row.short, n) | gone
         for i, doc_id in enumerate(b.ids):
