@@ -7,8 +7,9 @@
    terms get ids by binary search in it, and counts are summed by bincount, to one dense vector for each source. A term
    that all documents hold is one entry for each block.
 3. Totals go by language (a row for each source), and meet each shard's vectors again: shares are whole numbers, taken
-   digit by digit so that no product overflows. A shard gives the sums of differences for each pair of sources and for each
-   source its first terms; ids keep the order of UTF-8, so a stable sort breaks ties. Sums and first terms of shards merge.
+   digit by digit so that no product overflows. A shard gives one row for each source: the sums of differences from the
+   sources after it, packed, and its first terms; ids keep the order of UTF-8, so a stable sort breaks ties. The rows of a
+   source merge to one; pairs become rows only then, so that no step has a row for each shard and pair.
 
 Cases: a null text, lang or source is the empty text; a text without terms still makes its group; repeated rows and null ids
 count each; a language without kept terms has the value 0 for all its pairs; ties go by item in UTF-8 order; a very long
@@ -38,7 +39,8 @@ LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 PART = "lang string, shard int, lens binary, terms binary, in_docs binary, sources array<string>, held binary, numbers binary, counts binary"
 KEPT = "lang string, shard int, n_kept long, lens binary, terms binary, sources array<string>, sums array<long>, held binary, ids binary, counts binary"
-OUT = "lang string, source string, part string, item string, value long"
+COMPARED = "lang string, source string, sums binary, lens binary, terms binary, overs binary"
+MERGED = "lang string, source string, sums array<long>, terms array<string>, overs array<long>"
 #: Bytes of a term that the arrays of binary search hold; longer ones are told apart by their rest.
 HEAD = 32
 
@@ -177,14 +179,14 @@ def shares(counts: np.ndarray, totals: np.ndarray, n_kept: int) -> np.ndarray:
 
 
 def _compared(row, terms_kept: int) -> list[dict]:
-    """For a shard of a language: sums of differences of each pair of sources, and each source's first terms."""
+    """For a shard of a language and each source: sums of differences from the sources after it, and its first terms."""
     terms, all_sources = _terms(row.lens, row.terms), row.all_sources
     place = {s: i for i, s in enumerate(all_sources)}
     held = unpack(row.held, np.uint32).astype(np.int64)
     ids, counts = _unstepped(unpack(row.ids, np.uint32).astype(np.int64), held), unpack(row.counts).astype(np.int64)
     of = np.repeat([place[s] for s in row.sources], held)
     n, totals = len(all_sources), np.array(row.totals, np.int64)
-    sums, out = np.zeros((n, n), np.int64), []
+    sums, most = np.zeros((n, n), np.int64), [[] for _ in range(n)]
     each = max(1, DENSE // (n + 1))
     for begin in range(0, len(terms), each):
         here = (ids >= begin) & (ids < begin + each)
@@ -197,19 +199,31 @@ def _compared(row, terms_kept: int) -> list[dict]:
         for i in range(n):
             some = np.flatnonzero((dense[i] > 0) & (p[i] > q))
             over = p[i, some] - q[some]
-            for j in np.argsort(-over, kind="stable")[:terms_kept].tolist():
-                out.append({"lang": row.lang, "source": all_sources[i], "part": "term", "item": terms[begin + some[j]].decode(), "value": int(over[j])})
-    out += [{"lang": row.lang, "source": all_sources[i], "part": "pair", "item": all_sources[j], "value": int(sums[i, j])} for i in range(n) for j in range(i + 1, n)]
-    return out
+            most[i] += [(-int(over[j]), terms[begin + some[j]]) for j in np.argsort(-over, kind="stable")[:terms_kept].tolist()]
+    first = [sorted(x)[:terms_kept] for x in most]
+    return [{"lang": row.lang, "source": all_sources[i], "sums": pack(sums[i, i + 1 :].astype(np.uint64)), "overs": pack(np.array([-v for v, _ in first[i]], np.uint64))} | _listed([t for _, t in first[i]]) for i in range(n)]
+
+
+def _one_row(terms_kept: int) -> Callable:
+    def one_row(key: tuple, shards: pd.DataFrame) -> pd.DataFrame:
+        """Of the rows of a source's shards the sums together, and the first of all their terms."""
+        release()
+        sums, most = 0, []
+        for packed, lens, terms, overs in zip(shards["sums"], shards["lens"], shards["terms"], shards["overs"], strict=True):
+            sums = sums + unpack(packed).astype(np.int64)
+            most = sorted(most + list(zip((-unpack(overs).astype(np.int64)).tolist(), _terms(lens, terms), strict=True)))[:terms_kept]
+        return pd.DataFrame([{"lang": key[0], "source": key[1], "sums": sums, "terms": [t.decode() for _, t in most], "overs": [-v for v, _ in most]}])
+
+    return one_row
 
 
 def source_divergence(docs: DataFrame, least: int = DOCUMENTS, terms_kept: int = TERMS, block_bytes: int = BLOCK_BYTES, keys_each: int = KEYS_EACH, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """lang, source, part, item, value, rank: for each group of a language and a source the other sources of the language by
     how far their term shares differ ('pair', all of them), and its terms with shares over the language's ('term', the first)."""
-    spark = docs.sparkSession
     texts = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // 12 // keys_each + 1)
+    # By the bytes alone: each block has a row, and each source one, for every shard.
+    shards = n_bytes // 12 // keys_each + 1
     parts = texts.mapInArrow(_parts(block_bytes, shards), PART)
     kept = written(parts.groupBy("lang", "shard").applyInPandas(_merged(least), KEPT), "kept")
     # A row for each source of a language, and each language's list of them, no longer than the result has rows for one source.
@@ -220,13 +234,17 @@ def source_divergence(docs: DataFrame, least: int = DOCUMENTS, terms_kept: int =
     langs = written(langs.select("lang", F.col("s.source").alias("all_sources"), F.col("s.n").alias("totals"), F.coalesce("kept", F.lit(0)).alias("kept")), "langs")
     n_groups = langs.agg(F.sum(F.size("all_sources"))).first()[0] or 0
     met = kept.join(F.broadcast(langs), "lang") if n_groups <= broadcast_groups else with_copies(kept, "shard", langs, "lang")
-    found = written(mapped(met, lambda row: _compared(row, terms_kept), OUT), "compared")
+    compared = mapped(met, lambda row: _compared(row, terms_kept), COMPARED)
+    found = written(compared.groupBy("lang", "source").applyInPandas(_one_row(terms_kept), MERGED), "compared")
 
-    pairs = found.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    # A source's sums are with the last ones of its language's list.
+    sums = found.select("lang", "source", "sums")
+    sums = sums.join(F.broadcast(langs), "lang") if n_groups <= broadcast_groups else with_copies(sums, "source", langs, "lang")
+    pairs = sums.select("lang", "source", F.explode(F.arrays_zip(F.slice("all_sources", F.size("all_sources") - F.size("sums") + 1, F.size("sums")).alias("item"), F.col("sums").alias("value"))).alias("p")).select("lang", "source", "p.item", "p.value")
     empty = langs.where("kept = 0").select("lang", F.explode("all_sources").alias("source"), "all_sources").select("lang", "source", F.explode("all_sources").alias("item"), F.lit(0).cast("long").alias("value")).where("source != item")
     both = pairs.union(pairs.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value")).union(empty).withColumn("part", F.lit("pair"))
     w = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    terms = found.where("part = 'term'").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= terms_kept)
+    terms = found.select("lang", "source", F.explode(F.arrays_zip(F.col("terms").alias("item"), F.col("overs").alias("value"))).alias("t")).select("lang", "source", F.lit("term").alias("part"), "t.item", "t.value").withColumn("rank", F.row_number().over(w))
     columns = ["lang", "source", "part", "item", "value", "rank"]
     return both.withColumn("rank", F.row_number().over(w)).select(*columns).union(terms.select(*columns))
 

@@ -70,6 +70,18 @@ def test_divergence(spark, monkeypatch, dense):
     assert source_divergence(docs.limit(0)).count() == 0
 
 
+def test_divergence_makes_a_row_for_each_source_and_shard(spark, monkeypatch):
+    """However many partitions there are: no row for each shard and pair of sources."""
+    made, mapped = [], op11_source_divergence.mapped
+    monkeypatch.setattr(op11_source_divergence, "mapped", lambda *x: made.append(mapped(*x)) or made[-1])
+    rows = [(f"a b c{chr(97 + i % 7)}", "en", f"s{i % 12}") for i in range(240)]
+    docs = spark.createDataFrame(rows, "text string, lang string, source string").repartition(6)
+    for keys_each, shards in ((1_000_000, 1), (20, 9)):
+        made.clear()
+        got = Counter(map(tuple, source_divergence(docs, 10, 5, 500, keys_each=keys_each).collect()))
+        assert got == divergence_want(rows, 10, 5) and made[0].count() <= 12 * shards
+
+
 def test_shares_of_great_counts():
     import numpy as np
 
