@@ -210,13 +210,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """The documents that are not predicted to be toxic, with all their columns; each text is scored where it is read."""
+    """The documents that are not predicted to be toxic, with all their columns; each text is scored where it is read. Only
+    texts go to the scoring and only decisions come back, so that a task never holds the rows twice."""
     model = fitted(docs, labels, per_class)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score = _scorer(model)
-        for batch in batches:
-            yield batch.filter(pa.array(score(batch.column("text")) < CUT))
+        for some in texts:
+            yield pa.array(score(some) < CUT)
             release()
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.where(F.arrow_udf(keep, "boolean")(F.col("text")))

@@ -178,6 +178,16 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity(docs, labels).count() == docs.count() and toxicity(nothing, labels).count() == 0
 
 
+def test_without_toxic_leaves_other_columns_in_spark(spark):
+    """A column of a type that Arrow cannot carry: only texts go to the scoring."""
+    table = spark.createDataFrame([(i, f"text {i} " + ("rotten vermin" if i < 40 else "pleasant weather")) for i in range(80)] + [(None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "doc_id long, toxic int")
+    rows = table.withColumn("span", F.make_interval(days=F.lit(1)))
+    kept = without_toxic(rows, labels)
+    assert kept.schema == rows.schema
+    assert {r.doc_id for r in kept.select("doc_id", "text").collect()} == {r.doc_id for r in toxicity(table, labels).where("predicted = 0").collect()}
+
+
 def test_line_dedup(spark):
     page = "<html><body><nav>Menu</nav><p>Only here {}</p><script>x</script><p>Often</p></body></html>"
     pages = spark.createDataFrame([(i, f"http://H.x/{i}", page.format(i)) for i in range(6)] + [(10, "http://few.x/", page.format(1)), (11, None, None), (12, "x", ""), (13, "http://few.x/", page.format(1))], "page_id long, url string, html string")
