@@ -97,8 +97,15 @@ def window_groups(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
     order = suffix_array(text, length)
     group = np.empty(len(text), np.int64)
     group[order] = np.cumsum(common_prefixes(text, order, length) < length)
-    _, of, n = np.unique(group[there], return_inverse=True, return_counts=True)
-    return of, n
+    n = np.bincount(group[there], minlength=group.max() + 1)
+    return (np.cumsum(n > 0) - 1)[group[there]], n[n > 0]
+
+
+def window_keys(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each window, made from the bytes that these windows cover alone."""
+    keep = covered(starts, length, len(raw))
+    text, there = raw[keep], np.cumsum(keep)[starts] - 1
+    return byte_runs(text, length)[there], byte_runs(_OTHER[text], length)[there]
 
 
 def digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -187,7 +194,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, short: int = SHORT, span
             return done
         keep = np.repeat(some, sizes)
         raw, windows, at = b.raw[keep], np.flatnonzero(marks[keep]), np.concatenate([[0], np.cumsum(sizes[some])])
-        hashes = byte_runs(raw, short)
+        # A text that stays has its hashes already; those of strings over the end of a text are in no window.
+        hashes = hashes[keep[: len(hashes)]][: len(raw) - short + 1]
         first, last, places = passages_of(windows, hashes, length - short + 1)
         group, times = window_groups(raw, windows, length)
         # Equal passages have equal first and last windows and as many of them: their key is the digest of any of the group's.
@@ -229,16 +237,15 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, short: int = SHORT, span
             mine[at[np.unique(groups_of_pairs(p.kinds[at], p.checks[at]), return_index=True)[1]]] = True
         return whole, is_in(p.choices, keys_of(row.found2)) & (mine | ~whole)
 
-    def window_keys(p: _Passages, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return byte_runs(p.b.raw, length)[starts], byte_runs(_OTHER[p.b.raw], length)[starts]
-
     def sorted_windows(row) -> list[dict]:
         p = _Passages(row)
         starts = p.starts(looked_at(row, p)[1])
         if not len(starts):
             return []
         group, _ = window_groups(p.b.raw, starts, length)
-        keys, checks = window_keys(p, starts[np.unique(group, return_index=True)[1]])  # one of each group
+        one = np.empty(group.max() + 1, np.int64)
+        one[group] = starts  # one of each group
+        keys, checks = window_keys(p.b.raw, one, length)
         return ask_pairs(shards, p.b.block, keys[group], checks[group])
 
     found = repeated_pairs(mapped(left, sorted_windows, ASK_PAIRS))
@@ -248,7 +255,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, short: int = SHORT, span
         b, n, out = p.b, len(p.b.raw), []
         whole, looked = looked_at(row, p)
         starts = p.starts(looked)
-        hit = starts[pairs_in(*window_keys(p, starts), row.found)] if len(starts) else starts
+        hit = starts[pairs_in(*window_keys(p.b.raw, starts, length), row.found)] if len(starts) else starts
         gone = covered(np.concatenate([np.flatnonzero(_flags(row.settled, n)), p.starts(whole), hit]), length, n)
         seen = _flags(row.short, n) | gone
         for i, doc_id in enumerate(b.ids):

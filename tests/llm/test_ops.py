@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fathomlake.llm import op2_decontamination, op4_lm_scoring, op6_line_dedup
+from fathomlake.llm import op2_decontamination, op4_lm_scoring, op6_line_dedup, op9_suffix_dedup
 from fathomlake.llm.blocks import pack as pack_numbers
 from fathomlake.llm.blocks import pack_sorted, unpack
 from fathomlake.llm.op1_packing import pack, sequences
@@ -283,6 +283,16 @@ def test_suffix_dedup_of_long_and_repeated_rows(spark):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want and len(long) > 1_000_000
 
 
+def test_window_keys_read_covered_bytes_alone(monkeypatch):
+    raw, starts, sizes = np.random.default_rng(4).integers(0, 3, 5000).astype(np.uint8), np.array([7, 8, 9, 300, 340, 4960]), []
+    every, runs = op9_suffix_dedup.byte_runs(raw, 40), op9_suffix_dedup.byte_runs
+    monkeypatch.setattr(op9_suffix_dedup, "byte_runs", lambda x, n: sizes.append(len(x)) or runs(x, n))
+    keys, checks = op9_suffix_dedup.window_keys(raw, starts, 40)
+    assert keys.tolist() == every[starts].tolist() and len(checks) == 6 and sizes == [162, 162]
+    of, n = op9_suffix_dedup.window_groups(np.tile(raw[:100], 3), np.array([0, 5, 100, 205, 61]), 30)
+    assert of[0] == of[2] and of[1] == of[3] and len(set(of.tolist())) == 3 and n[of].tolist() == [2, 2, 2, 2, 1]
+
+
 def test_suffix_array():
     r = np.random.default_rng(1)
     for trial in range(200):
