@@ -144,12 +144,14 @@ def context_pieces(messages: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """
     place = F.struct("created_at", "content", "role")
     long = messages.groupBy("conversation_id").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars")).where((F.col("n") >= s.context_messages) & (F.col("chars") >= s.context_chars))
-    mine = messages.join(small(staged(long, "long_conversations")), "conversation_id").withColumn("place", place)
+    known = small(staged(long, "long_conversations"))
+    # Written, as both steps below read it, and a table too large for a broadcast is sorted to find it.
+    mine = staged(messages.select("conversation_id", "created_at", "content", "role").join(known, "conversation_id"), "messages_of_long").withColumn("place", place)
     last = top_k(mine.select("conversation_id", "place"), "conversation_id", [F.desc("place")], s.recent_messages, "back")
     # The first of the last messages, and how many of these are just like it.
     first = last.groupBy("conversation_id").agg(F.min("place").alias("first"), F.collect_list("place").alias("places"))
     first = first.select("conversation_id", "first", F.size(F.filter("places", lambda p: p == F.col("first"))).alias("like"))
-    met = mine.join(small(staged(first, "first_of_last")), "conversation_id").where("place <= first")
+    met = mine.join(small(staged(first, "first_of_last"), width=F.octet_length("first.content")), "conversation_id").where("place <= first")
     before, same = met.where("place < first"), met.where("place = first")
     same = same.withColumn("nth", F.row_number().over(Window.partitionBy("conversation_id").orderBy("role"))).where("nth > like")
     columns = ["conversation_id", "n", "chars", "created_at", "content", "role"]
