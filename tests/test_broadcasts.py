@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fathomlake.operators import store
+from fathomlake.operators import questions, store
 from fathomlake.operators.ranking import small
 from fathomlake.sources import staged
 
@@ -31,3 +31,14 @@ def test_context_of_long_texts(spark):
     assert joins(pieces) == {"SortMergeJoin"}
     assert pieces.columns == ["conversation_id", "n", "chars", "created_at", "content", "role", "piece"]
     assert {r.created_at // 9000 for r in pieces.select("created_at").collect()} == {0, 1} and pieces.count() == 18_000
+
+
+def test_numbers_of_many_questions(spark):
+    """Topics in small files become more questions than may be broadcast; Spark guesses by the files."""
+    topics = staged(spark.range(3000).select(F.col("id").alias("topic_key"), F.lit("khai sinh").alias("topic"), F.lit("f").alias("field")), "topics")
+    numbers = questions.in_order(questions.generate(topics))
+    assert joins(numbers) == {"SortMergeJoin"}
+    got = questions.numbered(topics).select("qid", "topic_key", "place")
+    assert joins(got) == {"SortMergeJoin"}
+    want = {(f"Q{r.number:04d}", r.topic_key, r.place) for r in numbers.collect()}
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 3000 * 13
