@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from fathomlake.operators import questions, store
@@ -42,3 +43,20 @@ def test_numbers_of_many_questions(spark):
     assert joins(got) == {"SortMergeJoin"}
     want = {(f"Q{r.number:04d}", r.topic_key, r.place) for r in numbers.collect()}
     assert {tuple(r) for r in got.collect()} == want and len(want) == 3000 * 13
+
+
+@pytest.mark.parametrize("per_topic", [0, 3, 14, 15])
+def test_question_set_broadcasts_one_row(spark, per_topic):
+    """Topics with more and fewer seeds, with a gap in the keys, and without rows: numbers have no gap and no double."""
+    some = [(k * 3, "nhà", None if k == 1 else [k, 999] if k else [], [f"s{i}" for i in range(k % 4)] if k % 5 else None) for k in range(40)]
+    topics = staged(spark.createDataFrame(some, "topic_key long, topic string, rows array<long>, seeds array<string>"), "topics")
+    rows = staged(spark.createDataFrame([(k, f"r{k}", f" t{k}", "f") for k in range(40)], "row_no long, id string, title string, field string"), "rows")
+    outside = staged(spark.createDataFrame([(5, "x ", "a"), (9, "y", "b")], "place long, question string, kind string"), "outside")
+    made = questions.question_set(topics, rows, outside, per_topic)
+    assert joins(made) == {"SortMergeJoin", "BroadcastNestedLoopJoin"}
+    got = sorted(made.collect(), key=lambda r: int(r.qid[1:]))
+    assert [r.qid for r in got] == [f"Q{n:04d}" for n in range(1, len(got) + 1)]
+    want = [k * 3 for k in range(40) for _ in range(min(13 + (k % 4 if k % 5 else 0), per_topic))]
+    assert [r.topic_key for r in got] == [str(k) for k in want] + ["none", "none"]
+    gold = {int(r.topic_key) // 3: (r.gold_row_no, r.gold_chroma_id, r.gold_title, r.linh_vuc) for r in got[:-2]}
+    assert gold == ({k: (f"{k};999", f"r{k}", f"t{k}", "f") if k > 1 else ("",) * 4 for k in range(40)} if per_topic else {})
